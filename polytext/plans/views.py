@@ -108,8 +108,9 @@ def register_sql_view(name: str, deps: list[str], sql: str) -> None:
     SQL_VIEWS[name] = (deps, sql)
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs of the named views (and their deps)."""
+def with_views(body: str, *names: str, ctes: str | None = None) -> str:
+    """Prefix ``body`` with the CTEs of the named views (and their deps),
+    followed by the extra CTE text ``ctes`` (``a AS (...), b AS (...)``)."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -121,7 +122,9 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    parts = [f"{n} AS ({SQL_VIEWS[n][1]})" for n in order]
+    if ctes:
+        parts.append(ctes.strip().strip(","))
+    if not parts:
         return body
-    ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in order)
-    return f"WITH {ctes}\n{body}"
+    return "WITH " + ",\n".join(parts) + "\n" + body
