@@ -128,3 +128,22 @@ def with_views(body: str, *names: str, ctes: str | None = None) -> str:
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# ---- v_alpaca: a user turn and the assistant turn after it -> instruction entry
+ALPACA_INSTRUCTION = "Answer the user's message."
+
+
+def alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("input"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                     F.col("text").alias("output"))
+    return u.join(a, ["conv_id", "turn"], "inner").select(
+        "conv_id", "turn", F.lit(ALPACA_INSTRUCTION).alias("instruction"), "input", "output")
+
+
+register_sql_view("v_alpaca", [], f"""
+    SELECT u.conv_id, u.turn, {sql_str(ALPACA_INSTRUCTION)} AS instruction, u.text AS input, a.text AS output
+    FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+    WHERE u.role = 'user' AND a.role = 'assistant'""")
