@@ -147,3 +147,70 @@ register_sql_view("v_alpaca", [], f"""
     SELECT u.conv_id, u.turn, {sql_str(ALPACA_INSTRUCTION)} AS instruction, u.text AS input, a.text AS output
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant'""")
+
+
+# ---- v_tuples: three consecutive documents form one n-way tuple
+# (est, liv, rus), with a 'liv-dia' key (the Livonian document's source) on
+# even Livonian documents and a blank value on every 13th document.  Category
+# = block of 100 tuples (bounded), position = tuple id.
+TUPLE_KEYS = ["est", "liv", "rus"]
+
+
+def tuple_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    tid = F.floor(F.col("doc_id") / 3).cast("bigint")
+    items = d.select(tid.alias("tuple_id"),
+                     F.element_at(F.array(*[F.lit(x) for x in TUPLE_KEYS]), (F.col("doc_id") % 3 + 1).cast("int"))
+                     .alias("key"),
+                     F.when(F.col("doc_id") % 13 == 0, F.lit("   ")).otherwise(F.col("text")).alias("value"))
+    dia = d.where((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0)).select(
+        tid.alias("tuple_id"), F.lit("liv-dia").alias("key"), F.col("source").alias("value"))
+    return items.unionByName(dia)
+
+
+def tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, pos, tuple_id, m map<string,string>); each map has at most four keys."""
+    it = tuple_items(spark, sf_dir)
+    return it.groupBy("tuple_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")) \
+        .select(F.concat(F.lit("cat"), F.floor(F.col("tuple_id") / 100).cast("string")).alias("source"),
+                F.col("tuple_id").alias("pos"), "tuple_id", "m")
+
+
+register_sql_view("v_tuple_items", [], """
+    SELECT doc_id // 3 AS tuple_id, (['est', 'liv', 'rus'])[doc_id % 3 + 1] AS key,
+      CASE WHEN doc_id % 13 = 0 THEN '   ' ELSE text END AS value FROM documents
+    UNION ALL
+    SELECT doc_id // 3, 'liv-dia', source FROM documents WHERE doc_id % 3 = 1 AND doc_id % 2 = 0""")
+
+
+# ---- v_script: whole texts, every third with Latin letters swapped for their
+# Cyrillic look-alikes, and a language code of several styles by doc_id % 5.
+SCRIPT_CODES = ["est", "rus", "udm", "<2lv>", "xx"]
+HOMOGLYPHS_LATIN, HOMOGLYPHS_CYRILLIC = "aeocp", "аеоср"
+
+
+def script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", "lang",
+        F.element_at(F.array(*[F.lit(x) for x in SCRIPT_CODES]), (F.col("doc_id") % 5 + 1).cast("int")).alias("code"),
+        F.when(F.col("doc_id") % 3 == 0, F.translate("text", HOMOGLYPHS_LATIN, HOMOGLYPHS_CYRILLIC))
+        .otherwise(F.col("text")).alias("text"))
+
+
+register_sql_view("v_script", [], f"""
+    SELECT doc_id, lang, ([{', '.join(sql_str(x) for x in SCRIPT_CODES)}])[doc_id % 5 + 1] AS code,
+      CASE WHEN doc_id % 3 = 0 THEN translate(text, '{HOMOGLYPHS_LATIN}', '{HOMOGLYPHS_CYRILLIC}') ELSE text END AS text
+    FROM documents""")
+
+
+# ---- v_codes: language codes found in the data, in every code style
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = script_rows(spark, sf_dir)
+    return s.select("doc_id", F.explode(F.array(
+        F.col("code"), F.col("lang"), F.concat("lang", F.lit("_Latn")), F.concat(F.lit("<2"), "lang", F.lit(">")))
+    ).alias("raw_code"))
+
+
+register_sql_view("v_codes", ["v_script"], """
+    SELECT doc_id, unnest([code, lang, lang || '_Latn', '<2' || lang || '>']) AS raw_code FROM v_script""")
