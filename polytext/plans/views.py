@@ -214,3 +214,31 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register_sql_view("v_codes", ["v_script"], """
     SELECT doc_id, unnest([code, lang, lang || '_Latn', '<2' || lang || '>']) AS raw_code FROM v_script""")
+
+
+# ---- v_sents: train sentences (documents) and dev sentences (benchmark, one
+# copy per fixture language, as a parallel dev set)
+DEV_LANGS = ["en", "fr", "de", "es"]
+
+
+def train_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polytext.operators.contamination import sentences
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def dev_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polytext.operators.contamination import sentences
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.explode(sentences(F.col("text"))).alias("sentence")) \
+        .select("item_id", "sentence", F.explode(F.array(*[F.lit(x) for x in DEV_LANGS])).alias("lang"))
+
+
+_SQL_SENTS = "list_filter(list_transform(regexp_split_to_array({t}, '[.\\n]+'), lambda s: trim(s)), lambda s: s <> '')"
+register_sql_view("v_doc_sents", [], f"""
+    SELECT doc_id, lang, {_SQL_SENTS.format(t='text')} AS sents FROM documents""")
+register_sql_view("v_sents", ["v_doc_sents"], """
+    SELECT doc_id, lang, unnest(sents) AS sentence FROM v_doc_sents""")
+register_sql_view("v_dev", [], f"""
+    SELECT item_id, sentence, unnest({DEV_LANGS!r}) AS lang
+    FROM (SELECT item_id, unnest({_SQL_SENTS.format(t='text')}) AS sentence FROM benchmark)""")
