@@ -242,3 +242,16 @@ register_sql_view("v_sents", ["v_doc_sents"], """
 register_sql_view("v_dev", [], f"""
     SELECT item_id, sentence, unnest({DEV_LANGS!r}) AS lang
     FROM (SELECT item_id, unnest({_SQL_SENTS.format(t='text')}) AS sentence FROM benchmark)""")
+
+
+# ---- v_tokens: lower-cased non-space tokens of the whole documents
+register_sql_view("v_tokens", [], r"""
+    SELECT doc_id, pos - 1 AS pos, token FROM documents,
+      unnest(regexp_extract_all(lower(text), '[^\s]+')) WITH ORDINALITY AS u(token, pos)""")
+register_sql_view("v_freq", ["v_tokens"], """
+    SELECT token, count(*) AS count, arg_min(doc_id, (doc_id, pos)) AS first_doc, min((doc_id, pos)) AS first
+    FROM v_tokens GROUP BY token""")
+register_sql_view("v_vocab", ["v_freq"], """
+    SELECT token, CAST(3 + row_number() OVER (ORDER BY first) AS INTEGER) AS id FROM v_freq
+    WHERE count >= 2 AND token NOT IN ('<s>', '<pad>', '</s>', '<unk>')
+    UNION ALL SELECT * FROM (VALUES ('<s>', 0), ('<pad>', 1), ('</s>', 2), ('<unk>', 3)) t(token, id)""")
