@@ -117,7 +117,8 @@ def pad_batch(df: DataFrame, batch: str, ids: str = "input_ids", multiple: int =
         padded, mask = F.concat(pad, F.col(ids)), F.concat(zeros, ones)
     else:
         padded, mask = F.concat(F.col(ids), pad), F.concat(ones, zeros)
-    return j.select(*[c for c in df.columns if c != ids], padded.alias(ids), mask.alias("attention_mask"),
+    rest = [c for c in df.columns if c not in (ids, "attention_mask", "labels")]
+    return j.select(*rest, padded.alias(ids), mask.alias("attention_mask"),
                     padded.alias("labels"))
 
 

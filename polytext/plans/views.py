@@ -255,3 +255,16 @@ register_sql_view("v_vocab", ["v_freq"], """
     SELECT token, CAST(3 + row_number() OVER (ORDER BY first) AS INTEGER) AS id FROM v_freq
     WHERE count >= 2 AND token NOT IN ('<s>', '<pad>', '</s>', '<unk>')
     UNION ALL SELECT * FROM (VALUES ('<s>', 0), ('<pad>', 1), ('</s>', 2), ('<unk>', 3)) t(token, id)""")
+
+
+# ---- v_batches: documents with character length and two bins
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", F.char_length("text").alias("n_chars"),
+                    (F.col("doc_id") % 2).cast("int").alias("src_bin"),
+                    (F.col("doc_id") % 3 % 2).cast("int").alias("tgt_bin"))
+
+
+register_sql_view("v_batches", [], """
+    SELECT doc_id, lang, length(text) AS n_chars, CAST(doc_id % 2 AS INTEGER) AS src_bin,
+      CAST(doc_id % 3 % 2 AS INTEGER) AS tgt_bin FROM documents""")
