@@ -28,3 +28,139 @@ def read_hyp_cache(spark: SparkSession, path: str, corpus: str | None = None) ->
     if corpus is not None:
         df = df.where(F.col("corpus") == corpus)
     return df
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """A1: every file is one record (``value``); CR LF / CR become LF like
+    Python's universal newlines."""
+    df = spark.read.text(path, wholetext=True)
+    return df.select(F.regexp_replace("value", "\r\n?", "\n").alias("value"),
+                     F.input_file_name().alias("file"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A2: one record per line (the line terminator is dropped)."""
+    return spark.read.text(path)
+
+
+def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
+    """0-based line numbers in file order: part files by name, lines by their
+    position in the file (two-pass dense index, no single-task window)."""
+    from polytext.operators.batching import dense_index
+    tagged = df.select("*", F.input_file_name().alias("_lfile"), F.monotonically_increasing_id().alias("_lmid"))
+    return dense_index(tagged, ["_lfile", "_lmid"], out=out).drop("_lfile", "_lmid")
+
+
+def read_json_entries(spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA, multi_line: bool = False
+                      ) -> DataFrame:
+    """A3: JSON entries with an explicit schema.  A top-level JSON array needs
+    ``multi_line=True`` (not splittable: ingest it once into Parquet)."""
+    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+
+
+def write_results(df: DataFrame, path: str, raw: bool, mode: str = "errorifexists") -> None:
+    """A11 (+A12: one part file per task): raw formats write one hypothesis
+    per line, others JSON lines with the reference's hyphenated keys."""
+    if raw:
+        df.select(F.coalesce(F.col("hyp_output"), F.lit("None")).alias("value")).write.mode(mode).text(path)
+    else:
+        ren = {"hyp_output": "hyp-output", "hyp_index": "hyp-index", "hyp_mean_logprob": "hyp-mean-logprob"}
+        df.select(*[F.col(c).alias(ren.get(c, c)) for c in df.columns]).write.mode(mode).json(path)
+
+
+def read_sharded_outputs(spark: SparkSession, path: str, expected_rows: int | None, schema: str) -> DataFrame:
+    """A4: read ``path``; if absent, ``path.proc0``, ``path.proc1``, ... up to
+    the first gap; check the row count and order by the index."""
+    if path_exists(spark, path):
+        parts = [path]
+    else:
+        parts, i = [], 0
+        while path_exists(spark, f"{path}.proc{i}"):
+            parts.append(f"{path}.proc{i}")
+            i += 1
+        if not parts:
+            raise FileNotFoundError(path)
+    df = spark.read.schema(schema).json(parts)
+    if expected_rows is not None:
+        n = df.count()
+        if n != expected_rows:
+            raise ValueError(f"something went wrong with the outputs, {n} != {expected_rows}")
+    return df.orderBy("`hyp-index`")
+
+
+def lang_from_name(path: str) -> str:
+    return path.rstrip("/").split(".")[-1]
+
+
+def read_parallel_text(spark: SparkSession, file1: str, file2: str) -> DataFrame:
+    """Two line-aligned files zipped by line number; the language is the
+    last dotted part of the name; both sides stripped; a shorter second file
+    gives '', surplus lines of the second file are dropped."""
+    from polytext.functions.text import py_strip
+    l1, l2 = lang_from_name(file1), lang_from_name(file2)
+    a = with_line_numbers(read_lines(spark, file1)).select("line_no", py_strip("value").alias("t1"))
+    b = with_line_numbers(read_lines(spark, file2)).select("line_no", py_strip("value").alias("t2"))
+    j = a.join(b, "line_no", "left")
+    return j.select("line_no", F.lit(l1).alias("lang1"), F.col("t1").alias("text1"), F.lit(l2).alias("lang2"),
+                    F.coalesce(F.col("t2"), F.lit("")).alias("text2"))
+
+
+def parallel_to_tuples(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One category per file pair (source 'f1-f2'), tuples as maps."""
+    out = None
+    for f1, f2 in pairs:
+        p = read_parallel_text(spark, f1, f2)
+        t = p.select(F.lit(f"{f1}-{f2}").alias("source"), F.col("line_no").alias("pos"),
+                     F.create_map("lang1", "text1", "lang2", "text2").alias("m"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def write_tsv_pairs(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``src_lang<TAB>input<TAB>tgt_lang<TAB>output`` lines, unquoted."""
+    pairs.select(F.concat_ws("\t", "src_lang", "input", "tgt_lang", "output").alias("value")) \
+        .write.mode(mode).text(path)
+
+
+def read_vocab_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """A8 input: ``token<TAB>count`` lines with their line numbers."""
+    lines = with_line_numbers(read_lines(spark, path))
+    return lines.select("line_no", F.split("value", "\t").getItem(0).alias("token"))
+
+
+def write_shards(df: DataFrame, path: str, shard: str = "shard_id") -> DataFrame:
+    """Write rows partitioned by shard (never overwriting) and a manifest
+    (shard, rows) next to them; returns the manifest."""
+    df.write.mode("errorifexists").partitionBy(shard).parquet(f"{path}/data")
+    manifest = df.groupBy(shard).agg(F.count(F.lit(1)).alias("shard_size"))
+    manifest.write.mode("errorifexists").json(f"{path}/manifest")
+    return manifest
+
+
+def read_manifest_shards(spark: SparkSession, path: str, shard: str = "shard_id") -> tuple[DataFrame, DataFrame]:
+    """A10: the shards listed in the manifest and the shards whose row count
+    differs from the manifest (violations; empty when consistent)."""
+    manifest = spark.read.schema(f"{shard} bigint, shard_size bigint").json(f"{path}/manifest")
+    data = spark.read.parquet(f"{path}/data")
+    data = data.join(manifest.select(shard), shard, "left_semi")
+    counts = data.groupBy(shard).agg(F.count(F.lit(1)).alias("rows"))
+    bad = manifest.join(counts, shard, "full_outer").where(
+        F.coalesce(F.col("rows"), F.lit(-1)) != F.coalesce(F.col("shard_size"), F.lit(-1)))
+    return data, bad
+
+
+def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The score table (key, score) as JSON, sorted by key (a small
+    result: one row per language pair and metric)."""
+    scores.orderBy("key").write.mode(mode).json(path)
