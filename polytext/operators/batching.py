@@ -198,3 +198,23 @@ def bin_update_stats(binned: DataFrame) -> DataFrame:
                       (F.lit(100.0) * F.col("dud_bins") / F.col("total")).alias("dud_pct"),
                       (F.lit(100.0) * F.col("dud_rows") / F.col("total")).alias("dud_row_pct"),
                       "enc_samples", "dec_samples")
+
+
+def progress_eta(steps: DataFrame, run: str, ts: str, order: list[str], max_steps: Column | None = None
+                 ) -> DataFrame:
+    """F1: per run and step: the step's elapsed time (microseconds since the
+    previous step), the running mean of those intervals and the ETA =
+    mean x remaining steps.  The running mean telescopes to
+    (ts - first ts) / intervals, so only the dense per-run index is needed --
+    no window over a run (which may be a hot key)."""
+    idx = dense_index(steps, order, group_by=[run], out="step_idx")
+    first = idx.groupBy(run).agg(F.min(ts).alias("_t0"), F.count(F.lit(1)).alias("_n"))
+    prev = idx.select(run, (F.col("step_idx") + 1).alias("step_idx"), F.col(ts).alias("_prev"))
+    j = idx.join(first, run).join(prev, [run, "step_idx"], "left")
+    # timestamp_diff works for zone-less timestamps too and needs no time zone
+    since_start = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col(ts))
+    mean = F.when(F.col("step_idx") > 0, since_start / F.col("step_idx"))
+    total = max_steps if max_steps is not None else F.col("_n")
+    return j.select(*steps.columns, "step_idx",
+                    F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)).alias("elapsed_us"), mean.alias("mean_us"),
+                    (mean * (total - 1 - F.col("step_idx"))).alias("eta_us"))
