@@ -121,10 +121,11 @@ def output_lang_weights(counts: DataFrame) -> DataFrame:
         "lo_lang", "lo_segm", "lang", "cum", (F.col("w") / F.col("total")).alias("weight"))
 
 
-def accepted_to_entries(scored: DataFrame, flt: str = "flt", hyp: str = "hyp_output") -> DataFrame:
+def accepted_to_entries(scored: DataFrame, flt: str = "flt", hyp: str = "hyp_output",
+                        keep: list | None = None) -> DataFrame:
     """Keep 'ok' pivot results and swap direction: the hypothesis becomes
     the source (language '<new>, synth'), the low segment the target."""
-    return scored.where(F.col(flt) == "ok").select(
+    return scored.where(F.col(flt) == "ok").select(*(keep or []),
         F.col(hyp).alias("src_segm"), F.concat(F.col("new_hi_res_lang"), F.lit(", synth")).alias("src_lang"),
         F.col("lo_segm").alias("tgt_segm"), F.col("lo_lang").alias("tgt_lang"),
         F.lit("approx-translate").alias("task"))

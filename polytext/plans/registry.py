@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the catalog modules fills the registry.
     from polytext.plans import catalog_core  # noqa: F401
-    for mod in ("catalog_synth", "catalog_metrics", "catalog_text", "catalog_tuples", "catalog_codes", "catalog_contamination", "catalog_tokens", "catalog_langid", "catalog_io", "catalog_stream", "catalog_batching",
+    for mod in ("catalog_synth", "catalog_metrics", "catalog_text", "catalog_tuples", "catalog_codes", "catalog_contamination", "catalog_tokens", "catalog_langid", "catalog_io", "catalog_stream", "catalog_more", "catalog_batching",
                 "catalog_scoring", "catalog_io"):
         try:
             __import__(f"polytext.plans.{mod}")
