@@ -125,3 +125,16 @@ SELECT o.i // {B} + 1 AS batch_pos, count(*) AS rows, CAST(max(least(len(t.toks)
   CAST(sum(least(len(t.toks), 8000)) AS BIGINT) AS real_tokens
 FROM ordered o JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[^\\s]+') AS toks FROM documents) t
   USING (doc_id) GROUP BY 1""", "v_batches", ctes=_PAD_SQL))(_token_batches)
+
+
+# Byte-pair merges learned from the document corpus (iterative; no SQL
+# oracle -- tested against a brute-force learner on a small fixture)
+BPE_MERGES = 20
+
+
+def _bpe(spark, sf):
+    from polytext.operators.subword import learn_bpe
+    return learn_bpe(V.table(spark, sf, "documents"), "text", BPE_MERGES)
+
+
+register("learn_subword_vocab")(_bpe)
