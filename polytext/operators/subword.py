@@ -58,6 +58,7 @@ def learn_bpe(texts: DataFrame, text: str, n_merges: int, min_count: int = 2, ch
     ensure_checkpoint_dir(spark)
     syms = word_symbols(texts, text).checkpoint(eager=True)
     merges: list[tuple[int, str, str, int]] = []
+    cached = None
     for r in range(n_merges):
         pairs = syms.where(F.size("s") >= 2).select("count", F.explode(F.transform(
             F.sequence(F.lit(1), F.size("s") - 1),
@@ -68,7 +69,19 @@ def learn_bpe(texts: DataFrame, text: str, n_merges: int, min_count: int = 2, ch
             break
         left, right, c = best[0]["l"], best[0]["r"], int(best[0]["c"])
         merges.append((r, left, right, c))
-        syms = syms.select("word", "count", _merge(F.col("s"), left, right).alias("s"))
+        # only words holding both symbols can change; the round's table is
+        # persisted so the next round does not replay earlier merges
+        touched = F.array_contains("s", left) & F.array_contains("s", right)
+        syms = syms.select("word", "count", F.when(touched, _merge(F.col("s"), left, right))
+                           .otherwise(F.col("s")).alias("s"))
         if (r + 1) % checkpoint_every == 0:
             syms = syms.checkpoint(eager=True)
+        else:
+            syms = syms.persist()
+            syms.count()
+        if cached is not None:
+            cached.unpersist()
+        cached = syms
+    if cached is not None:
+        cached.unpersist()
     return spark.createDataFrame(merges, "rank int, left string, right string, count bigint")
