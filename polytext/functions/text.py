@@ -49,9 +49,10 @@ def tok13a(x) -> Column:
 
 
 def split_tokens(tokenised) -> Column:
-    """Space-separated tokens; the empty string gives an empty array."""
-    t = _c(tokenised)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Space-separated tokens; the empty string gives an empty array.  The
+    input is referenced once, so an expensive tokeniser expression is not
+    evaluated twice."""
+    return F.array_remove(F.split(_c(tokenised), " "), "")
 
 
 def word_ngrams(tokens, n: int) -> Column:
@@ -64,9 +65,9 @@ def word_ngrams(tokens, n: int) -> Column:
 
 
 def code_points(s) -> Column:
-    """Array of the code points of a string (split once, O(len))."""
-    c = _c(s)
-    return F.when(F.char_length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    """Array of the code points of a string (split once, O(len)); the input is
+    referenced once."""
+    return F.array_remove(F.split(_c(s), ""), "")
 
 
 def char_ngrams(chars, n: int) -> Column:

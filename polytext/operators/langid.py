@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.text import char_ngrams, code_points
+from polytext.session import ensure_checkpoint_dir
 
 NGRAM = 3
 SCORE_DIGITS = 6
@@ -36,7 +37,11 @@ def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Returns (model: lang, gram, delta) and (per_lang: lang, unseen_lp)."""
     grams = _grams(labelled, [lang], text)
-    counts = grams.groupBy(lang, "gram").agg(F.count(F.lit(1)).alias("c"))
+    # the trained counts are materialised once (checkpoint in the shared
+    # folder): the vocabulary size, the language totals and the model all
+    # read them, and the lineage back to the corpus is cut
+    ensure_checkpoint_dir(labelled.sparkSession)
+    counts = grams.groupBy(lang, "gram").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
     n_vocab = counts.select("gram").distinct().count()  # one scalar
     # one row per language label (a small closed set)
     per_lang = counts.groupBy(lang).agg(F.sum("c").alias("N")).select(

@@ -46,7 +46,7 @@ def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[st
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = (df.select(F.col(row_id).alias("_rid"), *keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
             .repartition(n_part, "_rid"))
-    toks = base.select("_rid", *keep,
+    toks = base.select("_rid",
                        split_tokens(tok13a("_h")).alias("_th"), split_tokens(tok13a("_r")).alias("_tr"),
                        code_points(remove_ws("_h")).alias("_ch"), code_points(remove_ws("_r")).alias("_cr"))
 
@@ -60,22 +60,25 @@ def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[st
         parts += [tagged(word_ngrams("_th", n), n, 0), tagged(word_ngrams("_tr", n), n, 1)]
     for n in range(1, CHRF_ORDER + 1):
         parts += [tagged(char_ngrams("_ch", n), 10 + n, 0), tagged(char_ngrams("_cr", n), 10 + n, 1)]
-    grams = toks.select("_rid", *keep, F.inline(F.concat(*parts)))
-    # keep columns depend on the row id only; grouping by them adds no groups.
-    per_gram = grams.groupBy("_rid", *keep, "kn", "g").agg(
+    grams = toks.select("_rid", F.inline(F.concat(*parts)))
+    per_gram = grams.groupBy("_rid", "kn", "g").agg(
         F.sum(1 - F.col("s")).alias("_nh"), F.sum(F.col("s")).alias("_nr"))
 
     def ssum(cond, col):
         return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0)).cast("bigint")
 
     kn = F.col("kn")
-    per_row = per_gram.groupBy("_rid", *keep).agg(
+    per_row = per_gram.groupBy("_rid").agg(
         ssum(kn == 1, "_nh").alias("sys_len"), ssum(kn == 1, "_nr").alias("ref_len"),
         ssum(kn == 11, "_nh").alias("_lch"), ssum(kn == 11, "_nr").alias("_lcr"),
         *[F.coalesce(F.sum(F.when(kn == n, F.least("_nh", "_nr"))), F.lit(0)).cast("bigint")
           .alias(f"bleu_correct_{n}") for n in range(1, BLEU_ORDER + 1)],
         *[F.coalesce(F.sum(F.when(kn == 10 + n, F.least("_nh", "_nr"))), F.lit(0)).cast("bigint")
           .alias(f"chrf_match_{n}") for n in range(1, CHRF_ORDER + 1)])
+    if keep:
+        # pass-through columns are joined back per row (both sides come from
+        # the same row-id exchange) instead of widening every n-gram key
+        per_row = per_row.join(base.select("_rid", *keep), "_rid")
     # totals follow from the lengths: max(len - n + 1, 0) per row
     return per_row.select(
         F.col("_rid").alias(row_id), *keep, "sys_len", "ref_len",
