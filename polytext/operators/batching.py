@@ -118,13 +118,33 @@ def shard_assign(batch_no: str, shard_size: int) -> Column:
     return F.floor(F.col(batch_no) / shard_size).cast("bigint")
 
 
+def prefix_sum(df: DataFrame, value: str, order_by: list, out: str = "prefix", partitions: int | None = None
+               ) -> DataFrame:
+    """Exclusive running sum of ``value`` in the total order ``order_by``,
+    computed like ``dense_index``: range partitions, a running sum inside each
+    partition (a window per partition id, so all partitions work in
+    parallel), per-partition totals and their offsets."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _cols(order_by)
+    tagged = df.repartitionByRange(n, *keys).select("*", F.spark_partition_id().alias("_pid"))
+    ensure_checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
+    inner = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.select("*", F.coalesce(F.sum(value).over(inner), F.lit(0)).alias("_local"))
+    totals = tagged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    # one row per partition: bounded by the partition count
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
+    return local.join(offsets, "_pid").select(*df.columns, (F.col("_off") + F.col("_local")).alias(out))
+
+
 def shard_manifest(df: DataFrame, shard: str = "shard_id") -> DataFrame:
     """A13 manifest / F9: rows per shard and the global position of each
-    shard's first row (sum of the sizes of earlier shards)."""
+    shard's first row (sum of the sizes of earlier shards).  The shard table
+    grows with the data, so the running sum is distributed (``prefix_sum``)."""
     m = df.groupBy(shard).agg(F.count(F.lit(1)).alias("shard_size"))
-    # one row per shard: a bounded table, so a global running window is fine
-    w = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    return m.select(shard, "shard_size", F.coalesce(F.sum("shard_size").over(w), F.lit(0)).alias("shard_start"))
+    return prefix_sum(m, "shard_size", [shard], out="shard_start")
 
 
 def pad_last_batch(df: DataFrame, key: str, batch_size: int, seed: str = "last") -> DataFrame:
