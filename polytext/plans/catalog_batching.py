@@ -60,8 +60,8 @@ SELECT doc_id, pad_copy, i // {B} AS batch_id, i % {B} AS row_in_batch,
 
 # F8 + A13 manifest + F9 epoch positions
 register("shard_manifest", V.with_views(f"""
-SELECT shard_id, shard_size, coalesce(sum(shard_size) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING
-  AND 1 PRECEDING), 0) AS shard_start
+SELECT shard_id, shard_size, CAST(coalesce(sum(shard_size) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) AS BIGINT) AS shard_start
 FROM (SELECT i // {B} // {SHARD} AS shard_id, count(*) AS shard_size FROM ordered GROUP BY 1)""", "v_batches",
                                         ctes=_PAD_SQL))(
     lambda spark, sf: BA.shard_manifest(_lsb(spark, sf).withColumn("shard_id", BA.shard_assign("batch_id", SHARD))))
@@ -146,11 +146,11 @@ register("bin_pair_choice", V.with_views("SELECT doc_id, ch.s AS src_bin, ch.t A
     lambda spark, sf: _bin_pairs(spark, sf).select("doc_id", "src_bin", "tgt_bin"))
 
 register("bin_update_stats", V.with_views("""
-SELECT sum(l) AS total, sum(CASE WHEN s = 0 OR t = 0 THEN l ELSE 0 END) AS total_x,
+SELECT CAST(sum(l) AS BIGINT) AS total, CAST(sum(CASE WHEN s = 0 OR t = 0 THEN l ELSE 0 END) AS BIGINT) AS total_x,
   50.0 * sum(l * (2 - s - t)) / sum(l) AS coupled_pct,
   100.0 * count(*) FILTER (WHERE s = 1 AND t = 1) / sum(l) AS dud_pct,
   100.0 * sum(CASE WHEN s = 1 AND t = 1 THEN l ELSE 0 END) / sum(l) AS dud_row_pct,
-  sum(l * (1 - s)) AS enc_samples, sum(l * (1 - t)) AS dec_samples
+  CAST(sum(l * (1 - s)) AS BIGINT) AS enc_samples, CAST(sum(l * (1 - t)) AS BIGINT) AS dec_samples
 FROM (SELECT ch.s AS s, ch.t AS t, count(*) AS l FROM chosen GROUP BY ALL)""", "v_entries", ctes=_PAIRS_SQL))(
     lambda spark, sf: BA.bin_update_stats(_bin_pairs(spark, sf)))
 

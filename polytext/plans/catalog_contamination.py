@@ -20,7 +20,7 @@ def _sentence_pairs(spark, sf):
                                   F.col("lang").alias("tgt_lang"), "p.src", "p.tgt")
 
 
-_PAIRS_SQL = """pairs AS (SELECT doc_id, i - 1 AS pos, lang AS src_lang, lang AS tgt_lang, sents[i] AS src,
+_PAIRS_SQL = """pairs AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, lang AS src_lang, lang AS tgt_lang, sents[i] AS src,
     sents[i + 1] AS tgt
   FROM (SELECT *, unnest(range(1, len(sents))) AS i FROM v_doc_sents WHERE len(sents) >= 2))"""
 

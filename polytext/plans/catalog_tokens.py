@@ -52,7 +52,7 @@ def _tokenised(spark, sf):
 
 
 register("tokenise_rows", V.with_views(
-    "SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, len(input_ids) AS n_ids FROM ids",
+    "SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, CAST(len(input_ids) AS INTEGER) AS n_ids FROM ids",
     "v_vocab", ctes=_TOK_SQL))(
     lambda spark, sf: _tokenised(spark, sf).select("doc_id", _ids_text("input_ids").alias("input_ids"),
                                                    F.size("attention_mask").alias("n_ids")))

@@ -98,7 +98,8 @@ register("synth_plan_stats", V.with_views(f"""
 SELECT source, n_sentences, n_high, n_sentences * n_high AS n_sent_x_high,
   n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high) AS n_to_translate FROM per
 UNION ALL
-SELECT NULL, sum(n_sentences), NULL, sum(n_sentences * n_high), sum(n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high))
+SELECT NULL, CAST(sum(n_sentences) AS BIGINT), NULL, CAST(sum(n_sentences * n_high) AS BIGINT),
+  CAST(sum(n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high)) AS BIGINT)
 FROM per""", "v_tuple_items", ctes=f"""
 per_tuple AS (SELECT tuple_id, count(*) FILTER (WHERE key IN {_HIGH} AND NOT contains(key, 'dia')) AS nh
   FROM v_tuple_items GROUP BY tuple_id),

@@ -10,6 +10,7 @@ from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 _SQL = E.oracle_sql()
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 _Q = E.queries()
 
 
@@ -41,6 +42,9 @@ def test_query_matches_oracle(spark, duck_all, name):
     assert sorted(df.columns) == sorted(res.columns)
     assert len(srows) == len(orows)
     assert digest(df.columns, srows)[0] == digest(res.columns, orows)[0]
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    duck_types = dict(zip(res.columns, [str(t) for t in res.types]))
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
