@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.langs import gen_lang_metric, resource_tier
-from polytext.functions.text import char_ngrams, code_points, remove_ws, split_tokens, tok13a, word_ngrams
+from polytext.functions.text import remove_ws, tok13a
 
 # Metric settings (library defaults of sacreBLEU BLEU / chrF).
 BLEU_ORDER = 4
@@ -29,6 +29,12 @@ CHRF_BETA = 2
 CHRF_EPS = 1e-16
 BLEU_LOG_ZERO = -9999999999.0
 
+# Overlapping windows at every start: up to BLEU_ORDER tokens of a 13a-tokenised
+# text (single spaces, starts after a space or at the beginning), up to
+# CHRF_ORDER code points of a text without white space.
+WORD_WINDOWS = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){0,%d}))" % (BLEU_ORDER - 1)
+CHAR_WINDOWS = r"(?s)(?=(.{1,%d}))" % CHRF_ORDER
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -46,21 +52,37 @@ def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[st
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = (df.select(F.col(row_id).alias("_rid"), *keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
             .repartition(n_part, "_rid"))
-    toks = base.select("_rid",
-                       split_tokens(tok13a("_h")).alias("_th"), split_tokens(tok13a("_r")).alias("_tr"),
-                       code_points(remove_ws("_h")).alias("_ch"), code_points(remove_ws("_r")).alias("_cr"))
-
-    # n-grams of both sides, tagged with (kind/order code, side).  One sentinel
-    # element per row keeps rows whose texts are both empty.
-    def tagged(arr: Column, kn: int, side: int) -> Column:
-        return F.transform(arr, lambda g: F.struct(F.lit(kn).alias("kn"), g.alias("g"), F.lit(side).alias("s")))
-
-    parts = [F.array(F.struct(F.lit(0).alias("kn"), F.lit("").alias("g"), F.lit(0).alias("s")))]
-    for n in range(1, BLEU_ORDER + 1):
-        parts += [tagged(word_ngrams("_th", n), n, 0), tagged(word_ngrams("_tr", n), n, 1)]
-    for n in range(1, CHRF_ORDER + 1):
-        parts += [tagged(char_ngrams("_ch", n), 10 + n, 0), tagged(char_ngrams("_cr", n), 10 + n, 1)]
-    grams = toks.select("_rid", F.inline(F.concat(*parts)))
+    toks = base.select("_rid", tok13a("_h").alias("_th"), tok13a("_r").alias("_tr"),
+                       remove_ws("_h").alias("_ch"), remove_ws("_r").alias("_cr"))
+
+    # One greedy regex pass per text finds, at every start position, the
+    # longest window (up to 4 tokens / 6 characters); the n-grams of every
+    # order at that position are its prefixes.  No per-element lambda runs
+    # (higher-order functions are interpreted), and each text is scanned once.
+    # A sentinel element per row keeps rows whose texts are both empty.
+    heads = F.array(
+        F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.array(F.lit("")).alias("gs")),
+        F.struct(F.lit(1).alias("k"), F.lit(0).alias("s"), F.regexp_extract_all("_th", F.lit(WORD_WINDOWS), 1)
+                 .alias("gs")),
+        F.struct(F.lit(1).alias("k"), F.lit(1).alias("s"), F.regexp_extract_all("_tr", F.lit(WORD_WINDOWS), 1)
+                 .alias("gs")),
+        F.struct(F.lit(2).alias("k"), F.lit(0).alias("s"), F.regexp_extract_all("_ch", F.lit(CHAR_WINDOWS), 1)
+                 .alias("gs")),
+        F.struct(F.lit(2).alias("k"), F.lit(1).alias("s"), F.regexp_extract_all("_cr", F.lit(CHAR_WINDOWS), 1)
+                 .alias("gs")))
+    wins = toks.select("_rid", F.inline(heads)).select("_rid", "k", "s", F.explode("gs").alias("w"))
+    k, w = F.col("k"), F.col("w")
+    # window length in tokens (k = 1) or characters (k = 2)
+    span = (F.when(k == 2, F.char_length(w))
+            .when(k == 1, F.char_length(w) - F.char_length(F.replace(w, F.lit(" "), F.lit(""))) + 1).otherwise(1))
+    prefixes = F.array(*[F.struct(
+        F.when(k == 0, F.lit(0 if n == 1 else -1)).when(k == 1, F.lit(n if n <= BLEU_ORDER else -1))
+        .otherwise(F.lit(10 + n)).alias("kn"),
+        F.when(k == 2, F.substring(w, 1, n)).when(k == 1, F.substring_index(w, " ", n)).otherwise(F.lit(""))
+        .alias("g"),
+        F.lit(n).alias("n")) for n in range(1, max(BLEU_ORDER, CHRF_ORDER) + 1)])
+    grams = (wins.select("_rid", "s", span.alias("_span"), F.inline(prefixes))
+             .where((F.col("kn") >= 0) & (F.col("n") <= F.col("_span"))))
     per_gram = grams.groupBy("_rid", "kn", "g").agg(
         F.sum(1 - F.col("s")).alias("_nh"), F.sum(F.col("s")).alias("_nr"))
 
