@@ -28,9 +28,10 @@ def dense_index(df: DataFrame, order_by: list, group_by: list[str] | None = None
     (which must break ties), restarting at 0 for every ``group_by`` group."""
     group_by = group_by or []
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group_by] + _cols(order_by)
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count, adaptive execution sizes the range partitions
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    tagged = (ranged.sortWithinPartitions(*keys)
               .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")))
     if checkpoint:
         ensure_checkpoint_dir(spark)
@@ -125,9 +126,9 @@ def prefix_sum(df: DataFrame, value: str, order_by: list, out: str = "prefix", p
     partition (a window per partition id, so all partitions work in
     parallel), per-partition totals and their offsets."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order_by)
-    tagged = df.repartitionByRange(n, *keys).select("*", F.spark_partition_id().alias("_pid"))
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    tagged = ranged.select("*", F.spark_partition_id().alias("_pid"))
     ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint(eager=True)
     inner = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
