@@ -4,9 +4,10 @@
 Joins carry no broadcast hint: the dev side is small in practice, but its size
 is only known at run time, so the choice is left to adaptive execution, which
 turns the join into a broadcast hash join after measuring the shuffle size and
-keeps a sort-merge join otherwise.  Train sentences are aggregated (with
-map-side partial counts) only after a semi-join to the dev keys, so a hot
-repeated sentence is never shuffled row by row.
+keeps a sort-merge join otherwise.  A sentence repeated in many documents is a
+hot join key, so the train side is salted (``joins.salted_join``); train
+sentences are aggregated (map-side partial counts) only after the semi-join
+to the dev keys.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.text import py_strip
+from polytext.operators.joins import salted_join
 
 # Fixed value: sentence separator of the contamination check.
 SENTENCE_SPLIT = "[.\n]+"
@@ -29,15 +31,20 @@ def decontaminate(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str =
                   src_lang: str = "src_lang", tgt_lang: str = "tgt_lang") -> DataFrame:
     """Drop a pair when either side appears verbatim in the dev set of
     its language.  ``dev`` has columns (lang, sentence)."""
-    d = dev.select(F.col("lang").alias("_dl"), F.col("sentence").alias("_ds")).distinct()
-    out = pairs.join(d, (F.col(src_lang) == F.col("_dl")) & (F.col(src) == F.col("_ds")), "left_anti")
-    return out.join(d, (F.col(tgt_lang) == F.col("_dl")) & (F.col(tgt) == F.col("_ds")), "left_anti")
+    d = dev.select("lang", "sentence").distinct()
+    # a repeated sentence is a hot key: salted anti-joins keyed by the pair
+    salt = F.concat_ws("|", *[F.col(c).cast("string") for c in (src, tgt)])
+    out = salted_join(pairs, d.select(F.col("lang").alias(src_lang), F.col("sentence").alias(src)),
+                      [src_lang, src], "left_anti", salt_by=salt)
+    return salted_join(out, d.select(F.col("lang").alias(tgt_lang), F.col("sentence").alias(tgt)),
+                       [tgt_lang, tgt], "left_anti", salt_by=salt)
 
 
 def contamination_hits(train: DataFrame, dev: DataFrame) -> DataFrame:
     """For every distinct dev (lang, sentence): occurrences in train."""
     d = dev.select("lang", "sentence").distinct()
-    hits = (train.select("lang", "sentence").join(d, ["lang", "sentence"], "left_semi")
+    t = train.select("lang", "sentence", F.monotonically_increasing_id().alias("_row"))
+    hits = (salted_join(t, d, ["lang", "sentence"], "left_semi", salt_by=F.col("_row"))
             .groupBy("lang", "sentence").agg(F.count(F.lit(1)).alias("hits")))
     return d.join(hits, ["lang", "sentence"], "left").select(
         "lang", "sentence", F.coalesce(F.col("hits"), F.lit(0)).alias("hits"))
