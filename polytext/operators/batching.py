@@ -191,8 +191,10 @@ def lang_to_bins(spec: DataFrame, lang: str = "lang", bin_idx: str = "bin") -> D
 def bin_pair_choice(pairs: DataFrame, bins: DataFrame, key: str, seed: str = "binpair") -> DataFrame:
     """Per pair, all (src bin, tgt bin) combinations except (1, 1); one is
     picked uniformly (hash-keyed); pairs without a combination are dropped."""
-    sb = bins.select(F.col("lang").alias("src_lang"), F.col("bins").alias("_sb"))
-    tb = bins.select(F.col("lang").alias("tgt_lang"), F.col("bins").alias("_tb"))
+    # one row per language (a bounded dimension): broadcast, so a dominant
+    # language is never a hot shuffle key
+    sb = F.broadcast(bins.select(F.col("lang").alias("src_lang"), F.col("bins").alias("_sb")))
+    tb = F.broadcast(bins.select(F.col("lang").alias("tgt_lang"), F.col("bins").alias("_tb")))
     j = pairs.join(sb, "src_lang", "inner").join(tb, "tgt_lang", "inner")
     combos = F.filter(F.flatten(F.transform("_sb", lambda s: F.transform("_tb", lambda t: F.struct(
         s.alias("s"), t.alias("t"))))), lambda x: ~((x["s"] == 1) & (x["t"] == 1)))

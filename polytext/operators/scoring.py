@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polytext.operators.joins import salted_join
 from polytext.operators.qc import OVERLENGTH_LOGPROB, OVERLENGTH_TOKENS
 
 _MODELS: dict[str, Callable] = {}
@@ -122,7 +123,8 @@ def memo_translate_fill(tuples: DataFrame, missing: DataFrame, key_rank: Column,
     value) rows to add to the tuples."""
     todo = missing.select("src", "tgt", "sentence").distinct()
     done = score_batches(todo, "sentence", factory, out="translation").drop("hyp_mean_logprob")
-    back = missing.join(done, ["src", "tgt", "sentence"], "inner")
+    # a sentence shared by many tuples is a hot key: salted join
+    back = salted_join(missing, done, ["src", "tgt", "sentence"], "inner", salt_by=F.col("tuple_id"))
     return back.groupBy("tuple_id", F.col("tgt").alias("key")).agg(
         F.max_by("translation", key_rank).alias("value"))
 
@@ -133,10 +135,17 @@ def sequence_mean_logprob(logits: DataFrame, start: int) -> DataFrame:
     one; prompt positions excluded).  Log-sum-exp is max-shifted."""
     nxt = logits.select("seq_id", (F.col("pos") - 1).alias("pos"), F.col("token").alias("_next"))
     j = logits.join(nxt, ["seq_id", "pos"], "inner").where(F.col("pos") >= start - 1)
-    lg = F.transform("logits", lambda x: x.cast("double"))
-    m = F.array_max(lg)
-    lse = m + F.log(F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    lp = F.element_at(lg, F.col("_next") + 1) - lse
+    # one-pass (online) log-sum-exp: the running maximum lives in the
+    # accumulator, so no outer expression is re-evaluated per element
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        x = x.cast("double")
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+
+    lse = F.aggregate("logits", init, step, lambda acc: acc["m"] + F.log(acc["s"]))
+    lp = F.element_at("logits", F.col("_next") + 1).cast("double") - lse
     return j.groupBy("seq_id").agg(F.avg(lp).alias("mean_logprob"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from polytext.functions import langs as L
 from polytext.functions.rand import hash_u32
+from polytext.operators.joins import salted_join
 
 # Draws of one row are split into chunks of this many before they are
 # exploded, so that a hot (heavily repeated) pair spreads over many tasks.
@@ -78,7 +79,13 @@ def weighted_draws(df: DataFrame, keep: list[str], seed_col: str, n_draws: Colum
     draws = chunks.select("*", F.explode(F.sequence(
         F.col("_chunk") * chunk + 1, F.least(F.col("_k"), (F.col("_chunk") + 1) * chunk))).alias("_i"))
     r = F.floor(hash_u32(F.col(seed_col), F.col("_i")) * F.col("_tot") / F.lit(4294967296.0)).cast("bigint")
-    picked = draws.select(*keep, F.element_at(F.filter("_cdf", lambda c: c["cum"] > r), 1)["lang"].alias(out))
+    # first candidate whose cumulative weight exceeds r: a CASE chain over the
+    # (at most len(HI_RES_WEIGHTS)) candidates, so the hash is computed once
+    pick = F.lit(None).cast("string")
+    for i in reversed(range(1, len(L.HI_RES_WEIGHTS) + 1)):
+        c = F.try_element_at(F.col("_cdf"), F.lit(i))
+        pick = F.when(c["cum"] > r, c["lang"]).otherwise(pick)
+    picked = draws.select(*keep, pick.alias(out))
     return picked.distinct()
 
 
@@ -101,7 +108,9 @@ def pivot_plan(entries: DataFrame) -> DataFrame:
     counts = pivot_counts(entries)
     # bounded set (<= number of high languages) with map-side partial sets
     present = counts.groupBy("lo_lang", "lo_segm").agg(F.collect_set("hi_lang").alias("_present"))
-    j = counts.join(present, ["lo_lang", "lo_segm"], "inner")
+    # a low segment with very many high-side pairs is a hot key: salted join
+    j = salted_join(counts, present, ["lo_lang", "lo_segm"], "inner",
+                    salt_by=F.concat_ws("|", "hi_lang", "hi_segm"))
     j = j.select("lo_lang", "lo_segm", "hi_lang", "hi_segm", "cnt", "_present",
                  F.md5(F.concat_ws("|", "lo_lang", "lo_segm", "hi_lang", "hi_segm")).alias("_seed"))
     n = F.col("cnt") * L.resource_multiplier("lo_lang")

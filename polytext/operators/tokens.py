@@ -94,15 +94,18 @@ def tokenise(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int
 def loss_mask_delimiter(ids: str, delim_id: int) -> Column:
     """Positions up to and including the first delimiter are masked
     (True); a missing delimiter fails the job at that row."""
-    pos = F.array_position(F.col(ids), delim_id)
+    pos = F.array_position(F.col(ids), delim_id).cast("int")
+    n = F.size(F.col(ids))
     return F.when(pos == 0, F.raise_error(F.lit(f"delimiter id {delim_id} not in input"))) \
-        .otherwise(F.transform(F.col(ids), lambda x, i: i < pos))
+        .otherwise(F.concat(F.array_repeat(F.lit(True), pos), F.array_repeat(F.lit(False), n - pos)))
 
 
 def loss_mask_prefix(ids: str, n_masked: Column) -> Column:
     """Mask the first n tokens (n = token count of the prompt rendered with
     the output left blank, EOS included -- one output token too many, Q6)."""
-    return F.transform(F.col(ids), lambda x, i: i < n_masked)
+    n = F.size(F.col(ids))
+    k = F.least(n_masked.cast("int"), n)
+    return F.concat(F.array_repeat(F.lit(True), k), F.array_repeat(F.lit(False), n - k))
 
 
 def pad_batch(df: DataFrame, batch: str, ids: str = "input_ids", multiple: int = 8, left: bool = True,
@@ -127,9 +130,9 @@ def pad_batch(df: DataFrame, batch: str, ids: str = "input_ids", multiple: int =
 
 def fill_after_eos(ids: str, eos_id: int = EOS_ID) -> Column:
     """From the first EOS on, every position becomes EOS."""
-    pos = F.array_position(F.col(ids), eos_id)
-    return F.when(pos == 0, F.col(ids)).otherwise(
-        F.transform(F.col(ids), lambda x, i: F.when(i >= pos - 1, F.lit(eos_id)).otherwise(x)))
+    pos = F.array_position(F.col(ids), eos_id).cast("int")
+    return F.when(pos == 0, F.col(ids)).otherwise(F.concat(
+        F.slice(F.col(ids), 1, pos - 1), F.array_repeat(F.lit(eos_id), F.size(F.col(ids)) - pos + 1)))
 
 
 def set_language_token(ids: str, lang_id: Column) -> Column:

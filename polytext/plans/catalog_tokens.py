@@ -101,7 +101,8 @@ def _language_tokens(spark, sf):
     # one id per language (a table of distinct languages), after the vocabulary
     lang_ids = dense_index(docs.select("lang").distinct(), ["lang"], out="_i").select(
         "lang", (F.col("_i") + 1000001).cast("int").alias("lang_id"))
-    t = _tokenised(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").join(lang_ids, "lang")
+    # one row per language: broadcast (a dominant language is not a hot shuffle key)
+    t = _tokenised(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").join(F.broadcast(lang_ids), "lang")
     return t.select("doc_id", F.array_join(TK.set_language_token("input_ids", F.col("lang_id")).cast("array<string>"),
                                            " ").alias("input_ids"))
 
