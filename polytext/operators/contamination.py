@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.text import py_strip
-from polytext.operators.joins import salted_join
+from polytext.operators.joins import lookup_join
 
 # Fixed value: sentence separator of the contamination check.
 SENTENCE_SPLIT = "[.\n]+"
@@ -34,9 +34,9 @@ def decontaminate(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str =
     d = dev.select("lang", "sentence").distinct()
     # a repeated sentence is a hot key: salted anti-joins keyed by the pair
     salt = F.concat_ws("|", *[F.col(c).cast("string") for c in (src, tgt)])
-    out = salted_join(pairs, d.select(F.col("lang").alias(src_lang), F.col("sentence").alias(src)),
+    out = lookup_join(pairs, d.select(F.col("lang").alias(src_lang), F.col("sentence").alias(src)),
                       [src_lang, src], "left_anti", salt_by=salt)
-    return salted_join(out, d.select(F.col("lang").alias(tgt_lang), F.col("sentence").alias(tgt)),
+    return lookup_join(out, d.select(F.col("lang").alias(tgt_lang), F.col("sentence").alias(tgt)),
                        [tgt_lang, tgt], "left_anti", salt_by=salt)
 
 
@@ -44,7 +44,7 @@ def contamination_hits(train: DataFrame, dev: DataFrame) -> DataFrame:
     """For every distinct dev (lang, sentence): occurrences in train."""
     d = dev.select("lang", "sentence").distinct()
     t = train.select("lang", "sentence", F.monotonically_increasing_id().alias("_row"))
-    hits = (salted_join(t, d, ["lang", "sentence"], "left_semi", salt_by=F.col("_row"))
+    hits = (lookup_join(t, d, ["lang", "sentence"], "left_semi", salt_by=F.col("_row"))
             .groupBy("lang", "sentence").agg(F.count(F.lit(1)).alias("hits")))
     return d.join(hits, ["lang", "sentence"], "left").select(
         "lang", "sentence", F.coalesce(F.col("hits"), F.lit(0)).alias("hits"))

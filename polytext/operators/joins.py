@@ -25,3 +25,23 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     b = big.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(s, [*on, "_salt"], how).drop("_salt")
+
+
+# A lookup table is broadcast only below this many rows (checked by counting
+# it first); beyond it the salted shuffle join is used.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                salt_by: Column | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                salts: int = DEFAULT_SALTS) -> DataFrame:
+    """Join a large table to a lookup table (vocabulary, model, dev set).
+
+    The lookup side's size is checked first (one count; callers pass tables
+    that are materialised or cheap to count): below ``max_broadcast_rows`` it
+    is broadcast -- no shuffle of the large side, so hot keys cost nothing --
+    otherwise the join is salted so a hot key is spread over ``salts`` tasks.
+    """
+    if small.count() <= max_broadcast_rows:
+        return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how, salt_by=salt_by, salts=salts)

@@ -8,8 +8,9 @@ a partial count.  Scoring: a text's score for a language is
     sum over its trigrams g of count(g) * log P(g | lang)
   = n_trigrams * log P(unseen | lang) + sum over seen g of count(g) * delta(lang, g)
 
-so only the trigrams the model has seen are joined (a salted equi-join on the
-trigram, since a common trigram is a hot key), and the unseen mass is
+so only the trigrams the model has seen are joined (broadcast when the model's
+counted size allows, else salted, since a common trigram is a hot key), and
+the unseen mass is
 one multiplication per (text, language).  The best language wins; scores are
 rounded before the comparison and ties go to the smaller language code.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polytext.operators.joins import salted_join
+from polytext.operators.joins import lookup_join
 from polytext.session import ensure_checkpoint_dir
 
 NGRAM = 3
@@ -59,8 +60,9 @@ def detect(df: DataFrame, model: DataFrame, per_lang: DataFrame, key: str, text:
     g = _grams(df, [key], text).groupBy(key, "gram").agg(
         F.count(F.lit(1)).alias("n"))
     totals = g.groupBy(key).agg(F.sum("n").alias("_tot"))
-    # a common trigram is a hot key (it occurs in most texts): salted join
-    seen = salted_join(g, model, ["gram"], "inner", salt_by=F.col(key).cast("string")).groupBy(key, lang).agg(
+    # a common trigram is a hot key (it occurs in most texts): the model is
+    # broadcast when its counted size allows, else the join is salted
+    seen = lookup_join(g, model, ["gram"], "inner", salt_by=F.col(key).cast("string")).groupBy(key, lang).agg(
         F.sum(F.col("n") * F.col("delta")).alias("_seen"))
     # every text is scored for every language; the language table is tiny, so
     # it is turned into a literal array and exploded per text (no join)

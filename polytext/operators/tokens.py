@@ -4,10 +4,11 @@ I3), padding (I4), detokenisation (I6), language tokens (I8), batch
 tokenisation (I9), end-of-sequence fill (B22) and subword vocabulary learning
 (I5).
 
-Tokens are lower-cased non-space runs.  Tokens are mapped to ids with a
-salted equi-join on the vocabulary (a frequent token is a hot key; its rows
-are spread over several tasks), then re-assembled per row by position; a
-row's token list is bounded by ``max_len``.
+Tokens are lower-cased non-space runs.  Tokens are mapped to ids by a lookup
+join on the vocabulary: broadcast when its counted size allows, else a
+salted shuffle join (a frequent token is a hot key; its rows are spread over
+several tasks); rows are then re-assembled by position, a row's token list
+being bounded by ``max_len``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.operators.batching import dense_index
-from polytext.operators.joins import salted_join
+from polytext.operators.joins import lookup_join
 
 # The four reserved ids of a vocabulary read from TSV.
 SPECIALS = [("<s>", 0), ("<pad>", 1), ("</s>", 2), ("<unk>", 3)]
@@ -78,8 +79,9 @@ def tokenise(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(key, text).repartition(n, key)
     occ = rows.select(key, F.posexplode(F.slice(word_tokens(text), 1, max_len)).alias("pos", "token"))
-    # frequent tokens are hot keys: salted by (row, position)
-    ided = salted_join(occ, vocab.select("token", "id"), ["token"], "left",
+    # frequent tokens are hot keys: broadcast the vocabulary when its size
+    # allows, else salt by (row, position)
+    ided = lookup_join(occ, vocab.select("token", "id"), ["token"], "left",
                        salt_by=F.concat_ws("|", F.col(key).cast("string"), F.col("pos").cast("string")))
     per_row = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID))
                                                                          .alias("id")))).alias("_p"))
@@ -148,7 +150,7 @@ def detokenise(df: DataFrame, key: str, ids: str, vocab: DataFrame, added: DataF
         v = v.unionByName(added.select("id", "token")).groupBy("id").agg(F.first("token").alias("token"))
     special = [i for _, i in SPECIALS]
     occ = df.select(key, F.posexplode(ids).alias("pos", "id")).where(~F.col("id").isin(special))
-    j = salted_join(occ, v, ["id"], "left",
+    j = lookup_join(occ, v, ["id"], "left",
                     salt_by=F.concat_ws("|", F.col(key).cast("string"), F.col("pos").cast("string")))
     per_row = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
     return df.select(key).join(per_row, key, "left").select(
