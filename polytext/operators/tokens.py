@@ -36,10 +36,28 @@ def token_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(word_tokens(text)).alias("pos", "token"))
 
 
+POS_BITS = 24   # positions per row below 2**24; row keys below 2**39
+
+
+def first_occurrence_key(key: str, pos: str, integral: bool) -> Column:
+    """Order key of an occurrence (row key, position).  For integral row keys
+    it is packed into one long (key * 2**24 + pos) so that ``min`` runs in the
+    hash aggregate (a struct minimum would force a sort-based aggregate);
+    values outside the packing range fail the job instead of overflowing."""
+    if not integral:
+        return F.struct(F.col(key), F.col(pos))
+    k, p = F.col(key).cast("bigint"), F.col(pos).cast("bigint")
+    ok = (k >= 0) & (k < F.lit(1 << (63 - POS_BITS))) & (p < F.lit(1 << POS_BITS))
+    return F.when(ok, F.shiftleft(k, POS_BITS) + p).otherwise(
+        F.raise_error(F.lit("row key or position outside the packed first-occurrence range")))
+
+
 def token_frequency(occ: DataFrame) -> DataFrame:
     """Corpus token counts with the first occurrence (for stable ties)."""
+    key = occ.columns[0]
+    integral = occ.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
     return occ.groupBy("token").agg(F.count(F.lit(1)).alias("count"),
-                                    F.min(F.struct(F.col(occ.columns[0]), F.col("pos"))).alias("first"))
+                                    F.min(first_occurrence_key(key, "pos", integral)).alias("first"))
 
 
 def top_k_tokens(freq: DataFrame, k: int) -> DataFrame:
@@ -169,7 +187,8 @@ def unk_report(occ: DataFrame, vocab: DataFrame) -> DataFrame:
 def unk_tokens(occ: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """E13 list / I7 candidates: unknown surface tokens in first-seen order."""
     unk = occ.join(vocab.select("token"), "token", "left_anti")
-    first = unk.groupBy("token").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first"))
+    integral = occ.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    first = unk.groupBy("token").agg(F.min(first_occurrence_key(key, "pos", integral)).alias("first"))
     return first
 
 
