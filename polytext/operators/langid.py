@@ -79,7 +79,10 @@ def detect(df: DataFrame, model: DataFrame, per_lang: DataFrame, key: str, text:
                       F.col("_b")["score"].alias("score"))
 
 
-def accuracy(detected: DataFrame, truth: DataFrame, key: str, lang: str = "lang") -> DataFrame:
-    """Hold-out accuracy and the confusion counts."""
-    j = detected.join(truth.select(key, lang), key)
-    return j.groupBy(lang, "detected").agg(F.count(F.lit(1)).alias("n"))
+def accuracy(detected: DataFrame, truth: DataFrame, key: str, lang: str = "lang", by: list[str] | None = None
+             ) -> DataFrame:
+    """Confusion counts (true language x detected), optionally split by
+    ``by`` columns of ``truth`` (e.g. a hold-out flag)."""
+    by = by or []
+    j = detected.join(truth.select(key, lang, *by), key)
+    return j.groupBy(*by, lang, "detected").agg(F.count(F.lit(1)).alias("n"))
