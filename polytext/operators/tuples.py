@@ -152,3 +152,29 @@ def lang_char_share(pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy()
     return per.select("lang", "chars", (F.col("chars") / F.sum("chars").over(w)).alias("share"),
                       (F.sum("chars").over(w) / F.sum("segments").over(w)).alias("avg_length"))
+
+
+def training_pairs(tuples: DataFrame, m: str = "m", keep: list[str] | None = None,
+                   leave_out: list[str] | None = None, leave_only: list[str] | None = None,
+                   exclude: DataFrame | None = None, model_type: str | None = None) -> DataFrame:
+    """The reference's pair extraction for training: B3 pairs (+C7 lists, B6
+    dialect tags), pairs whose source or target text is in the per-language
+    exclusion set dropped (D1), language codes converted to the model's style
+    (D5: 'nllb', 'madlad' or None for unchanged), and pairs whose input or
+    output is in the wrong script dropped (C6, judged on the NLLB script)."""
+    from polytext.functions import codes as CD
+    from polytext.operators.qc import is_fishy
+
+    keep = keep or []
+    p = explode_pairs(tuples, m=m, keep=keep, leave_out=leave_out, leave_only=leave_only)
+    if exclude is not None:
+        from polytext.operators.contamination import decontaminate
+        # the exclusion is checked on the untagged source text
+        p = p.withColumn("_src_raw", untag_dialect(F.col("input")))
+        p = decontaminate(p, exclude, src="_src_raw", tgt="output").drop("_src_raw")
+    ok = ~is_fishy(F.col("input"), CD.to_nllb("src_lang")) & ~is_fishy(F.col("output"), CD.to_nllb("tgt_lang"))
+    conv = {"nllb": CD.to_nllb, "madlad": CD.to_madlad}.get(model_type)
+    p = p.where(ok)
+    if conv is not None:
+        p = p.withColumn("src_lang", conv("src_lang")).withColumn("tgt_lang", conv("tgt_lang"))
+    return p

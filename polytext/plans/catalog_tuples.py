@@ -113,3 +113,33 @@ FROM (SELECT lang, CAST(sum(n) AS BIGINT) AS chars, count(*) AS segments FROM (
   SELECT src_lang AS lang, length(input) AS n FROM pairs UNION ALL SELECT tgt_lang, length(output) FROM pairs)
   GROUP BY lang)""", "v_tuple_items", ctes=_PAIRS))(
     lambda spark, sf: TU.lang_char_share(TU.explode_pairs(_clean_tuples(spark, sf), keep=["tuple_id"])))
+
+
+# get-pairs path: pairs -> exclusion -> model codes -> script filter (C6 on both sides)
+def _training_pairs(spark, sf):
+    return TU.training_pairs(_clean_tuples(spark, sf), keep=["tuple_id"], model_type="nllb")
+
+
+def _sql_training_pairs() -> str:
+    from polytext.functions import codes as CD
+    from polytext.operators import qc as Q
+
+    def script(lat, cyr):
+        return (f"(CASE WHEN {lat} * 10 > ({lat} + {cyr}) * 7 THEN 'latn' "
+                f"WHEN {cyr} * 10 > ({lat} + {cyr}) * 7 THEN 'cyrl' ELSE 'mix' END)")
+
+    def fishy(lat, cyr, code):
+        return f"(CASE WHEN {lat} + {cyr} = 0 THEN false ELSE {script(lat, cyr)} <> {Q.sql_code_script(code)} END)"
+
+    return f"""
+SELECT tuple_id, sl AS src_lang, tl AS tgt_lang, input, output FROM (
+  SELECT tuple_id, input, output, sl, tl,
+    length(regexp_replace(ti, '[^a-z]', '', 'g')) AS il, length(regexp_replace(ti, '[^а-я]', '', 'g')) AS ic,
+    length(regexp_replace(tt, '[^a-z]', '', 'g')) AS ol, length(regexp_replace(tt, '[^а-я]', '', 'g')) AS oc
+  FROM (SELECT tuple_id, input, output, {CD.sql_to_nllb('src_lang')} AS sl, {CD.sql_to_nllb('tgt_lang')} AS tl,
+          lower(regexp_replace(input, '{Q.DIALECT_TAG}', '')) AS ti,
+          lower(regexp_replace(output, '{Q.DIALECT_TAG}', '')) AS tt FROM pairs))
+WHERE NOT {fishy('il', 'ic', 'sl')} AND NOT {fishy('ol', 'oc', 'tl')}"""
+
+
+register("training_pairs", V.with_views(_sql_training_pairs(), "v_tuple_items", ctes=_PAIRS))(_training_pairs)
