@@ -49,7 +49,9 @@ def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[st
     """
     keep = keep or []
     spark = df.sparkSession
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the n-gram explosion makes a row's work many times its shuffle bytes, and
+    # document lengths vary widely: finer partitions balance the long ones
+    n_part = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = (df.select(F.col(row_id).alias("_rid"), *keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
             .repartition(n_part, "_rid"))
     toks = base.select("_rid", tok13a("_h").alias("_th"), tok13a("_r").alias("_tr"),
