@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.operators.joins import lookup_join
+from polytext.operators.layout import spread
 from polytext.session import ensure_checkpoint_dir
 
 NGRAM = 3
@@ -34,7 +35,9 @@ TRIGRAMS = r"(?s)(?=(.{%d}))" % NGRAM
 def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """(keep..., gram) rows: overlapping character trigrams of the lower-cased
     text, found by one regex pass (no per-element lambda)."""
-    return df.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TRIGRAMS), 1)).alias("gram"))
+    rows = spread(df.select(*keep, text))
+    return rows.select(*keep, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TRIGRAMS), 1))
+                       .alias("gram"))
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polytext.operators.layout import spread
 from polytext.operators.tokens import word_tokens
 from polytext.session import ensure_checkpoint_dir
 
@@ -44,7 +45,7 @@ def _merge(symbols: Column, left: str, right: str) -> Column:
 
 def word_symbols(texts: DataFrame, text: str) -> DataFrame:
     """(word, count, symbols) of the corpus: characters plus an end marker."""
-    words = texts.select(F.explode(word_tokens(text)).alias("word")).groupBy("word").agg(
+    words = spread(texts.select(text)).select(F.explode(word_tokens(text)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("count"))
     return words.select("word", "count", F.concat(F.split("word", ""), F.array(F.lit(END_OF_WORD))).alias("s"))
 

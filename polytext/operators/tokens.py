@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from polytext.operators.batching import dense_index
 from polytext.operators.joins import lookup_join
+from polytext.operators.layout import spread
 
 # The four reserved ids of a vocabulary read from TSV.
 SPECIALS = [("<s>", 0), ("<pad>", 1), ("</s>", 2), ("<unk>", 3)]
@@ -33,7 +34,7 @@ def word_tokens(text) -> Column:
 
 def token_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token) for every token of every row (0-based position)."""
-    return df.select(key, F.posexplode(word_tokens(text)).alias("pos", "token"))
+    return spread(df.select(key, text)).select(key, F.posexplode(word_tokens(text)).alias("pos", "token"))
 
 
 POS_BITS = 24   # positions per row below 2**24; row keys below 2**39

@@ -223,7 +223,8 @@ DEV_LANGS = ["en", "fr", "de", "es"]
 
 def train_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polytext.operators.contamination import sentences
-    d = table(spark, sf_dir, "documents")
+    from polytext.operators.layout import spread
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return d.select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
