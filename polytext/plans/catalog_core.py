@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from polytext.functions import langs as L
 from polytext.operators import qc

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from polytext.operators import batching as BA
-from polytext.operators import contamination as CT
 from polytext.operators import tokens as TK
 from polytext.plans import views as V
 from polytext.plans.catalog_batching import _PAD_SQL, _lsb, SHARD, B
