@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from polytext.functions import langs as L
 from polytext.operators import qc
 from polytext.plans import views as V
