@@ -64,3 +64,16 @@ def test_results_do_not_depend_on_partition_count(spark):
                 assert seen.setdefault(n, h) == h, (n, parts)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_chunked_draws_equal_unchunked(spark):
+    # one hot row with many draws (split into chunks) and a few ordinary rows
+    rows = [("hot", 200_000), ("a", 3), ("b", 7)]
+    df = spark.createDataFrame(rows, "key string, k long").withColumn("seed", F.md5("key"))
+    cdf = synth.candidate_cdf(F.array(F.lit("English")))
+    small = synth.weighted_draws(df, ["key"], "seed", F.col("k"), cdf, chunk=1 << 16)
+    whole = synth.weighted_draws(df, ["key"], "seed", F.col("k"), cdf, chunk=1 << 30)
+    got = sorted(tuple(r) for r in small.collect())
+    assert got == sorted(tuple(r) for r in whole.collect())
+    hot = {r[1] for r in got if r[0] == "hot"}
+    assert hot == {n for n, w in L.HI_RES_WEIGHTS if w > 0 and n != "English"}
