@@ -121,6 +121,15 @@ def loss_mask_delimiter(ids: str, delim_id: int) -> Column:
         .otherwise(F.concat(F.array_repeat(F.lit(True), pos), F.array_repeat(F.lit(False), n - pos)))
 
 
+def output_field_mask(ids: str, blank_len: Column, compat: bool = True) -> Column:
+    """I3 with the Q6 choice: ``blank_len`` is the token count of the prompt
+    rendered with the output field blank, EOS included.  ``compat=True``
+    masks that many tokens, as the reference does (one output token too many);
+    ``compat=False`` masks only the prompt (the EOS of the blank rendering is
+    not a prompt token)."""
+    return loss_mask_prefix(ids, blank_len if compat else blank_len - 1)
+
+
 def loss_mask_prefix(ids: str, n_masked: Column) -> Column:
     """Mask the first n tokens (n = token count of the prompt rendered with
     the output left blank, EOS included -- one output token too many, Q6)."""

@@ -124,19 +124,24 @@ def lang_signature_stats(tuples: DataFrame, m: str = "m") -> DataFrame:
 
 def synth_plan_stats(tuples: DataFrame, source: str = "source", pos: str = "pos", m: str = "m") -> DataFrame:
     """Per category: sentences, present high languages of the category's
-    *first* sentence, sentences x present, sentences x present x missing; and a
-    grand-total row (source NULL)."""
+    *first* sentence, sentences x present, sentences x present x missing (the
+    reference extrapolates from the first sentence, Q16), plus the exact sums
+    over every sentence; and a grand-total row (source NULL)."""
     hs = F.size(F.filter(F.map_keys(m), lambda k: ~k.contains("dia") & k.isin(HIGH_SET)))
-    first = tuples.groupBy(source).agg(
+    first = tuples.select(source, pos, hs.alias("_hs")).groupBy(source).agg(
         F.count(F.lit(1)).alias("n_sentences"),
-        F.min_by(hs, F.col(pos)).alias("n_high"))
+        F.min_by("_hs", F.col(pos)).alias("n_high"),
+        F.sum("_hs").cast("bigint").alias("exact_sent_x_high"),
+        F.sum(F.col("_hs") * (len(HIGH_SET) - F.col("_hs"))).cast("bigint").alias("exact_to_translate"))
     per = first.select(source, "n_sentences", "n_high",
                        (F.col("n_sentences") * F.col("n_high")).alias("n_sent_x_high"),
                        (F.col("n_sentences") * F.col("n_high") * (len(HIGH_SET) - F.col("n_high")))
-                       .alias("n_to_translate"))
+                       .alias("n_to_translate"), "exact_sent_x_high", "exact_to_translate")
     tot = per.agg(F.lit(None).cast("string").alias(source), F.sum("n_sentences").alias("n_sentences"),
                   F.lit(None).cast("int").alias("n_high"), F.sum("n_sent_x_high").alias("n_sent_x_high"),
-                  F.sum("n_to_translate").alias("n_to_translate"))
+                  F.sum("n_to_translate").alias("n_to_translate"),
+                  F.sum("exact_sent_x_high").cast("bigint").alias("exact_sent_x_high"),
+                  F.sum("exact_to_translate").cast("bigint").alias("exact_to_translate"))
     return per.unionByName(tot)
 
 

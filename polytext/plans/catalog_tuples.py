@@ -96,15 +96,17 @@ register("lang_signature_stats", V.with_views(
 
 register("synth_plan_stats", V.with_views(f"""
 SELECT source, n_sentences, n_high, n_sentences * n_high AS n_sent_x_high,
-  n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high) AS n_to_translate FROM per
+  n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high) AS n_to_translate, exact_sent_x_high, exact_to_translate FROM per
 UNION ALL
 SELECT NULL, CAST(sum(n_sentences) AS BIGINT), NULL, CAST(sum(n_sentences * n_high) AS BIGINT),
-  CAST(sum(n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high)) AS BIGINT)
+  CAST(sum(n_sentences * n_high * ({len(TU.HIGH_SET)} - n_high)) AS BIGINT),
+  CAST(sum(exact_sent_x_high) AS BIGINT), CAST(sum(exact_to_translate) AS BIGINT)
 FROM per""", "v_tuple_items", ctes=f"""
 per_tuple AS (SELECT tuple_id, count(*) FILTER (WHERE key IN {_HIGH} AND NOT contains(key, 'dia')) AS nh
   FROM v_tuple_items GROUP BY tuple_id),
 per AS (SELECT 'cat' || CAST(tuple_id // 100 AS VARCHAR) AS source, count(*) AS n_sentences,
-  CAST(arg_min(nh, tuple_id) AS INTEGER) AS n_high FROM per_tuple GROUP BY 1)"""))(
+  CAST(arg_min(nh, tuple_id) AS INTEGER) AS n_high, CAST(sum(nh) AS BIGINT) AS exact_sent_x_high,
+  CAST(sum(nh * ({len(TU.HIGH_SET)} - nh)) AS BIGINT) AS exact_to_translate FROM per_tuple GROUP BY 1)"""))(
     lambda spark, sf: TU.synth_plan_stats(V.tuples(spark, sf)))
 
 register("lang_char_share", V.with_views("""

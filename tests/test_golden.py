@@ -97,3 +97,12 @@ def test_short_token_arrays(spark):
     assert [x.w4 for x in r] == [[], [], []]
     assert [x.w2 for x in r] == [["a b"], [], []]
     assert [x.c6 for x in r] == [[], [], []]
+
+
+def test_output_field_mask_compat(spark):
+    from polytext.operators import tokens as TK
+    df = spark.createDataFrame([([5, 6, 7, 8, 2], 3)], "ids array<int>, n int")
+    r = df.select(TK.output_field_mask("ids", F.col("n")).alias("a"),
+                  TK.output_field_mask("ids", F.col("n"), compat=False).alias("b")).first()
+    assert r.a == [True, True, True, False, False]
+    assert r.b == [True, True, False, False, False]
