@@ -59,6 +59,27 @@ def pair_qc(df: DataFrame, src: str = "src_segm", tgt: str = "hyp_output", tgt_l
     return df.withColumn(out, pair_qc_label(src, tgt, tgt_lang, detected))
 
 
+def needs_detection(src, tgt, tgt_lang) -> Column:
+    """True where the C1 label depends on the detector: none of the cheap
+    checks fired, the target language has a code and the target is longer
+    than 60 characters."""
+    s, t = _c(src), _c(tgt)
+    ls, lt = F.char_length(s), F.char_length(t)
+    return ((ls > 0) & (lt > 0) & (F.greatest(ls, lt) <= F.least(ls, lt) * MAX_LEN_RATIO) & (s != t)
+            & (s.contains("?") == t.contains("?")) & detect_code(tgt_lang).isNotNull() & (lt > LID_MIN_CHARS))
+
+
+def pair_qc_with_detector(df: DataFrame, key: str, detect, src: str = "src_segm", tgt: str = "hyp_output",
+                          tgt_lang: str = "tgt_lang", out: str = "flt") -> DataFrame:
+    """C1 + C2 with the costly step last: the detector (``detect(rows) ->
+    (key, detected)``, e.g. ``langid.detect``) runs only on the rows whose
+    label depends on it; the others never reach it (same labels)."""
+    need = df.where(needs_detection(src, tgt, tgt_lang)).select(key, F.col(tgt).alias("text"))
+    det = detect(need)
+    j = df.join(det.select(key, "detected"), key, "left")
+    return j.withColumn(out, pair_qc_label(src, tgt, tgt_lang, F.col("detected"))).drop("detected")
+
+
 def pair_qc_counts(df: DataFrame, by=("src_lang", "tgt_lang"), flt: str = "flt") -> DataFrame:
     """Label counts per language pair (partial aggregation, no skew risk)."""
     return df.groupBy(*by, flt).agg(F.count(F.lit(1)).alias("n"))

@@ -63,8 +63,9 @@ FROM det JOIN documents d ON d.doc_id = det.key GROUP BY ALL""", ctes=sql_nb(_TR
 def _qc_lid(spark, sf):
     h = V.hyps(spark, sf)
     model, per_lang = _model(spark, sf)
-    det = LI.detect(h.select("hyp_index", F.col("hyp_output").alias("text")), model, per_lang, "hyp_index")
-    return qc.pair_qc(h.join(det, "hyp_index"), detected="detected").select("hyp_index", "flt")
+    # the detector only runs on rows whose label depends on it (cheap checks first)
+    out = qc.pair_qc_with_detector(h, "hyp_index", lambda rows: LI.detect(rows, model, per_lang, "hyp_index"))
+    return out.select("hyp_index", "flt")
 
 
 register("pair_qc_lid", V.with_views(f"""

@@ -24,6 +24,11 @@ def test_synthetic_round_trip(spark):
     labelled = qc.pair_qc(keyed.join(det, "k"), src="hi_segm", tgt="hyp_output", tgt_lang="new_hi_res_lang",
                           detected="detected")
     assert labelled.count() == plan.count()
+    # detecting only where the label depends on it gives the same labels
+    lazy = qc.pair_qc_with_detector(keyed, "k", lambda rows: langid.detect(rows, model, per_lang, "k"),
+                                    src="hi_segm", tgt="hyp_output", tgt_lang="new_hi_res_lang")
+    assert sorted(tuple(r) for r in labelled.select("k", "flt").collect()) == \
+        sorted(tuple(r) for r in lazy.select("k", "flt").collect())
     out = synth.accepted_to_entries(labelled)
     rows = out.collect()
     assert all(r.src_lang.endswith(", synth") and r.task == "approx-translate" for r in rows)
