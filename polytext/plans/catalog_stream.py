@@ -43,10 +43,11 @@ def _steps(spark, sf):
 
 
 def _progress(spark, sf):
-    src, out, ck = _tmp(spark, "steps-in"), _tmp(spark, "progress-out"), _tmp(spark, "progress-ckpt")
+    src, ck = _tmp(spark, "steps-in"), _tmp(spark, "progress-ckpt")
     _steps(spark, sf).write.parquet(src)
-    J.progress_stream(spark, src, "run string, ts timestamp, event_id bigint, loss double", out, ck)
-    return spark.read.parquet(out).select("run", "steps", F.round("mean_loss", 6).alias("mean_loss"))
+    name = f"progress_{uuid.uuid4().hex}"
+    res = J.progress_stream(spark, src, "run string, ts timestamp, event_id bigint, loss double", name, ck)
+    return res.select("run", "steps", F.round("mean_loss", 6).alias("mean_loss"))
 
 
 register("progress_stream", "SELECT event_type AS run, count(*) AS steps, round(avg(value), 6) AS mean_loss "

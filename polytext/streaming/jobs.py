@@ -1,10 +1,11 @@
 """K1 / K2 as Structured Streaming queries.
 
 K1 replaces the reference's resumable shard iteration: a file source picks up
-new shards, the checkpoint location records what was processed (exactly-once
-on restart or executor loss), ``availableNow`` drains what is there and stops,
-and ``foreachBatch`` overwrites the batch's own output folder, so a replayed
-micro-batch rewrites the same files instead of appending duplicates.
+new shards, the checkpoint location records what was processed, and the
+parquet file sink commits every micro-batch through its metadata log, so a
+restart (or a lost executor) neither skips nor duplicates a shard.
+``availableNow`` drains what is there and stops.  Neither job needs a Python
+callback: both sinks are JVM-side.
 """
 
 from __future__ import annotations
@@ -18,32 +19,26 @@ from pyspark.sql import functions as F
 def incremental_process(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame],
                         out: str, checkpoint: str, fmt: str = "parquet", max_files_per_trigger: int | None = None
                         ) -> None:
-    """K1: process every shard under ``source`` exactly once; run until the
-    files present at start are done (availableNow)."""
+    """K1: process every shard under ``source`` exactly once into the parquet
+    table ``out``; run until the files present at start are done."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = transform(reader.load(source))
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
-
-    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def progress_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str,
-                    run: str = "run", loss: str = "loss") -> None:
+def progress_stream(spark: SparkSession, source: str, schema: str, name: str, checkpoint: str,
+                    run: str = "run", loss: str = "loss") -> DataFrame:
     """K2: running step count and mean loss per run over a step log that
-    grows; complete-mode aggregate (one row per run, no window, so no
-    watermark) written as a table after every trigger."""
+    grows; a complete-mode aggregate with one row per run (no window, so no
+    watermark), kept in the in-memory table ``name`` (bounded by the number
+    of runs) and returned as a DataFrame."""
     steps = spark.readStream.schema(schema).format("parquet").load(source)
     agg = steps.groupBy(run).agg(F.count(F.lit(1)).alias("steps"), F.avg(loss).alias("mean_loss"))
-
-    def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return spark.table(name)
