@@ -71,21 +71,33 @@ def shuffle_key(seed: int | str, *cols) -> Column:
 
 def pad_to_multiple(df: DataFrame, key: str, batch_size: int, group_by: list[str] | None = None, seed: str = "pad",
                     out_copy: str = "pad_copy") -> DataFrame:
-    """Pad every group to a multiple of ``batch_size`` with members drawn
-    uniformly *with replacement* (hash-keyed, deterministic).  Returned rows
-    carry ``pad_copy`` = 0 for originals and 1.. for the padding copies."""
+    """Pad every group to a multiple of ``batch_size`` with random members.
+
+    Members are ranked by a hash of (key, seed); padding copy j takes the
+    member of rank ((j - 1) mod group size) + 1, i.e. distinct members while
+    the group is large enough and repeats (with replacement, as the reference
+    does) only when it is smaller than the padding it needs.  Only ranks below
+    ``batch_size`` are ever needed, so ``row_number() <= B - 1`` is planned as
+    a group limit that keeps at most B - 1 rows per group *before* the
+    shuffle -- no full index of the data, and a hot group ships B - 1 rows.
+    Returned rows carry ``pad_copy`` = 0 for originals and 1.. for copies."""
     group_by = group_by or []
-    idx = dense_index(df, [key], group_by, out="_gi")
-    sizes = idx.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_cnt"))
+    sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_cnt"))
     need = sizes.select(*group_by, "_cnt", F.pmod(-F.col("_cnt"), F.lit(batch_size)).alias("_need"))
-    need = need.where(F.col("_need") > 0)
-    slots = need.select(*group_by, "_cnt", F.explode(F.sequence(F.lit(1), F.col("_need"))).alias(out_copy))
-    gkey = [F.col(g).cast("string") for g in group_by] or [F.lit("")]
-    pick = F.floor(hash_u32(*gkey, F.col(out_copy), F.lit(seed)) * F.col("_cnt") / F.lit(4294967296.0))
-    slots = slots.select(*group_by, out_copy, pick.cast("bigint").alias("_gi"))
-    copies = idx.join(slots, [*group_by, "_gi"], "inner")
-    base = idx.withColumn(out_copy, F.lit(0))
-    return base.unionByName(copies).drop("_gi")
+    slots = need.where(F.col("_need") > 0).select(
+        *group_by, "_cnt", F.explode(F.sequence(F.lit(1), F.col("_need"))).alias(out_copy))
+    slots = slots.select(*group_by, out_copy, (F.pmod(F.col(out_copy) - 1, F.col("_cnt")) + 1).alias("_rk"))
+    order = [uniform(F.col(key), F.lit(seed)), F.col(key)]
+    if group_by:
+        w = Window.partitionBy(*group_by).orderBy(*order)
+        ranked = df.select("*", F.row_number().over(w).alias("_rk")).where(F.col("_rk") <= batch_size - 1)
+    else:
+        # one group: a distributed top-k (each partition sends at most B - 1
+        # rows), then ranks over those few rows
+        top = df.orderBy(*order).limit(batch_size - 1)
+        ranked = top.select("*", F.row_number().over(Window.orderBy(*order)).alias("_rk"))
+    copies = ranked.join(slots, [*group_by, "_rk"], "inner").drop("_rk")
+    return df.withColumn(out_copy, F.lit(0)).unionByName(copies)
 
 
 def length_sorted_batches(df: DataFrame, key: str, length: str, batch_size: int, seed: str = "batches") -> DataFrame:

@@ -39,13 +39,13 @@ FROM v_batches""", "v_batches"))(
     .select("doc_id", "shuffled_pos"))
 
 # F6 length-sorted batches with padding by random duplicates
-_PAD_SQL = f"""gi AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS _gi FROM v_batches),
+_PAD_SQL = f"""gi AS (SELECT *, row_number() OVER (ORDER BY {sql_uniform('doc_id', "'batches'")}, doc_id) AS _rk
+  FROM v_batches),
 need AS (SELECT count(*) AS cnt, (({B} - count(*) % {B}) % {B}) AS need FROM gi),
 slots AS (SELECT cnt, unnest(range(1, need + 1)) AS pad_copy FROM need WHERE need > 0),
-picks AS (SELECT pad_copy, CAST(floor({sql_hash_u32("''", 'pad_copy', "'batches'")} * cnt / 4294967296.0) AS BIGINT)
-  AS _gi FROM slots),
+picks AS (SELECT pad_copy, (pad_copy - 1) % cnt + 1 AS _rk FROM slots),
 padded AS (SELECT doc_id, lang, n_chars, src_bin, tgt_bin, 0 AS pad_copy FROM gi
-  UNION ALL SELECT g.doc_id, g.lang, g.n_chars, g.src_bin, g.tgt_bin, p.pad_copy FROM picks p JOIN gi g USING (_gi)),
+  UNION ALL SELECT g.doc_id, g.lang, g.n_chars, g.src_bin, g.tgt_bin, p.pad_copy FROM picks p JOIN gi g USING (_rk)),
 ordered AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id, pad_copy) - 1 AS i FROM padded)"""
 
 
@@ -67,15 +67,14 @@ FROM (SELECT i // {B} // {SHARD} AS shard_id, count(*) AS shard_size FROM ordere
     lambda spark, sf: BA.shard_manifest(_lsb(spark, sf).withColumn("shard_id", BA.shard_assign("batch_id", SHARD))))
 
 # F7 bin batches (+ C11 train-bin filter): per (src_bin, tgt_bin)
-_BIN_SQL = f"""gi AS (SELECT *, row_number() OVER (PARTITION BY src_bin, tgt_bin ORDER BY doc_id) - 1 AS _gi
-  FROM v_batches),
+_BIN_SQL = f"""gi AS (SELECT *, row_number() OVER (PARTITION BY src_bin, tgt_bin
+  ORDER BY {sql_uniform('doc_id', "'bins'")}, doc_id) AS _rk FROM v_batches),
 need AS (SELECT src_bin, tgt_bin, count(*) AS cnt, (({B} - count(*) % {B}) % {B}) AS need FROM gi GROUP BY ALL),
 slots AS (SELECT src_bin, tgt_bin, cnt, unnest(range(1, need + 1)) AS pad_copy FROM need WHERE need > 0),
-picks AS (SELECT src_bin, tgt_bin, pad_copy, CAST(floor({sql_hash_u32('src_bin', 'tgt_bin', 'pad_copy', "'bins'")}
-  * cnt / 4294967296.0) AS BIGINT) AS _gi FROM slots),
+picks AS (SELECT src_bin, tgt_bin, pad_copy, (pad_copy - 1) % cnt + 1 AS _rk FROM slots),
 padded AS (SELECT doc_id, lang, n_chars, src_bin, tgt_bin, 0 AS pad_copy FROM gi
   UNION ALL SELECT g.doc_id, g.lang, g.n_chars, g.src_bin, g.tgt_bin, p.pad_copy FROM picks p JOIN gi g
-  USING (src_bin, tgt_bin, _gi)),
+  USING (src_bin, tgt_bin, _rk)),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY src_bin, tgt_bin ORDER BY n_chars, doc_id, pad_copy) - 1 AS i
   FROM padded)"""
 
