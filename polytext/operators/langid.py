@@ -63,23 +63,25 @@ def detect(df: DataFrame, model: DataFrame, per_lang: DataFrame, key: str, text:
     g = _grams(df, [key], text).groupBy(key, "gram").agg(
         F.count(F.lit(1)).alias("n"))
     totals = g.groupBy(key).agg(F.sum("n").alias("_tot"))
-    # a common trigram is a hot key (it occurs in most texts): the model is
-    # broadcast when its counted size allows, else the join is salted
-    seen = lookup_join(g, model, ["gram"], "inner", salt_by=F.col(key).cast("string")).groupBy(key, lang).agg(
-        F.sum(F.col("n") * F.col("delta")).alias("_seen"))
-    # every text is scored for every language; the language table is tiny, so
-    # it is turned into a literal array and exploded per text (no join)
+    # the language table is tiny: its rows become literal columns.  Seen-trigram
+    # sums per language are pivoted into one hash aggregate per text (no
+    # text x language rows, no sort-based aggregate).
     langs = [(r[0], r[1]) for r in per_lang.select(lang, "unseen_lp").orderBy(lang).collect()]
-    arr = F.array(*[F.struct(F.lit(a).alias(lang), F.lit(b).alias("unseen_lp")) for a, b in langs])
-    base = totals.select(key, "_tot", F.inline(arr))
-    sc = base.join(seen, [key, lang], "left").select(
-        key, lang, F.round(F.col("_tot") * F.col("unseen_lp") + F.coalesce(F.col("_seen"), F.lit(0.0)),
-                           SCORE_DIGITS).alias("score"))
-    # highest score, ties to the smaller language code
-    top = sc.groupBy(key).agg(F.min_by(F.struct(lang, "score"), F.struct(-F.col("score"), F.col(lang))).alias("_b"))
+    seen = lookup_join(g, model, ["gram"], "inner", salt_by=F.col(key).cast("string")).groupBy(key).agg(
+        *[F.sum(F.when(F.col(lang) == name, F.col("n") * F.col("delta"))).alias(f"_s{i}")
+          for i, (name, _) in enumerate(langs)])
+    sc = totals.join(seen, key, "left")
+    scores = [F.round(F.col("_tot") * F.lit(lp) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)), SCORE_DIGITS)
+              for i, (_, lp) in enumerate(langs)]
+    sc = sc.select(key, *[x.alias(f"_c{i}") for i, x in enumerate(scores)])
+    best = F.greatest(*[F.col(f"_c{i}") for i in range(len(langs))]) if len(langs) > 1 else F.col("_c0")
+    # highest score; ties go to the smaller language code (codes are in order)
+    pick = F.lit(None).cast("string")
+    for i in reversed(range(len(langs))):
+        pick = F.when(F.col(f"_c{i}") == F.col("_best"), F.lit(langs[i][0])).otherwise(pick)
+    top = sc.withColumn("_best", best).select(key, pick.alias("detected"), F.col("_best").alias("score"))
     out = df.select(key).join(top, key, "left")
-    return out.select(key, F.coalesce(F.col("_b")[lang], F.lit("none")).alias("detected"),
-                      F.col("_b")["score"].alias("score"))
+    return out.select(key, F.coalesce("detected", F.lit("none")).alias("detected"), "score")
 
 
 def accuracy(detected: DataFrame, truth: DataFrame, key: str, lang: str = "lang", by: list[str] | None = None
