@@ -56,15 +56,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``doc_id, text, y`` of the rows a classifier may learn from: one label per
-    id (the larger one if an id is labelled twice), not held out, label 0 or 1."""
+def known_labels(labels: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """``doc_id, y`` a classifier may learn from: one label per id (the larger
+    one if an id is labelled twice), not held out, label 0 or 1.  With a limit,
+    the ids with the smallest hash: the same rows at any partitioning."""
     known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y")))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    if limit is not None:
+        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))  # at most ``limit`` ids
+    return known
 
 
-def bounded_sample(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows, those with the smallest hash of the id: the same
-    rows at any partitioning.  Spark plans it as a distributed top-k."""
-    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """``doc_id, text, y`` of the known labels' documents."""
+    return docs.select("doc_id", "text").join(known_labels(labels, label, limit), "doc_id")

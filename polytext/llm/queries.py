@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polytext.llm import decontam, pieces, pii, sharding, topk, urls
+from polytext.llm import decontam, pieces, pii, quality, sharding, topk, toxicity, urls
 from polytext.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op3_pii(spark, sf_dir):
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+@_query()
+def op4_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 @_query()
 def op5_url_filter(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"))
@@ -53,6 +59,12 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.digest(read(spark, sf_dir, "documents"), tokenizer())
 
 
+@_query()
+def op8_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 @_query(decontam.SQL)
 def op9_decontamination(spark, sf_dir):
     return decontam.digest(decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
