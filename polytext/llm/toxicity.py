@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
-Each word has the log-odds of toxic against clean documents, with an
-informative Dirichlet prior (the word's share of all labelled documents); a
-word beyond the model has 0.  A constant cost for each word makes the mean
+Tokens are words and their prefixes of ``PREFIX`` letters (marked ``*``), so
+that inflected and joined forms share evidence.  Each token has the log-odds
+of toxic against clean documents, with an informative Dirichlet prior (the
+token's share of all labelled documents).  A word scores as its longest token
+in the model, or 0.  A constant cost for each word makes the mean
 score negative, so a passage pays only where toxic words are dense.  One scan
 (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
 
@@ -13,7 +15,7 @@ and K from clean training texts.  A document's score is a logistic function,
 fitted on training rows, of its segments' surprise.
 
 Counts cover all labelled rows that may be learned from; the model keeps the
-``VOCABULARY`` words of largest z-score, and the calibration is fitted on at
+``VOCABULARY`` tokens of largest z-score, and the calibration is fitted on at
 most ``SAMPLE`` rows (smallest hash of the id).  Documents are scored whole,
 where they lie, without a shuffle.
 
@@ -34,9 +36,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polytext.llm.common import held_out, labelled_texts, ship
+from polytext.llm.common import held_out, labelled_texts, ship, stored
 
-VOCABULARY, SAMPLE, PRIOR, Z, COST, SIGNIFICANT = 20_000, 10_000, 50.0, 3.0, 0.03, 0.01
+VOCABULARY, SAMPLE, PRIOR, Z, COST, SIGNIFICANT = 20_000, 10_000, 50.0, 4.0, 0.03, 0.01
+PREFIX = range(8, 2, -1)
 
 #: Bytes: A-Z to a-z, other ASCII but letters to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,6 +49,12 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(_TABLE).split()
 
 
+def tokens(word: bytes) -> list[str]:
+    """The word and its prefixes, the longest first."""
+    said = word.decode("utf-8")
+    return [said, *(f"{said[:n]}*" for n in PREFIX if n < len(said))]
+
+
 def segments(scores: list[tuple[int, float]], cost: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, end word, score) of a text in
     which the words of ``scores`` (position, score) count their score less the
@@ -75,17 +84,28 @@ def segments(scores: list[tuple[int, float]], cost: float) -> list[tuple[int, in
 
 @dataclass
 class Model:
-    odds: dict[bytes, float]
+    odds: dict[str, float]
     prior: float = 0.0
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
     bias: float = 0.0
 
+    def scored(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """Number of words, and (position, log-odds) of those in the model."""
+        if not hasattr(self, "_seen"):
+            self._seen: dict[bytes, float | None] = {}
+        ws, seen = words(text), self._seen
+        if len(seen) > 200_000:
+            seen.clear()
+        for w in set(ws).difference(seen):
+            seen[w] = next((self.odds[t] for t in tokens(w) if t in self.odds), None)
+        return len(ws), [(i, s) for i, w in enumerate(ws) if (s := seen[w]) is not None]
+
     def found(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal segments of a text."""
-        ws, get = words(text), self.odds.get
-        return len(ws), segments([(i, s) for i, w in enumerate(ws) if (s := get(w)) is not None], COST)
+        n, known = self.scored(text)
+        return n, segments(known, COST)
 
     def chance(self, n: int, s: float) -> float:
         """Probability that clean text of n words holds a segment of score s."""
@@ -136,42 +156,38 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample
     ship(docs.sparkSession)
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:  # in how many documents of a batch, and how often in clean ones
-            has, often = (Counter(), Counter()), Counter()
+        for p in parts:  # in how many documents of a batch; the empty token stands for the document itself
+            has = (Counter(), Counter())
             for t, y in zip(p["text"], p["y"]):
-                ws = words(t)
-                has[y].update(set(ws))
-                if not y:
-                    often.update(ws)
-                has[y][b""] += 1  # stands for the document itself
-            yield pd.DataFrame([(w.decode("utf-8", "replace"), has[1][w], has[0][w], often[w] if w else sum(often.values())) for w in has[0].keys() | has[1].keys()], columns=["w", "toxic", "clean", "often"])
-
-    rows = (labelled_texts(docs, labels, "toxic").mapInPandas(counted, "w string, toxic long, clean long, often long")
-            .groupBy("w").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "often"))))
-    rows = rows.withColumn("n", F.when(F.col("w") == "", 0).otherwise(F.col("toxic") + F.col("clean")))
+                has[y].update({"", *(x for w in set(words(t)) for x in tokens(w))})
+            yield pd.DataFrame([(w, has[1][w], has[0][w]) for w in has[0].keys() | has[1].keys()], columns=["w", "toxic", "clean"])
+
+    rows = (labelled_texts(docs, labels, "toxic").mapInPandas(counted, "w string, toxic long, clean long")
+            .groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    rows = stored(rows.where("w = '' or toxic + clean > 1"), "token-counts")
     all_docs = rows.where("w = ''").first()
     if all_docs is None or not all_docs["toxic"] or not all_docs["clean"]:
         return Model({}, prior=0.0 if all_docs is None else float(all_docs["toxic"] > 0))
     n1, n0 = all_docs["toxic"], all_docs["clean"]
-    a = F.lit(PRIOR) * F.col("n") / (n1 + n0)
+    a = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / (n1 + n0)
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
     model = (rows.where((F.col("w") != "") & (y1 < n1 + PRIOR) & (y0 < n0 + PRIOR)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / y1 + 1 / y0))
              .where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "w").limit(vocabulary).collect())
-    m = Model({r["w"].encode("utf-8"): r["odds"] for r in model})
-    known = np.array([[r["odds"], r["often"]] for r in model]).reshape(-1, 2)
-    total = max(1, all_docs["often"])
-    m.lam = lambda_of(np.append(known[:, 0], 0.0) - COST, np.append(known[:, 1], max(0, total - known[:, 1].sum())) / total)
+    m = Model({r["w"]: r["odds"] for r in model})
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            got = [m.found(t) for t in p["text"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype(str), "y": p["y"], "n": [g[0] for g in got], "s": [sorted((float(s) for _, _, s in g[1]), reverse=True) for g in got]})
+            got = [m.scored(t) for t in p["text"]]
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype(str), "y": p["y"], "n": [n for n, _ in got], "w": [[s for _, s in known] for _, known in got],
+                                "s": [[float(s) for _, _, s in segments(known, COST)] for _, known in got]})
 
-    seen = labelled_texts(docs, labels, "toxic", sample).mapInPandas(best, "doc_id string, y int, n long, s array<double>").collect()  # at most ``sample`` ids
+    seen = labelled_texts(docs, labels, "toxic", sample).mapInPandas(best, "doc_id string, y int, n long, w array<double>, s array<double>").collect()  # at most ``sample`` ids
     seen = sorted(seen, key=lambda r: (r["doc_id"], r["n"]))
-    clean = [(max(r["n"], 1), max(r["s"], default=0.0)) for r in seen if not r["y"]]
-    m.k = len(clean) / max(1e-12, sum(n * np.exp(-m.lam * s) for n, s in clean)) if clean else 1.0
+    clean = [r for r in seen if not r["y"]]
+    known, total = Counter(s for r in clean for s in r["w"]), max(1, sum(r["n"] for r in clean))
+    m.lam = lambda_of(np.array([0.0, *known]) - COST, np.array([total - known.total(), *known.values()]) / total)
+    m.k = len(clean) / max(1e-12, sum(max(r["n"], 1) * np.exp(-m.lam * max(r["s"], default=0.0)) for r in clean)) if clean else 1.0
     m.slope, m.bias = logistic(np.array([m.evidence(r["n"], [(0, 0, s) for s in r["s"]]) for r in seen]), np.array([r["y"] for r in seen], dtype=float)) if seen else (0.0, 0.0)
     return m
 
