@@ -70,3 +70,29 @@ def known_labels(labels: DataFrame, label: str, limit: int | None = None) -> Dat
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int | None = None) -> DataFrame:
     """``doc_id, text, y`` of the known labels' documents."""
     return docs.select("doc_id", "text").join(known_labels(labels, label, limit), "doc_id")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (a, b): ``node, root`` for each node,
+    by randomised contraction.  In each round every node joins the neighbour
+    (or itself) with the smallest hash for that round, and edges are rewritten
+    between the chosen nodes; the number of rounds grows with the logarithm of
+    the nodes.  All tables stay distributed and are written between rounds."""
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        mark = lambda c, seed=len(maps): F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("n"))
+        both = edges.select("a", mark("b").alias("m")).union(edges.select(F.col("b"), mark("a")))
+        own = both.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.least("m", mark("a"))["n"].alias("root"))
+        own = stored(own, "contraction")
+        left, right = (own.select(F.col("node").alias(c), F.col("root").alias(f"to_{c}")) for c in "ab")
+        edges = edges.join(left, "a").join(right, "b").where("to_a <> to_b")
+        edges = stored(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        maps.append(own)
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = maps.pop()
+    while maps:
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        out = maps.pop().join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polytext.llm import decontam, pieces, pii, quality, sharding, topk, toxicity, urls
+from polytext.llm import decontam, jaccard, pieces, pii, quality, sharding, topk, toxicity, urls
 from polytext.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op1_sharding(spark, sf_dir):
     return sharding.place(read(spark, sf_dir, "documents"), "doc_id", sharding.names())
 
 
+@_query()
+def op2_jaccard(spark, sf_dir):
+    return jaccard.link(read(spark, sf_dir, "documents"))
+
+
 @_query()
 def op3_pii(spark, sf_dir):
     return pii.digest(read(spark, sf_dir, "documents"))
