@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polytext.llm import decontam, jaccard, pieces, pii, quality, sharding, topk, toxicity, urls
+from polytext.llm import decontam, jaccard, pieces, pii, quality, sharding, suffixes, topk, toxicity, urls
 from polytext.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.digest(read(spark, sf_dir, "documents"), tokenizer())
 
 
+@_query()
+def op7_suffixes(spark, sf_dir):
+    return suffixes.remove(read(spark, sf_dir, "documents"), with_text=False)
+
+
 @_query()
 def op8_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
