@@ -119,20 +119,32 @@ def _spans(text: Column, runs: Column) -> Column:
     return project(text, runs)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` (doc_id, text) against ``bench`` (item_id, text): doc_id, text,
-    n_words, n_hit, items (ids found, sorted as strings), spans of hit words."""
-    spark = docs.sparkSession
+def _scanners(bench: DataFrame, width: int, block_bytes: int) -> list:
+    """A scan for each block of the item table: one, unless it is large."""
     items = bench.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    docs = docs.select("doc_id", "text")
-    parts = []
+    out = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block_bytes
-        parts.append(docs.withColumn("h", _scanner(shared, width)("text")))
-    if blocks == 1:
+        shared = bench.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block_bytes
+        out.append(_scanner(shared, width))
+    return out
+
+
+def clean(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window occurs."""
+    for scan in _scanners(bench, width, block_bytes):
+        docs = docs.where(F.size(scan("text")["runs"]) == 0)
+    return docs
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """``docs`` (doc_id, text) against ``bench`` (item_id, text): doc_id, text,
+    n_words, n_hit, items (ids found, sorted as strings), spans of hit words."""
+    docs = docs.select("doc_id", "text")
+    parts = [docs.withColumn("h", scan("text")) for scan in _scanners(bench, width, block_bytes)]
+    if len(parts) == 1:
         hit = parts[0].select("doc_id", "text", "h.*")
     else:
         tie = F.xxhash64("text").alias("tie")
@@ -141,7 +153,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, block_byte
             p = p.select("doc_id", tie, "h.runs", "h.items").where(F.size("runs") > 0)
             found = p if found is None else found.union(p)
         found = found.groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        none = _scanner(spark.sparkContext.broadcast([]), width)
+        none = _scanner(docs.sparkSession.sparkContext.broadcast([]), width)
         left = docs.withColumn("tie", F.xxhash64("text")).withColumn("n_words", none("text")["n_words"]).alias("d")
         hit = (left.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.tie") == F.col("f.tie")), "left")
                .select("d.doc_id", "d.text", "d.n_words", "f.runs", F.coalesce("f.items", F.array().cast("array<string>")).alias("items")))

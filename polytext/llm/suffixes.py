@@ -244,16 +244,19 @@ def _mask(n: int, los, his) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        out = []
-        for text, los, his in zip(p["text"], p["lo"], p["hi"]):
-            raw = (text or "").encode("utf-8")
-            gone = _mask(len(raw), los, his)
-            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
-            out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else text or ""))
-        yield pd.concat([p["id"].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
+def _cutter(with_text: bool):
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for text, los, his in zip(p["text"], p["lo"], p["hi"]):
+                raw = (text or "").encode("utf-8")
+                gone = _mask(len(raw), los, his)
+                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
+                out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
+            yield pd.concat([p["id"].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])], axis=1)
+
+    return cut
 
 
 def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -268,5 +271,5 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     found = repeats(plain.dropDuplicates(["doc", "tie"]) if odd else plain)
     spans = found.groupBy("doc", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     out = (rows.join(spans, ["doc", "tie"], "left").select("id", "text", "lo", "hi")
-           .mapInPandas(_cut, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+           .mapInPandas(_cutter(with_text), "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text))
     return out.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
