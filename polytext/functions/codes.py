@@ -5,8 +5,9 @@ literal maps (fixed, small) -- no join, no UDF.
 The reference resolves two- and three-letter codes through an external ISO
 639 package.  A code only changes under that lookup when it is a three-letter
 code of a language that also has a two-letter code (or the reverse), so the
-engine ships those pairs; a different or larger ISO table can be passed to
-the builders as a dict.  Codes outside the table behave like unknown codes.
+engine ships those pairs, all of ISO 639-1; a different table can be passed to
+the builders as a dict.  Three-letter codes without a two-letter one stay as
+they are.
 """
 
 from __future__ import annotations
@@ -25,27 +26,47 @@ SMUGRI = SMUGRI_HIGH + "," + SMUGRI_LOW
 ALIASES = [("smugri-low", SMUGRI_LOW), ("smugri-high", SMUGRI_HIGH), ("smugri", SMUGRI)]
 CONTRACT_NAMES = [("smugri-low", SMUGRI_LOW), ("smugri-high", SMUGRI_HIGH), ("smugri-full", SMUGRI)]
 
-# NLLB-style codes (ISO 639-3 + script) of the languages the engine ships; for
-# an ISO code listed twice the later script wins.
-NLLB_CODES = ["ace_Arab", "ace_Latn", "bel_Cyrl", "bul_Cyrl", "cat_Latn", "ces_Latn", "dan_Latn", "deu_Latn",
-              "ell_Grek", "eng_Latn", "est_Latn", "fin_Latn", "fra_Latn", "heb_Hebr", "hrv_Latn", "hun_Latn",
-              "isl_Latn", "ita_Latn", "jpn_Jpan", "kaz_Cyrl", "kor_Hang", "lvs_Latn", "lit_Latn", "mkd_Cyrl",
-              "nld_Latn", "nno_Latn", "nob_Latn", "pol_Latn", "por_Latn", "ron_Latn", "rus_Cyrl", "slk_Latn",
-              "slv_Latn", "spa_Latn", "srp_Cyrl", "swe_Latn", "tur_Latn", "ukr_Cyrl", "ydd_Hebr", "zho_Hans",
-              "zho_Hant"]
+# All NLLB codes (ISO 639-3 + script), in the published order; for an ISO code
+# listed twice the later script wins.
+NLLB_CODES = """
+ace_Arab ace_Latn acm_Arab acq_Arab aeb_Arab afr_Latn ajp_Arab aka_Latn amh_Ethi apc_Arab arb_Arab ars_Arab
+ary_Arab arz_Arab asm_Beng ast_Latn awa_Deva ayr_Latn azb_Arab azj_Latn bak_Cyrl bam_Latn ban_Latn bel_Cyrl
+bem_Latn ben_Beng bho_Deva bjn_Arab bjn_Latn bod_Tibt bos_Latn bug_Latn bul_Cyrl cat_Latn ceb_Latn ces_Latn
+cjk_Latn ckb_Arab crh_Latn cym_Latn dan_Latn deu_Latn dik_Latn dyu_Latn dzo_Tibt ell_Grek eng_Latn epo_Latn
+est_Latn eus_Latn ewe_Latn fao_Latn pes_Arab fij_Latn fin_Latn fon_Latn fra_Latn fur_Latn fuv_Latn gla_Latn
+gle_Latn glg_Latn grn_Latn guj_Gujr hat_Latn hau_Latn heb_Hebr hin_Deva hne_Deva hrv_Latn hun_Latn hye_Armn
+ibo_Latn ilo_Latn ind_Latn isl_Latn ita_Latn jav_Latn jpn_Jpan kab_Latn kac_Latn kam_Latn kan_Knda kas_Arab
+kas_Deva kat_Geor knc_Arab knc_Latn kaz_Cyrl kbp_Latn kea_Latn khm_Khmr kik_Latn kin_Latn kir_Cyrl kmb_Latn
+kon_Latn kor_Hang kmr_Latn lao_Laoo lvs_Latn lij_Latn lim_Latn lin_Latn lit_Latn lmo_Latn ltg_Latn ltz_Latn
+lua_Latn lug_Latn luo_Latn lus_Latn mag_Deva mai_Deva mal_Mlym mar_Deva min_Latn mkd_Cyrl plt_Latn mlt_Latn
+mni_Beng khk_Cyrl mos_Latn mri_Latn zsm_Latn mya_Mymr nld_Latn nno_Latn nob_Latn npi_Deva nso_Latn nus_Latn
+nya_Latn oci_Latn gaz_Latn ory_Orya pag_Latn pan_Guru pap_Latn pol_Latn por_Latn prs_Arab pbt_Arab quy_Latn
+ron_Latn run_Latn rus_Cyrl sag_Latn san_Deva sat_Beng scn_Latn shn_Mymr sin_Sinh slk_Latn slv_Latn smo_Latn
+sna_Latn snd_Arab som_Latn sot_Latn spa_Latn als_Latn srd_Latn srp_Cyrl ssw_Latn sun_Latn swe_Latn swh_Latn
+szl_Latn tam_Taml tat_Cyrl tel_Telu tgk_Cyrl tgl_Latn tha_Thai tir_Ethi taq_Latn taq_Tfng tpi_Latn tsn_Latn
+tso_Latn tuk_Latn tum_Latn tur_Latn twi_Latn tzm_Tfng uig_Arab ukr_Cyrl umb_Latn urd_Arab uzn_Latn vec_Latn
+vie_Latn war_Latn wol_Latn xho_Latn ydd_Hebr yor_Latn yue_Hant zho_Hans zho_Hant zul_Latn
+""".split()
 # Overrides and the extra Uralic languages by script.
 NLLB_OVERRIDES = [("lav", "lvs_Latn"), ("nor", "nob_Latn"), ("yid", "ydd_Hebr")]
 EXTRA_LATN = "fkv izh krl liv lud olo sje sju sma sme smj smn sms vep vot vro".split()
 EXTRA_CYRL = "kca koi kpv mdf mhr mns mrj myv sjd udm".split()
 UNKNOWN_SCRIPT = "Unk"
-# ISO 639-1 two-letter code -> ISO 639-3 code.
-ISO_PAIRS = [("be", "bel"), ("bg", "bul"), ("ca", "cat"), ("cs", "ces"), ("da", "dan"), ("de", "deu"),
-             ("el", "ell"), ("en", "eng"), ("es", "spa"), ("et", "est"), ("fi", "fin"), ("fr", "fra"),
-             ("he", "heb"), ("hr", "hrv"), ("hu", "hun"), ("is", "isl"), ("it", "ita"), ("ja", "jpn"),
-             ("kk", "kaz"), ("ko", "kor"), ("kv", "kom"), ("lt", "lit"), ("lv", "lav"), ("mk", "mkd"),
-             ("nb", "nob"), ("nl", "nld"), ("nn", "nno"), ("no", "nor"), ("pl", "pol"), ("pt", "por"),
-             ("ro", "ron"), ("ru", "rus"), ("se", "sme"), ("sk", "slk"), ("sl", "slv"), ("sr", "srp"),
-             ("sv", "swe"), ("tr", "tur"), ("uk", "ukr"), ("yi", "yid"), ("zh", "zho")]
+# ISO 639-1 two-letter code:ISO 639-3 code, all of the standard.
+ISO_PAIRS = [tuple(p.split(":")) for p in """
+aa:aar ab:abk ae:ave af:afr ak:aka am:amh an:arg ar:ara as:asm av:ava ay:aym az:aze ba:bak be:bel bg:bul bi:bis
+bm:bam bn:ben bo:bod br:bre bs:bos ca:cat ce:che ch:cha co:cos cr:cre cs:ces cu:chu cv:chv cy:cym da:dan de:deu
+dv:div dz:dzo ee:ewe el:ell en:eng eo:epo es:spa et:est eu:eus fa:fas ff:ful fi:fin fj:fij fo:fao fr:fra fy:fry
+ga:gle gd:gla gl:glg gn:grn gu:guj gv:glv ha:hau he:heb hi:hin ho:hmo hr:hrv ht:hat hu:hun hy:hye hz:her ia:ina
+id:ind ie:ile ig:ibo ii:iii ik:ipk io:ido is:isl it:ita iu:iku ja:jpn jv:jav ka:kat kg:kon ki:kik kj:kua kk:kaz
+kl:kal km:khm kn:kan ko:kor kr:kau ks:kas ku:kur kv:kom kw:cor ky:kir la:lat lb:ltz lg:lug li:lim ln:lin lo:lao
+lt:lit lu:lub lv:lav mg:mlg mh:mah mi:mri mk:mkd ml:mal mn:mon mr:mar ms:msa mt:mlt my:mya na:nau nb:nob nd:nde
+ne:nep ng:ndo nl:nld nn:nno no:nor nr:nbl nv:nav ny:nya oc:oci oj:oji om:orm or:ori os:oss pa:pan pi:pli pl:pol
+ps:pus pt:por qu:que rm:roh rn:run ro:ron ru:rus rw:kin sa:san sc:srd sd:snd se:sme sg:sag sh:hbs si:sin sk:slk
+sl:slv sm:smo sn:sna so:som sq:sqi sr:srp ss:ssw st:sot su:sun sv:swe sw:swa ta:tam te:tel tg:tgk th:tha ti:tir
+tk:tuk tl:tgl tn:tsn to:ton tr:tur ts:tso tt:tat tw:twi ty:tah ug:uig uk:ukr ur:urd uz:uzb ve:ven vi:vie vo:vol
+wa:wln wo:wol xh:xho yi:yid yo:yor za:zha zh:zho zu:zul
+""".split()]
 # Resource classes by ISO 639-3 code.
 CLASS_0 = "krl,sma,vep,smj,smn,lud,liv,izh,vot,kca,sms,sje,mns,fkv,sju,sjd".split(",")
 CLASS_1 = "kpv,sme,mhr,udm,olo,myv,mdf,vro,mrj,koi".split(",")

@@ -55,32 +55,6 @@ def split_tokens(tokenised) -> Column:
     return F.array_remove(F.split(_c(tokenised), " "), "")
 
 
-def word_ngrams(tokens, n: int) -> Column:
-    """Array of space-joined word n-grams (empty when fewer than n tokens)."""
-    t = _c(tokens)
-    return F.when(F.size(t) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(t) - n + 1),
-        lambda i: F.concat_ws(" ", *[F.element_at(t, i + k) for k in range(n)]))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
-def code_points(s) -> Column:
-    """Array of the code points of a string (split once, O(len)); the input is
-    referenced once."""
-    return F.array_remove(F.split(_c(s), ""), "")
-
-
-def char_ngrams(chars, n: int) -> Column:
-    """Array of character n-grams from a code-point array (see ``code_points``).
-    Indexing the array keeps this linear in the text length; ``substring`` on
-    the string would rescan it from the start for every position."""
-    a = _c(chars)
-    return F.when(F.size(a) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(a) - n + 1),
-        lambda i: F.concat(*[F.element_at(a, i + k) for k in range(n)]))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
 # ---- DuckDB text of the same functions ----
 
 def _q(s: str) -> str:

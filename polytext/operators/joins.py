@@ -27,21 +27,34 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return b.join(s, [*on, "_salt"], how).drop("_salt")
 
 
-# A lookup table is broadcast only below this many rows (checked by counting
-# it first); beyond it the salted shuffle join is used.
-MAX_BROADCAST_ROWS = 2_000_000
+# A lookup table is broadcast only below this many bytes (measured first);
+# beyond it the salted shuffle join is used.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table's rows: 8 for each column, and the lengths of strings,
+    binaries and (as JSON) nested values.  One aggregate over the table."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                salt_by: Column | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                salt_by: Column | None = None, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
                 salts: int = DEFAULT_SALTS) -> DataFrame:
     """Join a large table to a lookup table (vocabulary, model, dev set).
 
-    The lookup side's size is checked first (one count; callers pass tables
-    that are materialised or cheap to count): below ``max_broadcast_rows`` it
+    The lookup side's bytes are measured first (one aggregate; callers pass
+    tables that are materialised or cheap): below ``max_broadcast_bytes`` it
     is broadcast -- no shuffle of the large side, so hot keys cost nothing --
     otherwise the join is salted so a hot key is spread over ``salts`` tasks.
     """
-    if small.count() <= max_broadcast_rows:
+    if table_bytes(small) <= max_broadcast_bytes:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, salt_by=salt_by, salts=salts)

@@ -28,8 +28,9 @@ NGRAM = 3
 SCORE_DIGITS = 6
 
 
-# every overlapping window of NGRAM code points (a lookahead at each position)
-TRIGRAMS = r"(?s)(?=(.{%d}))" % NGRAM
+# every overlapping window of NGRAM code points: a match takes one code point
+# (an empty match would stop between the halves of a supplementary one)
+TRIGRAMS = r"(?s)(?=(.{%d}))." % NGRAM
 
 
 def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -60,17 +61,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 def detect(df: DataFrame, model: DataFrame, per_lang: DataFrame, key: str, text: str = "text",
            lang: str = "lang") -> DataFrame:
     """(key, detected, score) for every row; 'none' for texts without trigrams."""
-    g = _grams(df, [key], text).groupBy(key, "gram").agg(
-        F.count(F.lit(1)).alias("n"))
-    totals = g.groupBy(key).agg(F.sum("n").alias("_tot"))
-    # the language table is tiny: its rows become literal columns.  Seen-trigram
-    # sums per language are pivoted into one hash aggregate per text (no
-    # text x language rows, no sort-based aggregate).
+    # the language table is tiny: its rows become literal columns, and the model
+    # is pivoted to one row a trigram with a delta for each language.  Trigrams
+    # meet it in one left join; sums and counts are one hash aggregate a text,
+    # partial within the task that read the text.
     langs = [(r[0], r[1]) for r in per_lang.select(lang, "unseen_lp").orderBy(lang).collect()]
-    seen = lookup_join(g, model, ["gram"], "inner", salt_by=F.col(key).cast("string")).groupBy(key).agg(
-        *[F.sum(F.when(F.col(lang) == name, F.col("n") * F.col("delta"))).alias(f"_s{i}")
-          for i, (name, _) in enumerate(langs)])
-    sc = totals.join(seen, key, "left")
+    if not langs:
+        return df.select(key, F.lit("none").alias("detected"), F.lit(None).cast("double").alias("score"))
+    wide = model.groupBy("gram").agg(*[F.sum(F.when(F.col(lang) == name, F.col("delta"))).alias(f"_d{i}")
+                                       for i, (name, _) in enumerate(langs)])
+    g = _grams(df, [key], text)
+    sc = lookup_join(g, wide, ["gram"], "left", salt_by=F.col(key).cast("string")).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_tot"), *[F.sum(f"_d{i}").alias(f"_s{i}") for i in range(len(langs))])
     scores = [F.round(F.col("_tot") * F.lit(lp) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)), SCORE_DIGITS)
               for i, (_, lp) in enumerate(langs)]
     sc = sc.select(key, *[x.alias(f"_c{i}") for i, x in enumerate(scores)])

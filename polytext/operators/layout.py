@@ -1,10 +1,10 @@
 """Input layout helpers.
 
-``spread`` hash-partitions rows only when the input has fewer partitions than
-the cluster's parallelism -- e.g. a text table stored as one parquet row
-group, which a single task would otherwise read *and* explode.  On inputs
-that already have enough partitions (the normal case at scale) it adds no
-shuffle.  The check is a planning-time partition count, not a job.
+``spread`` repartitions rows only when they come from fewer files than the
+cluster's parallelism -- e.g. a text table stored as one parquet row group,
+which a single task would otherwise read *and* explode.  On inputs of many
+files (the normal case at scale) it adds no shuffle.  The check lists the
+plan's input files; it runs no job.
 """
 
 from __future__ import annotations
@@ -14,6 +14,6 @@ from pyspark.sql import DataFrame
 
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

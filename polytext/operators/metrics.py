@@ -16,11 +16,14 @@ Plan shape (the three hand-shaped parts of the metric plan):
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.langs import gen_lang_metric, resource_tier
 from polytext.functions.text import remove_ws, tok13a
+from polytext.operators.layout import spread
 
 # Metric settings (library defaults of sacreBLEU BLEU / chrF).
 BLEU_ORDER = 4
@@ -29,83 +32,62 @@ CHRF_BETA = 2
 CHRF_EPS = 1e-16
 BLEU_LOG_ZERO = -9999999999.0
 
-# Overlapping windows at every start: up to BLEU_ORDER tokens of a 13a-tokenised
-# text (single spaces, starts after a space or at the beginning), up to
-# CHRF_ORDER code points of a text without white space.
-WORD_WINDOWS = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){0,%d}))" % (BLEU_ORDER - 1)
-CHAR_WINDOWS = r"(?s)(?=(.{1,%d}))" % CHRF_ORDER
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[str] | None = None,
-                   partitions: int | None = None) -> DataFrame:
+def ngram_matches(a: np.ndarray, b: np.ndarray, orders: int) -> list[int]:
+    """Clipped n-gram matches of two integer sequences for each order.  An
+    n-gram's number is found from that of its first n - 1 items and its last
+    item, so no n-gram is built as a string."""
+    out = []
+    first = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int64)
+    fa, fb = first[:len(a)], first[len(a):]
+    ka, kb, width = fa, fb, int(first.max(initial=0)) + 1
+    for n in range(1, orders + 1):
+        if n > 1:
+            ka, kb = ka[:-1] * width + fa[n - 1:], kb[:-1] * width + fb[n - 1:]
+            ids = np.unique(np.concatenate([ka, kb]), return_inverse=True)[1].astype(np.int64)
+            ka, kb = ids[:len(ka)], ids[len(ka):]
+        if not len(ka) or not len(kb):
+            return out + [0] * (orders + 1 - n)
+        m = int(max(ka.max(), kb.max())) + 1
+        out.append(int(np.minimum(np.bincount(ka, minlength=m), np.bincount(kb, minlength=m)).sum()))
+    return out
+
+
+_COUNTS = (["sys_len", "ref_len", "_lch", "_lcr"] + [f"bleu_correct_{n}" for n in range(1, BLEU_ORDER + 1)]
+           + [f"chrf_match_{n}" for n in range(1, CHRF_ORDER + 1)])
+
+
+def _pair_counts(hyp_toks: str, ref_toks: str, hyp_chars: str, ref_chars: str) -> list[int]:
+    numbers: dict[str, int] = {}
+    th, tr = (np.array([numbers.setdefault(w, len(numbers)) for w in t.split(" ") if w], dtype=np.int64)
+              for t in (hyp_toks, ref_toks))
+    ch, cr = (np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in (hyp_chars, ref_chars))
+    return [len(th), len(tr), len(ch), len(cr), *ngram_matches(th, tr, BLEU_ORDER), *ngram_matches(ch, cr, CHRF_ORDER)]
+
+
+def row_statistics(df: DataFrame, row_id: str, hyp: str, ref: str, keep: list[str] | None = None) -> DataFrame:
     """Per-row sufficient statistics for BLEU and chrF.
 
     Output: row_id, keep..., sys_len, ref_len, bleu_total_n, bleu_correct_n
     (n = 1..4), chrf_hyp_n, chrf_ref_n, chrf_match_n (n = 1..6); all bigint.
+    The counts of a pair are found within its row by a vectorised (Arrow)
+    function, so no n-gram becomes a row and nothing is shuffled.
     """
     keep = keep or []
-    spark = df.sparkSession
-    # the n-gram explosion makes a row's work many times its shuffle bytes, and
-    # document lengths vary widely: finer partitions balance the long ones
-    n_part = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (df.select(F.col(row_id).alias("_rid"), *keep, F.col(hyp).alias("_h"), F.col(ref).alias("_r"))
-            .repartition(n_part, "_rid"))
-    toks = base.select("_rid", tok13a("_h").alias("_th"), tok13a("_r").alias("_tr"),
-                       remove_ws("_h").alias("_ch"), remove_ws("_r").alias("_cr"))
-
-    # One greedy regex pass per text finds, at every start position, the
-    # longest window (up to 4 tokens / 6 characters); the n-grams of every
-    # order at that position are its prefixes.  No per-element lambda runs
-    # (higher-order functions are interpreted), and each text is scanned once.
-    # A sentinel element per row keeps rows whose texts are both empty.
-    heads = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.array(F.lit("")).alias("gs")),
-        F.struct(F.lit(1).alias("k"), F.lit(0).alias("s"), F.regexp_extract_all("_th", F.lit(WORD_WINDOWS), 1)
-                 .alias("gs")),
-        F.struct(F.lit(1).alias("k"), F.lit(1).alias("s"), F.regexp_extract_all("_tr", F.lit(WORD_WINDOWS), 1)
-                 .alias("gs")),
-        F.struct(F.lit(2).alias("k"), F.lit(0).alias("s"), F.regexp_extract_all("_ch", F.lit(CHAR_WINDOWS), 1)
-                 .alias("gs")),
-        F.struct(F.lit(2).alias("k"), F.lit(1).alias("s"), F.regexp_extract_all("_cr", F.lit(CHAR_WINDOWS), 1)
-                 .alias("gs")))
-    wins = toks.select("_rid", F.inline(heads)).select("_rid", "k", "s", F.explode("gs").alias("w"))
-    k, w = F.col("k"), F.col("w")
-    # window length in tokens (k = 1) or characters (k = 2)
-    span = (F.when(k == 2, F.char_length(w))
-            .when(k == 1, F.char_length(w) - F.char_length(F.replace(w, F.lit(" "), F.lit(""))) + 1).otherwise(1))
-    prefixes = F.array(*[F.struct(
-        F.when(k == 0, F.lit(0 if n == 1 else -1)).when(k == 1, F.lit(n if n <= BLEU_ORDER else -1))
-        .otherwise(F.lit(10 + n)).alias("kn"),
-        F.when(k == 2, F.substring(w, 1, n)).when(k == 1, F.substring_index(w, " ", n)).otherwise(F.lit(""))
-        .alias("g"),
-        F.lit(n).alias("n")) for n in range(1, max(BLEU_ORDER, CHRF_ORDER) + 1)])
-    grams = (wins.select("_rid", "s", span.alias("_span"), F.inline(prefixes))
-             .where((F.col("kn") >= 0) & (F.col("n") <= F.col("_span"))))
-    per_gram = grams.groupBy("_rid", "kn", "g").agg(
-        F.sum(1 - F.col("s")).alias("_nh"), F.sum(F.col("s")).alias("_nr"))
-
-    def ssum(cond, col):
-        return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0)).cast("bigint")
-
-    kn = F.col("kn")
-    per_row = per_gram.groupBy("_rid").agg(
-        ssum(kn == 1, "_nh").alias("sys_len"), ssum(kn == 1, "_nr").alias("ref_len"),
-        ssum(kn == 11, "_nh").alias("_lch"), ssum(kn == 11, "_nr").alias("_lcr"),
-        *[F.coalesce(F.sum(F.when(kn == n, F.least("_nh", "_nr"))), F.lit(0)).cast("bigint")
-          .alias(f"bleu_correct_{n}") for n in range(1, BLEU_ORDER + 1)],
-        *[F.coalesce(F.sum(F.when(kn == 10 + n, F.least("_nh", "_nr"))), F.lit(0)).cast("bigint")
-          .alias(f"chrf_match_{n}") for n in range(1, CHRF_ORDER + 1)])
-    if keep:
-        # pass-through columns are joined back per row (both sides come from
-        # the same row-id exchange) instead of widening every n-gram key
-        per_row = per_row.join(base.select("_rid", *keep), "_rid")
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def counts(th: pd.Series, tr: pd.Series, ch: pd.Series, cr: pd.Series) -> pd.DataFrame:
+        rows = [_pair_counts(*(x or "" for x in texts)) for texts in zip(th, tr, ch, cr)]
+        return pd.DataFrame(rows, columns=_COUNTS)
+
+    x = counts(tok13a(hyp), tok13a(ref), remove_ws(hyp), remove_ws(ref))
+    per_row = df.select(F.col(row_id), *keep, x.alias("_x")).select(row_id, *keep, "_x.*")
     # totals follow from the lengths: max(len - n + 1, 0) per row
     return per_row.select(
-        F.col("_rid").alias(row_id), *keep, "sys_len", "ref_len",
+        row_id, *keep, "sys_len", "ref_len",
         *[F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).alias(f"bleu_total_{n}")
           for n in range(1, BLEU_ORDER + 1)],
         *[f"bleu_correct_{n}" for n in range(1, BLEU_ORDER + 1)],
@@ -187,7 +169,7 @@ def corpus_metrics(inputs: DataFrame, outputs: DataFrame, index: str = "hyp_inde
     groups.  Rows without a reference are not scored."""
     pairs = (inputs.select(index, src_lang, tgt_lang, ref).where(F.col(ref).isNotNull())
              .join(outputs.select(index, hyp), index, "inner"))
-    stats = row_statistics(pairs, index, hyp, ref, keep=[src_lang, tgt_lang])
+    stats = row_statistics(spread(pairs), index, hyp, ref, keep=[src_lang, tgt_lang])
     grouped = stats.select(F.explode(metric_groups(src_lang, tgt_lang)).alias("lp"), *STAT_COLS)
     sums = sum_statistics(grouped, ["lp"])
     return sums.select("lp", "n_rows", F.round(bleu_from_sums(), digits).alias("bleu"),

@@ -21,7 +21,7 @@ def _c(x) -> Column:
 def pair_qc_label(src, tgt, tgt_lang, detected) -> Column:
     """First match wins.
 
-    empty (either side has no characters; the reference would divide by zero)
+    empty (either side is NULL or has no characters)
     -> ratio (longer > 3 x shorter, compared in integers)
     -> eq -> ans (exactly one side has '?')
     -> lid-skip (target language has no detector code)
@@ -32,7 +32,7 @@ def pair_qc_label(src, tgt, tgt_lang, detected) -> Column:
     ls, lt = F.char_length(s), F.char_length(t)
     det = F.coalesce(_c(detected), F.lit("none"))
     expected = detect_code(tgt_lang)
-    return (F.when((ls == 0) | (lt == 0), "empty")
+    return (F.when(s.isNull() | t.isNull() | (ls == 0) | (lt == 0), "empty")
             .when(F.greatest(ls, lt) > F.least(ls, lt) * MAX_LEN_RATIO, "ratio")
             .when(s == t, "eq")
             .when(s.contains("?") != t.contains("?"), "ans")
@@ -44,7 +44,7 @@ def pair_qc_label(src, tgt, tgt_lang, detected) -> Column:
 def sql_pair_qc_label(src: str, tgt: str, tgt_lang: str, detected: str) -> str:
     det = f"coalesce({detected}, 'none')"
     exp = sql_detect_code(tgt_lang)
-    return f"""(CASE WHEN length({src}) = 0 OR length({tgt}) = 0 THEN 'empty'
+    return f"""(CASE WHEN {src} IS NULL OR {tgt} IS NULL OR length({src}) = 0 OR length({tgt}) = 0 THEN 'empty'
         WHEN greatest(length({src}), length({tgt})) > least(length({src}), length({tgt})) * {MAX_LEN_RATIO} THEN 'ratio'
         WHEN {src} = {tgt} THEN 'eq'
         WHEN contains({src}, '?') <> contains({tgt}, '?') THEN 'ans'

@@ -4,8 +4,8 @@ and vector-table differences (D12).
 
 A model is any picklable callable ``list[str] -> list[str]`` (optionally
 returning ``(outputs, mean_logprobs)``).  It runs inside ``mapInPandas`` on
-Arrow batches; the callable is built once per Python worker by its factory,
-not once per batch.  The engine ships a deterministic stub model only.
+Arrow batches; the callable is built once per task by its factory, not once
+per batch.  The engine ships a deterministic stub model only.
 """
 
 from __future__ import annotations
@@ -21,9 +21,6 @@ from pyspark.sql import types as T
 from polytext.operators.joins import salted_join
 from polytext.operators.qc import OVERLENGTH_LOGPROB, OVERLENGTH_TOKENS
 
-_MODELS: dict[str, Callable] = {}
-
-
 class ReverseWordsModel:
     """Deterministic stub 'translator': the words of the prompt in reverse
     order (split on single spaces)."""
@@ -34,14 +31,6 @@ class ReverseWordsModel:
         return [" ".join(reversed(p.split(" "))) for p in prompts]
 
 
-def _model(factory: Callable[[], Callable], key: str) -> Callable:
-    m = _MODELS.get(key)
-    if m is None:
-        m = factory()
-        _MODELS[key] = m
-    return m
-
-
 def score_batches(df: DataFrame, prompt: str, factory: Callable[[], Callable] = ReverseWordsModel,
                   out: str = "hyp_output", batch_size: int = 32, n_tokens: str | None = None,
                   max_tokens: int = OVERLENGTH_TOKENS, max_attempts: int = 1) -> DataFrame:
@@ -53,12 +42,11 @@ def score_batches(df: DataFrame, prompt: str, factory: Callable[[], Callable] =
     ``batch_size`` prompts; a chunk is retried up to ``max_attempts`` times and
     its result must have one output per prompt.
     """
-    key = getattr(factory, "__qualname__", str(factory))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField("hyp_mean_logprob", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(factory, key)
+        model = factory()
         for pdf in batches:
             outs: list[str] = []
             probs: list[float | None] = []
@@ -86,7 +74,7 @@ def score_batches(df: DataFrame, prompt: str, factory: Callable[[], Callable] =
 
     if n_tokens is None:
         return df.mapInPandas(run, schema)
-    over = F.col(n_tokens) > max_tokens
+    over = F.coalesce(F.col(n_tokens) > max_tokens, F.lit(False))  # an unknown length is sent to the model
     scored = df.where(~over).mapInPandas(run, schema)
     skipped = df.where(over).select("*", F.lit("").alias(out), F.lit(OVERLENGTH_LOGPROB).alias("hyp_mean_logprob"))
     return scored.unionByName(skipped)
@@ -97,7 +85,7 @@ def batched_enrichment(df: DataFrame, text: str, src_lang: str, tgt_lang: str, a
                        max_attempts: int = 5) -> DataFrame:
     """J2 (+C8): rows whose two languages are both served are sent in chunks
     of 8 with up to 5 attempts; other rows get NULL (the pair is skipped)."""
-    ok = F.col(src_lang).isin(allowed) & F.col(tgt_lang).isin(allowed)
+    ok = F.coalesce(F.col(src_lang).isin(allowed) & F.col(tgt_lang).isin(allowed), F.lit(False))
     served = score_batches(df.where(ok), text, factory, out=out, batch_size=batch_size, max_attempts=max_attempts)
     rest = df.where(~ok).select("*", F.lit(None).cast("string").alias(out),
                                 F.lit(None).cast("double").alias("hyp_mean_logprob"))
@@ -106,8 +94,10 @@ def batched_enrichment(df: DataFrame, text: str, src_lang: str, tgt_lang: str, a
 
 def hyp_cache_reuse(requests: DataFrame, cache: DataFrame, keys: list[str], prompt: str,
                     factory: Callable[[], Callable] = ReverseWordsModel, out: str = "hyp_output") -> DataFrame:
-    """Reuse cached hypotheses at sentence grain; only misses are scored."""
-    c = cache.select(*keys, F.col(out).alias("_cached"))
+    """Reuse cached hypotheses at sentence grain; only misses are scored.
+    Of several cached hypotheses for equal keys the smallest is taken, so a
+    request never multiplies."""
+    c = cache.groupBy(*keys).agg(F.min(out).alias("_cached"))
     hits = requests.join(c, keys, "inner").withColumnRenamed("_cached", out)
     misses = requests.join(c.select(*keys), keys, "left_anti")
     scored = score_batches(misses, prompt, factory, out=out).drop("hyp_mean_logprob")
@@ -157,6 +147,7 @@ def vector_table_diff(a: DataFrame, b: DataFrame, name: str = "name", vec: str =
     j = a.select(name, F.col(vec).alias("_a")).join(b.select(name, F.col(vec).alias("_b")), name, "full_outer")
     j = j.select(name, F.when(F.col("_a").isNull() | F.col("_b").isNull(),
                               F.raise_error(F.concat(F.lit("key sets differ at "), F.col(name))))
+                       .when(F.size("_a") != F.size("_b"), F.raise_error(F.concat(F.lit("lengths differ at "), F.col(name))))
                  .otherwise(F.lit(True)).alias("_ok"), "_a", "_b")
     if skip_pattern:
         j = j.where(~F.col(name).contains(skip_pattern))

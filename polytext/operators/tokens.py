@@ -37,28 +37,11 @@ def token_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(key, text)).select(key, F.posexplode(word_tokens(text)).alias("pos", "token"))
 
 
-POS_BITS = 24   # positions per row below 2**24; row keys below 2**39
-
-
-def first_occurrence_key(key: str, pos: str, integral: bool) -> Column:
-    """Order key of an occurrence (row key, position).  For integral row keys
-    it is packed into one long (key * 2**24 + pos) so that ``min`` runs in the
-    hash aggregate (a struct minimum would force a sort-based aggregate);
-    values outside the packing range fail the job instead of overflowing."""
-    if not integral:
-        return F.struct(F.col(key), F.col(pos))
-    k, p = F.col(key).cast("bigint"), F.col(pos).cast("bigint")
-    ok = (k >= 0) & (k < F.lit(1 << (63 - POS_BITS))) & (p < F.lit(1 << POS_BITS))
-    return F.when(ok, F.shiftleft(k, POS_BITS) + p).otherwise(
-        F.raise_error(F.lit("row key or position outside the packed first-occurrence range")))
-
-
 def token_frequency(occ: DataFrame) -> DataFrame:
-    """Corpus token counts with the first occurrence (for stable ties)."""
+    """Corpus token counts with the first occurrence (row key, position;
+    for stable ties).  Row keys may be of any ordered type and size."""
     key = occ.columns[0]
-    integral = occ.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
-    return occ.groupBy("token").agg(F.count(F.lit(1)).alias("count"),
-                                    F.min(first_occurrence_key(key, "pos", integral)).alias("first"))
+    return occ.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(F.col(key), F.col("pos"))).alias("first"))
 
 
 def top_k_tokens(freq: DataFrame, k: int) -> DataFrame:
@@ -90,14 +73,16 @@ def vocab_from_tsv(lines: DataFrame, line_no: str = "line_no", token: str = "tok
         .unionByName(special_table(lines.sparkSession))
 
 
-def tokenise(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int = DEFAULT_MAX_LEN,
+def tokenise(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int | None = DEFAULT_MAX_LEN,
              add_eos: bool = True, partitions: int | None = None) -> DataFrame:
     """Ids (unknown -> UNK), truncated to ``max_len`` *before* EOS is
-    appended (so up to max_len + 1), and an all-ones attention mask."""
+    appended (so up to max_len + 1; None: not truncated), and an all-ones
+    attention mask."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(key, text).repartition(n, key)
-    occ = rows.select(key, F.posexplode(F.slice(word_tokens(text), 1, max_len)).alias("pos", "token"))
+    toks = word_tokens(text) if max_len is None else F.slice(word_tokens(text), 1, max_len)
+    occ = rows.select(key, F.posexplode(toks).alias("pos", "token"))
     # frequent tokens are hot keys: broadcast the vocabulary when its size
     # allows, else salt by (row, position)
     ided = lookup_join(occ, vocab.select("token", "id"), ["token"], "left",
@@ -121,15 +106,6 @@ def loss_mask_delimiter(ids: str, delim_id: int) -> Column:
         .otherwise(F.concat(F.array_repeat(F.lit(True), pos), F.array_repeat(F.lit(False), n - pos)))
 
 
-def output_field_mask(ids: str, blank_len: Column, compat: bool = True) -> Column:
-    """I3 with the Q6 choice: ``blank_len`` is the token count of the prompt
-    rendered with the output field blank, EOS included.  ``compat=True``
-    masks that many tokens, as the reference does (one output token too many);
-    ``compat=False`` masks only the prompt (the EOS of the blank rendering is
-    not a prompt token)."""
-    return loss_mask_prefix(ids, blank_len if compat else blank_len - 1)
-
-
 def loss_mask_prefix(ids: str, n_masked: Column) -> Column:
     """Mask the first n tokens (n = token count of the prompt rendered with
     the output left blank, EOS included -- one output token too many, Q6)."""
@@ -186,20 +162,20 @@ def detokenise(df: DataFrame, key: str, ids: str, vocab: DataFrame, added: DataF
 
 
 def unk_report(occ: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Distinct tokens used, total tokens, UNK percentage."""
-    j = occ.join(vocab.select("token", F.lit(1).alias("_known")), "token", "left")
-    return j.agg(F.countDistinct("token").alias("distinct_tokens"), F.count(F.lit(1)).alias("total_tokens"),
-                 F.count_if(F.col("_known").isNull()).alias("unk_tokens")).select(
+    """Distinct tokens used, total tokens, UNK percentage.  Tokens are
+    counted first, so the join has one row a token."""
+    counted = occ.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    j = counted.join(vocab.select("token", F.lit(1).alias("_known")), "token", "left")
+    return j.agg(F.count(F.lit(1)).alias("distinct_tokens"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_tokens"),
+                 F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("unk_tokens")).select(
         "distinct_tokens", "total_tokens", "unk_tokens",
         (F.lit(100.0) * F.col("unk_tokens") / F.col("total_tokens")).alias("unk_pct"))
 
 
 def unk_tokens(occ: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """E13 list / I7 candidates: unknown surface tokens in first-seen order."""
-    unk = occ.join(vocab.select("token"), "token", "left_anti")
-    integral = occ.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
-    first = unk.groupBy("token").agg(F.min(first_occurrence_key(key, "pos", integral)).alias("first"))
-    return first
+    first = occ.groupBy("token").agg(F.min(F.struct(F.col(key), F.col("pos"))).alias("first"))
+    return first.join(vocab.select("token"), "token", "left_anti")
 
 
 def extend_vocab(vocab: DataFrame, unknown: DataFrame) -> DataFrame:

@@ -162,13 +162,13 @@ def _padded(spark, sf):
     return TK.pad_batch(batches.join(t, "doc_id"), "batch_id", multiple=8)
 
 
-from polytext.plans.catalog_tokens import _TOK_SQL  # noqa: E402
+from polytext.plans.catalog_tokens import _FULL_SQL  # noqa: E402
 
 register("pad_batch", V.with_views(f"""
 SELECT o.doc_id, o.pad_copy, o.i // {B} AS batch_id,
   CAST(ceil(max(len(ids.input_ids)) OVER (PARTITION BY o.i // {B}) / 8) * 8 AS INTEGER) AS n,
   CAST(len(ids.input_ids) AS INTEGER) AS n_real
-FROM ordered o JOIN ids USING (doc_id)""", "v_vocab", "v_batches", ctes=_TOK_SQL + ",\n" + _PAD_SQL))(
+FROM ordered o JOIN ids USING (doc_id)""", "v_vocab", "v_batches", ctes=_FULL_SQL + ",\n" + _PAD_SQL))(
     lambda spark, sf: _padded(spark, sf).select("doc_id", "pad_copy", "batch_id", F.size("input_ids").alias("n"),
                                                 F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
                                                 .alias("n_real")))

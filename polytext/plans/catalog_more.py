@@ -72,7 +72,7 @@ DELIM_TOKEN = "response:"
 
 
 def _alpaca_masks(spark, sf):
-    a = V.alpaca(spark, sf).select((F.col("conv_id") * 1000000 + F.col("turn")).alias("rid"),
+    a = V.alpaca(spark, sf).select(F.concat_ws(":", "conv_id", "turn").alias("rid"),
                                    P.prompt_alpaca(False).alias("prompt"),
                                    P.render(P.ALPACA_TRAIN, {"output": F.lit("")}).alias("blank"))
     vocab = TK.build_vocab(TK.token_frequency(TK.token_occurrences(a, "rid", "prompt")), min_count=2)
@@ -90,7 +90,7 @@ def _alpaca_masks(spark, sf):
                     n_true(m_field).alias("n_masked_field"))
 
 
-_ALP = f"""al AS (SELECT conv_id * 1000000 + turn AS rid,
+_ALP = f"""al AS (SELECT concat_ws(':', conv_id, turn) AS rid,
   regexp_extract_all(lower({P.sql_render(P.ALPACA_TRAIN)}), '[^\\s]+') AS toks,
   regexp_extract_all(lower({P.sql_render(P.ALPACA_TRAIN, {'output': "''"})}), '[^\\s]+') AS btoks FROM v_alpaca)"""
 

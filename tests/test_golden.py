@@ -11,7 +11,6 @@ from polytext.functions import langs as L
 from polytext.functions import prompts as P
 from polytext.operators import batching as BA
 from polytext.operators import synth
-from polytext.functions.text import word_ngrams, char_ngrams, split_tokens
 
 
 def test_prompt_special_characters(spark):
@@ -89,20 +88,63 @@ def test_batches_have_exactly_b_rows(spark, n):
     assert originals == n
 
 
-def test_short_token_arrays(spark):
-    df = spark.createDataFrame([("a b",), ("",), ("abc",)], "t string")
-    toks = df.select(split_tokens("t").alias("w"), F.split("t", "").alias("c"))
-    r = toks.select(word_ngrams("w", 4).alias("w4"), word_ngrams("w", 2).alias("w2"),
-                    char_ngrams("c", 6).alias("c6")).collect()
-    assert [x.w4 for x in r] == [[], [], []]
-    assert [x.w2 for x in r] == [["a b"], [], []]
-    assert [x.c6 for x in r] == [[], [], []]
+def test_ngram_matches_on_code_points():
+    import numpy as np
 
+    from polytext.operators.metrics import _pair_counts, ngram_matches
+    assert ngram_matches(np.array([1, 2, 1, 2]), np.array([1, 2, 3]), 4) == [2, 1, 0, 0]
+    assert ngram_matches(np.array([], dtype=np.int64), np.array([1]), 2) == [0, 0]
+    assert _pair_counts("", "", "a😀b", "😀b")[2:4] == [3, 2]
+    assert _pair_counts("", "", "a😀b", "😀b")[8:] == [2, 1, 0, 0, 0, 0]
 
-def test_output_field_mask_compat(spark):
+
+def test_all_codes_convert(spark):
+    from polytext.functions import codes as CD
+    rows = [("hin", "hin_Deva", "<2hi>"), ("hi", "hin_Deva", "<2hi>"), ("hin_Deva", "hin_Deva", "<2hi>"), ("vie", "vie_Latn", "<2vi>"),
+            ("arb", "arb_Arab", "<2arb>"), ("tha", "tha_Thai", "<2th>"), ("zho", "zho_Hant", "<2zh>"), ("<2et>", "est_Latn", "<2et>"),
+            ("lav", "lvs_Latn", "<2lv>"), ("taq", "taq_Tfng", "<2taq>"), ("xxx", "xxx_Unk", "<2xxx>"), ("vro", "vro_Latn", "<2vro>")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "c string")
+    assert [tuple(r) for r in df.select("c", CD.to_nllb("c"), CD.to_madlad("c")).collect()] == rows
+    codes = spark.createDataFrame([(c,) for c in CD.NLLB_CODES], "c string").select("c", CD.to_nllb("c").alias("n")).collect()
+    assert len(codes) == 202 and not [r for r in codes if r["n"].endswith("_Unk") or r["n"][:3] != r["c"][:3]]
+
+
+def test_null_texts_and_languages_are_kept_and_never_ok(spark):
+    from polytext.operators import qc, scoring
+    df = spark.createDataFrame([(None, "hello", "eng"), ("hello", None, "eng"), ("a", "b", None)], "s string, t string, l string")
+    labels = [r[0] for r in df.select(qc.pair_qc_label("s", "t", "l", F.lit("en"))).collect()]
+    assert labels[:2] == ["empty", "empty"]
+    out = scoring.batched_enrichment(df, "s", "l", "l", ["eng"], scoring.ReverseWordsModel)
+    assert out.count() == 3
+    n = df.withColumn("n", F.lit(None).cast("int"))
+    assert scoring.score_batches(n, "s", n_tokens="n").count() == 3
+
+
+def test_two_factories_and_repeated_cache_rows(spark):
+    from polytext.operators import scoring
+
+    def factory(word):
+        return lambda: lambda texts: [word] * len(texts)
+
+    df = spark.createDataFrame([("x",)], "p string")
+    assert [scoring.score_batches(df, "p", factory(w)).first()["hyp_output"] for w in ("one", "two")] == ["one", "two"]
+    cache = spark.createDataFrame([("x", "b"), ("x", "a")], "p string, hyp_output string")
+    assert [r["hyp_output"] for r in scoring.hyp_cache_reuse(df, cache, ["p"], "p").collect()] == ["a"]
+
+
+def test_any_row_key_counts_tokens(spark):
     from polytext.operators import tokens as TK
-    df = spark.createDataFrame([([5, 6, 7, 8, 2], 3)], "ids array<int>, n int")
-    r = df.select(TK.output_field_mask("ids", F.col("n")).alias("a"),
-                  TK.output_field_mask("ids", F.col("n"), compat=False).alias("b")).first()
-    assert r.a == [True, True, True, False, False]
-    assert r.b == [True, True, False, False, False]
+    df = spark.createDataFrame([(2**40, "b a"), (-1, "a"), (2**62, "c a")], "k long, t string")
+    freq = TK.token_frequency(TK.token_occurrences(df, "k", "t"))
+    assert {r["token"]: r["count"] for r in freq.collect()} == {"a": 3, "b": 1, "c": 1}
+    assert [r["token"] for r in TK.top_k_tokens(freq, 3).collect()] == ["a", "b", "c"]
+
+
+def test_vector_lengths_must_match(spark):
+    import pytest
+
+    from polytext.operators import scoring
+    a = spark.createDataFrame([("x", [1.0, 2.0])], "name string, vec array<double>")
+    b = spark.createDataFrame([("x", [1.0])], "name string, vec array<double>")
+    with pytest.raises(Exception, match="lengths differ"):
+        scoring.vector_table_diff(a, b).collect()

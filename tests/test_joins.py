@@ -20,12 +20,12 @@ def test_salted_join_equals_plain_join(spark, how):
     assert plain == salted
 
 
-@pytest.mark.parametrize("limit", [0, 10])
+@pytest.mark.parametrize("limit", [0, 10_000])
 def test_lookup_join_both_paths(spark, limit):
     from polytext.operators.joins import lookup_join
     big = spark.range(0, 500).select(F.col("id").alias("row"), (F.col("id") % 4).cast("string").alias("k"))
     small = spark.createDataFrame([("0", 1), ("2", 3)], "k string, v int")
     plain = sorted(tuple(r) for r in big.join(small, ["k"], "left").collect())
     got = sorted(tuple(r) for r in lookup_join(big, small, ["k"], "left", salt_by=F.col("row"),
-                                               max_broadcast_rows=limit).collect())
+                                               max_broadcast_bytes=limit).collect())
     assert plain == got

@@ -9,15 +9,25 @@ from polytext.operators.batching import prefix_sum
 from polytext.operators.layout import spread
 
 
-def test_spread_is_a_no_op_on_split_inputs(spark):
+def test_spread_is_a_no_op_on_inputs_of_many_files(spark, tmp_path):
     target = spark.sparkContext.defaultParallelism * 2
-    wide = spark.range(0, 1000, numPartitions=target + 3)
+    spark.range(0, 1000, numPartitions=target + 3).write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
     assert spread(wide) is wide
-    thin = spark.range(0, 1000, numPartitions=1)
+    spark.range(0, 1000, numPartitions=1).write.parquet(str(tmp_path / "thin"))
+    thin = spark.read.parquet(str(tmp_path / "thin"))
     assert spread(thin).rdd.getNumPartitions() == target
     assert sorted(r.id for r in spread(thin, "id").collect()) == list(range(1000))
 
 
+def test_spread_runs_no_job(spark):
+    left, right = spark.range(0, 1000), spark.range(0, 1000)
+    spark.sparkContext.setJobGroup("spread", "spread")
+    spread(left.hint("merge").join(right, "id"))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("spread")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_prefix_sum_matches_running_sum(spark):
     vals = [(i, (i * 7) % 11) for i in range(300)]
     df = spark.createDataFrame(vals, "k long, v long")

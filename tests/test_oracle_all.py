@@ -6,12 +6,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from polytext.plans import registry
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-_SQL = E.oracle_sql()
+_SQL = registry.oracle_sql()
 _TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-_Q = E.queries()
+_Q = registry.queries()
 
 
 @pytest.fixture(scope="module")

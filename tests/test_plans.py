@@ -1,17 +1,19 @@
 """Plan checks: no row-at-a-time Python UDF anywhere, Python
-(Arrow) stages only in the model-scoring operators, and no Cartesian products
+(Arrow) stages only in the model-scoring and metric operators, and no Cartesian products
 or nested-loop joins."""
 
 from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
+from polytext.plans import registry
 
 SF = "/root/testdata/sf0.001"
 SCORING = {"score_batches", "overlength_gate", "chunked_translate", "batched_enrichment", "hyp_cache_reuse",
            "memo_translate_fill"}
-_Q = E.queries()
+# n-gram counts within a row (Arrow)
+METRICS = {"corpus_metrics", "macro_average_by_class", "metric_row_stats"}
+_Q = registry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(_Q))
@@ -21,5 +23,5 @@ def test_plan_shape(spark, name):
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
-    if name not in SCORING:
+    if name not in SCORING | METRICS:
         assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan
