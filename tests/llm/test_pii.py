@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from polytext.llm import pii
+
+
+def luhn(d):
+    total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1]))
+    return total % 10 == 0
+
+
+def brute(text):
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(p, text) if ok(m.group())] for k, (p, ok) in rules.items()}
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="ab@.+- ()0123456789é:/\n", max_size=60))
+def test_base_spans_match_the_patterns(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in pii.BASE} == brute(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4539148803436467", "4539 1488 0343 6467", "1.2.3.4", "256.1.1.1", "+49 (30) 1234567", "a.b@c.de", "x@y", " ", "-", ".", "7", "٣", "+"]), max_size=12).map("".join))
+def test_base_spans_match_the_patterns_on_joined_parts(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in pii.BASE} == brute(text)
+
+
+def test_added_kinds():
+    text = "IBAN: DE89 3704 0044 0532 0130 00 then account no. 12345678, see https://user:pw@host.example/x and https://plain.example/"
+    found = pii.find(text)
+    assert [text[s:e] for s, e in found["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678"]
+    assert [text[s:e] for s, e in found["url"]] == ["https://user:pw@host.example/x"]
+    assert pii.find("IBAN DE89 3704 0044 0532 0130 01")["account"] == []
+
+
+def test_redaction():
+    assert pii.redact("to a@b.cd or 1.2.3.4.") == "to <EMAIL> or <IP>."
+    assert pii.redact(None) is None and pii.redact("") == ""
+    assert pii.redact("https://u@h.example/") == "<URL>"
+
+
+def test_query_columns(spark, odd_docs, no_docs):
+    got = pii.digest(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    for r, (t,) in zip(sorted(got, key=str), sorted(([x["text"]] for x in odd_docs.collect()), key=str)):
+        assert r["spans"] is not None
+    row = next(r for r in got if r["doc_id"] == 14)
+    text = odd_docs.where("doc_id = 14").first()["text"]
+    said = ",".join(f"{k}:{s}:{e}" for k, own in brute(text).items() for s, e in own)
+    assert (row["n_email"], row["n_ip"], row["n_phone"], row["base_sha256"]) == (1, 1, 1, hashlib.sha256(said.encode()).hexdigest())
+    assert pii.digest(no_docs).collect() == []
