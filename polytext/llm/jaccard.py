@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 
 from polytext.llm.common import components, ship, stored
 
-BUCKETS, DEPTH, GROUP, SKETCH, BROADCAST_IDS = 1 << 17, 16, 512, 1024, 200_000
+BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, BROADCAST_IDS = 1 << 20, 1 << 12, 8, 512, 512, 200_000
 _WORDS: dict[bytes, int] = {}
 _KEY = "c binary, n long"
 
@@ -98,20 +99,31 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """Rows with an n-gram of each bucket, over all documents.  A task sends
+    its counts as blocks of ``BLOCK`` numbers, which are added up as they
+    arrive; the driver gets ``BUCKETS`` numbers in all."""
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for p in parts:
             for i in range(0, len(p), 64):
                 own = np.concatenate([shingles(t, k) for t in p["text"].iloc[i:i + 64]])
-                total += np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+                np.add.at(total, (own % np.uint64(BUCKETS)).astype(np.int64), 1)
+        if total.any():
+            yield pd.DataFrame({"block": np.arange(BUCKETS // BLOCK), "n": [x.tobytes() for x in total.reshape(-1, BLOCK)]})
 
-    rows = docs.select("text").mapInPandas(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int64)
+    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for p in parts:
+            for b, n in zip(p["block"], p["n"]):
+                total[b] = total.get(b, 0) + np.frombuffer(n, np.int64)
+        if total:
+            yield pd.DataFrame({"block": list(total), "n": [x.tobytes() for x in total.values()]})
+
+    rows = docs.select("text").mapInPandas(counted, "block int, n binary").repartition("block").mapInPandas(added, "block int, n binary").collect()
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
     for b, n in rows:
-        out[b] = n
-    return out
+        out[b] = np.frombuffer(n, np.int64)
+    return out.reshape(-1).astype(np.uint32 if out.max() < 1 << 32 else np.int64)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -191,39 +203,44 @@ def _groups(rows: DataFrame, percent: int, again: bool) -> DataFrame:
     (token) in which only a forest was taken."""
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(token, group: pd.DataFrame) -> list[tuple]:
-            bits = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-            i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-            c = list(group["c"])
-            pairs = remaining(list(group["n"]), list(group["pos"]), [list(x) for x in group["seq"]], bits, percent, list(group["own"]) if i != j else None, list(group["comp"]) if again else None)
-            if again or len(pairs) <= 4 * len(c):
-                return [(token, c[x], c[y]) for x, y, _ in pairs]
-            return [(token, None, None)] + [(token, c[x], c[y]) for x, y, _ in forest(len(c), pairs)]
+        def done(s: int, e: int) -> list[tuple]:
+            token, mine = int(tokens[s]), c[s:e]
+            if e - s == 2 and blocks[0][s] == blocks[1][s]:  # a trie of one set: only its leaf
+                need = needed(n[s], n[s + 1], percent)
+                if (again and comp[s] == comp[s + 1]) or 1 + min(n[s] - at[s], n[s + 1] - at[s + 1]) - 1 < need:
+                    return []
+                apart = (int.from_bytes(bits[s], "little") ^ int.from_bytes(bits[s + 1], "little")).bit_count()
+                return [(token, mine[0], mine[1])] if (n[s] + n[s + 1] - apart) // 2 >= need else []
+            own = np.frombuffer(b"".join(bits[s:e]), np.uint8).reshape(e - s, -1)
+            pairs = remaining(n[s:e], at[s:e], [x.tolist() for x in seq[s:e]], own, percent, side[s:e] if blocks[0][s] != blocks[1][s] else None, comp[s:e] if again else None)
+            if again or len(pairs) <= 4 * len(mine):
+                return [(token, mine[x], mine[y]) for x, y, _ in pairs]
+            return [(token, None, None)] + [(token, mine[x], mine[y]) for x, y, _ in forest(len(mine), pairs)]
 
         left = None
-        for p in parts:
-            p = p if left is None else pd.concat([left, p], ignore_index=True)
-            key = p["token"].astype("object"), p["i"], p["j"]
-            ends = np.flatnonzero(np.append((key[0][1:].to_numpy() != key[0][:-1].to_numpy()) | (key[1][1:].to_numpy() != key[1][:-1].to_numpy()) | (key[2][1:].to_numpy() != key[2][:-1].to_numpy()), False)) + 1 if len(p) else []
-            got, start = [], 0
-            for e in ends:
-                if e - start > 1:
-                    got += done(int(p["token"].iloc[start]), p.iloc[start:e])
-                start = int(e)
-            left = p.iloc[start:]
+        for p in chain(parts, [None]):  # None: the end
+            end = p is None
+            p = left if end else p if left is None else pd.concat([left, p], ignore_index=True)
+            if p is None or not len(p):
+                continue
+            tokens, blocks = p["token"].to_numpy(), (p["i"].to_numpy(), p["j"].to_numpy())
+            new = np.zeros(len(p) - 1, bool)
+            for x in (tokens, *blocks):
+                new |= x[1:] != x[:-1]
+            starts = [0, *(np.flatnonzero(new) + 1).tolist(), *[len(p)] * end]
+            c, n, at, seq, bits, side, comp = (p[x].tolist() for x in ("c", "n", "pos", "seq", "sketch", "own", "comp"))
+            got = [x for s, e in zip(starts, starts[1:]) if e - s > 1 for x in done(s, e)]
+            left = p.iloc[starts[-1]:]
             if got:
                 yield pd.DataFrame(got, columns=["token", "a", "b"])
-        if left is not None and len(left) > 1:
-            if got := done(int(left["token"].iloc[0]), left):
-                yield pd.DataFrame(got, columns=["token", "a", "b"])
 
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(walk, "token long, a binary, b binary")
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows with their pair of blocks (i <= j) and own block; groups of up to
-    ``GROUP`` rows are one block."""
-    large = stored(rows.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "large-groups")
+def _blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with their pair of blocks (i <= j) and own block; groups (tokens in
+    ``sizes``) of up to ``GROUP`` rows are one block."""
+    large = stored(sizes.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "large-groups")
     rows = rows.join(large, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("c", "token"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -232,19 +249,16 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
 def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
-    spark = docs.sparkSession
-    want = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "rep"), "c"), "wanted")
-    ids = want.select(F.col("rep").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    want = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c"), "wanted")
+    if want.count() <= BROADCAST_IDS:
+        want = F.broadcast(want)
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            own = [shingles(t, k) for t in p["text"]]
-            yield pd.DataFrame({"c": [digest(s) for s in own], "s": [s.tobytes() for s in own]})
+        for p in parts:  # of rows that repeat an id, those with another text are left out
+            own = [(c, s) for c, s in zip(p["c"], (shingles(t, k) for t in p["text"])) if digest(s) == c]
+            yield pd.DataFrame({"c": [c for c, _ in own], "s": [s.tobytes() for _, s in own]})
 
-    whole = docs.join(ids, "doc_id", "left_semi").select("text").mapInPandas(sets, "c binary, s binary")
-    whole = stored(whole.join(want.select("c"), "c", "left_semi").dropDuplicates(["c"]), "whole-sets")
+    whole = stored(docs.join(want, "doc_id").select("c", "text").mapInPandas(sets, "c binary, s binary"), "whole-sets")
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -309,7 +323,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows = stored(rows, "shared")
     full = rows.join(classes.select("c", "first", "sketch"), "c").select("token", "c", "n", "pos", F.slice("first", F.col("pos") + 2, DEPTH).alias("seq"), "sketch")
     full = full.withColumn("comp", F.lit(None).cast("binary"))
-    walked = stored(_groups(_blocked(full), percent, False).distinct(), "pairs")
+    walked = stored(_groups(_blocked(full, rows), percent, False).distinct(), "pairs")
     pairs = walked.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = stored(_checked(docs, classes, pairs, k, percent), "links")
     found = components(linked)
@@ -318,7 +332,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         found = stored(found, "components")
         part = full.drop("comp").join(open_groups, "token", "left_semi").join(found.select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         mixed = part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        more = _groups(_blocked(part.join(mixed, "token", "left_semi")), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _groups(_blocked(part.join(mixed, "token", "left_semi"), rows.join(mixed, "token", "left_semi")), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         found = components(linked.union(_checked(docs, classes, more, k, percent)))
     named = classes.select("c", "rep").join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
