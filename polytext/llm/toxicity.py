@@ -14,9 +14,10 @@ exp(-K n exp(-lambda s)), with lambda from the clean words' score distribution
 and K from clean training texts.  A document's score is a logistic function,
 fitted on training rows, of its segments' surprise.
 
-Counts cover all labelled rows that may be learned from; the model keeps the
-``VOCABULARY`` tokens of largest z-score, and the calibration is fitted on at
-most ``SAMPLE`` rows (smallest hash of the id).  Documents are scored whole,
+Tokens are counted in at most ``COUNTED`` labelled rows that may be learned from
+(those with the smallest hash of the id, so that their ids may be broadcast);
+the model keeps the ``VOCABULARY`` tokens of largest z-score, and the
+calibration is fitted on at most ``SAMPLE`` rows.  Documents are scored whole,
 where they lie, without a shuffle.
 
 Edge cases: a null or empty text, or one without words, has no segment and
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from polytext.llm.common import held_out, labelled_texts, ship, stored
 
-VOCABULARY, SAMPLE, PRIOR, Z, COST, SIGNIFICANT = 20_000, 10_000, 50.0, 4.0, 0.03, 0.01
+VOCABULARY, COUNTED, SAMPLE, PRIOR, Z, COST, SIGNIFICANT = 20_000, 50_000, 10_000, 50.0, 4.0, 0.03, 0.01
 PREFIX = range(8, 2, -1)
 
 #: Bytes: A-Z to a-z, other ASCII but letters to a space.
@@ -152,7 +153,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE, most: int = COUNTED) -> Model:
     ship(docs.sparkSession)
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample
                 has[y].update({"", *(x for w in set(words(t)) for x in tokens(w))})
             yield pd.DataFrame([(w, has[1][w], has[0][w]) for w in has[0].keys() | has[1].keys()], columns=["w", "toxic", "clean"])
 
-    rows = (labelled_texts(docs, labels, "toxic").mapInPandas(counted, "w string, toxic long, clean long")
+    rows = (labelled_texts(docs, labels, "toxic", most).mapInPandas(counted, "w string, toxic long, clean long")
             .groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     rows = stored(rows.where("w = '' or toxic + clean > 1"), "token-counts")
     all_docs = rows.where("w = ''").first()
