@@ -7,6 +7,7 @@ driver tables.  The oracle SQL runs in DuckDB against the same parquet tables
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+CATALOGS = ("catalog_core", "catalog_synth", "catalog_metrics", "catalog_text", "catalog_tuples", "catalog_codes", "catalog_contamination", "catalog_tokens", "catalog_langid", "catalog_io",
+            "catalog_stream", "catalog_more", "catalog_batching", "catalog_scoring")
+
+
 def _load_all() -> None:
     # Importing the catalog modules fills the registry.
-    from polytext.plans import catalog_core  # noqa: F401
-    for mod in ("catalog_synth", "catalog_metrics", "catalog_text", "catalog_tuples", "catalog_codes", "catalog_contamination", "catalog_tokens", "catalog_langid", "catalog_io", "catalog_stream", "catalog_more", "catalog_batching",
-                "catalog_scoring", "catalog_io"):
-        try:
-            __import__(f"polytext.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    for mod in CATALOGS:
+        importlib.import_module(f"polytext.plans.{mod}")
 
 
 def queries() -> dict[str, Builder]:

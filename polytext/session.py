@@ -40,20 +40,27 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting names a shared (distributed) folder and is used
-    as is.  Only when it is unset (local tests) a scratch folder is created.
-    """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: that of ``spark.checkpoint.dir``, else the
+    one the context was given.  Only a local session (tests, bench) that has
+    neither gets a scratch folder; elsewhere that is an error, as executors
+    could not read a folder of the driver's machine."""
+    context = spark.sparkContext
+    cur = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not cur:
-        cur = tempfile.mkdtemp(prefix="polytext-ckpt-")
+        cur = scratch_root(context.master)
         spark.conf.set("spark.checkpoint.dir", cur)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(cur)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(cur)
     return cur
 
 
+def scratch_root(master: str) -> str:
+    """A new folder for a local master; an error for any other."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="polytext-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

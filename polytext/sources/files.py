@@ -95,7 +95,7 @@ def read_sharded_outputs(spark: SparkSession, path: str, expected_rows: int | No
     if expected_rows is not None:
         n = df.count()
         if n != expected_rows:
-            raise ValueError(f"something went wrong with the outputs, {n} != {expected_rows}")
+            raise ValueError(f"{path}: {n} output rows for {expected_rows} inputs")
     return df.orderBy("`hyp-index`")
 
 
