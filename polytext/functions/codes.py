@@ -158,8 +158,10 @@ def madlad_prefix(text, lang) -> Column:
 # ---- DuckDB text of the same builders ----
 
 def _sql_case_map(e: str, d: dict[str, str]) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items())
-    return f"(CASE {e} {whens} ELSE NULL END)"
+    def lst(xs):
+        return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+    return f"list_extract({lst(d.values())}, list_position({lst(d)}, {e}))"
 
 
 def sql_clean_code(e: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polytext.functions.rand import hash_u32, uniform
+from polytext.operators.joins import salted_join
 from polytext.session import ensure_checkpoint_dir
 
 
@@ -245,7 +246,8 @@ def progress_eta(steps: DataFrame, run: str, ts: str, order: list[str], max_step
     idx = dense_index(steps, order, group_by=[run], out="step_idx")
     first = idx.groupBy(run).agg(F.min(ts).alias("_t0"), F.count(F.lit(1)).alias("_n"))
     prev = idx.select(run, (F.col("step_idx") + 1).alias("step_idx"), F.col(ts).alias("_prev"))
-    j = idx.join(first, run).join(prev, [run, "step_idx"], "left")
+    # a run may be a hot key: its one row is joined salted
+    j = salted_join(idx, first, [run], salt_by=F.col("step_idx")).join(prev, [run, "step_idx"], "left")
     # timestamp_diff works for zone-less timestamps too and needs no time zone
     since_start = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col(ts))
     mean = F.when(F.col("step_idx") > 0, since_start / F.col("step_idx"))

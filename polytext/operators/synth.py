@@ -66,27 +66,37 @@ def weighted_draws(df: DataFrame, keep: list[str], seed_col: str, n_draws: Colum
     each row, de-duplicated (at most ``n_draws`` distinct results).  No draws
     when the candidates are empty or all have zero weight (Q10).
 
-    ``seed_col`` is a per-row hash of the row's natural key.  The draw count is
-    split into chunks; chunks of one row go to different tasks.
+    ``seed_col`` is a per-row hash of the row's natural key; a row is drawn for
+    once.  Up to ``chunk`` draws are made within the row, without a shuffle; a
+    larger count is split into chunks that go to different tasks.
     """
     cols = list(dict.fromkeys(keep + [seed_col]))
     total = cdf_total(cdf)
     base = df.select(*cols, cdf.alias("_cdf"), total.alias("_tot"), n_draws.cast("bigint").alias("_k"))
-    base = base.where(F.col("_tot") > 0)
-    chunks = base.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_k") - 1) / chunk).cast("bigint")))
+    base = base.where((F.col("_tot") > 0) & (F.col("_k") > 0))
+
+    def place(i: Column) -> Column:
+        return F.floor(hash_u32(F.col(seed_col), i) * F.col("_tot") / F.lit(4294967296.0)).cast("bigint")
+
+    def candidate(r: Column) -> Column:
+        # the first candidate whose cumulative weight exceeds r: a CASE chain over at most len(HI_RES_WEIGHTS)
+        out_col = F.lit(None).cast("string")
+        for i in reversed(range(1, len(L.HI_RES_WEIGHTS) + 1)):
+            c = F.try_element_at(F.col("_cdf"), F.lit(i))
+            out_col = F.when(c["cum"] > r, c["lang"]).otherwise(out_col)
+        return out_col
+
+    few = base.where(F.col("_k") <= chunk)
+    drawn = F.array_distinct(F.transform(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_k")), place), candidate))
+    in_row = few.select(*keep, F.explode(drawn).alias(out))
+    many = base.where(F.col("_k") > chunk)
+    chunks = many.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_k") - 1) / chunk).cast("bigint")))
                          .alias("_chunk"))
     chunks = chunks.repartition(F.col(seed_col), F.col("_chunk"))
     draws = chunks.select("*", F.explode(F.sequence(
         F.col("_chunk") * chunk + 1, F.least(F.col("_k"), (F.col("_chunk") + 1) * chunk))).alias("_i"))
-    r = F.floor(hash_u32(F.col(seed_col), F.col("_i")) * F.col("_tot") / F.lit(4294967296.0)).cast("bigint")
-    # first candidate whose cumulative weight exceeds r: a CASE chain over the
-    # (at most len(HI_RES_WEIGHTS)) candidates, so the hash is computed once
-    pick = F.lit(None).cast("string")
-    for i in reversed(range(1, len(L.HI_RES_WEIGHTS) + 1)):
-        c = F.try_element_at(F.col("_cdf"), F.lit(i))
-        pick = F.when(c["cum"] > r, c["lang"]).otherwise(pick)
-    picked = draws.select(*keep, pick.alias(out))
-    return picked.distinct()
+    split = draws.select(*keep, candidate(place(F.col("_i"))).alias(out)).distinct()
+    return in_row.unionByName(split)
 
 
 def bt_plan(entries: DataFrame, key: str = "doc_id") -> DataFrame:

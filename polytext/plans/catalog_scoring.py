@@ -27,8 +27,8 @@ _PROMPT_SQL = P.sql_render(P.MT_INFERENCE)
 
 def _scored(spark, sf):
     e = V.entries(spark, sf).select("doc_id", "src_lang", "tgt_lang", P.prompt_mt_inference().alias("prompt"))
-    e = BA.dense_index(e, ["doc_id"], out="hyp_index")
-    return SC.score_batches(e, "prompt")
+    index = BA.dense_index(e.select("doc_id"), ["doc_id"], out="hyp_index")  # ids only: no prompt is sorted or written
+    return SC.score_batches(e.join(index, "doc_id"), "prompt")
 
 
 register("score_batches", V.with_views(f"""
