@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polytext.llm.common import components, ship, stored
+from polytext.llm.common import components, release, ship, stored
 
 BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, BROADCAST_IDS = 1 << 20, 1 << 12, 8, 512, 512, 200_000
 _WORDS: dict[bytes, int] = {}
@@ -338,5 +338,6 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     named = classes.select("c", "rep").join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
     named = stored(named.join(least, "root").select("c", "component_id"), "class-ids")
+    release(spark)
     out = own.select("doc_id", "n", "c").join(named, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

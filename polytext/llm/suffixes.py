@@ -7,7 +7,7 @@ the same one); strings are judged on the input.
 Not all suffixes are sorted, but enough to decide every string: each string
 has an anchor, its ``GRAM``-byte gram with the smallest hash (the leftmost of
 equal ones), which depends on the string alone, so equal strings have equal
-anchors at the same place.  About one position in forty is an anchor.
+anchors at the same place.  About one position in thirty is an anchor.
 
 1. The suffix at each anchor becomes a row: leading bytes with a hash of the
    gram, and a hash of the context, the bytes of all strings of this anchor.
@@ -25,7 +25,7 @@ anchors at the same place.  About one position in forty is an anchor.
 Sorting is Spark's (prefix sort with spilling) in place of a hand-written
 multikey quicksort: the buckets may exceed memory.
 
-Scale: about a fortieth of the positions is shuffled; no key gathers in one
+Scale: about a thirtieth of the positions is shuffled; no key gathers in one
 task, and the driver only sees two strings for each bucket.
 
 Edge cases: a null or empty text has nothing removed; a text below ``WIDTH``
@@ -46,9 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polytext.llm.common import ship, stored
+from polytext.llm.common import release, ship, stored
 
-WIDTH, GRAM, PIECE = 100, 24, 1 << 20
+WIDTH, GRAM, PIECE = 100, 40, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 _ROWS = "g long, ctx long, doc long, tie long, lo long, more int"
@@ -230,6 +230,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     borders = sorted(found.where("part >= 0").collect(), key=lambda r: (r["part"], r["end"]))  # two rows for each bucket
     crossing = [(b["doc"], b["tie"], b["lo"], b["lo"] + WIDTH) for a, b in zip(borders[1::2], borders[2::2]) if (a["g"], a["ctx"]) == (b["g"], b["ctx"])]
     spans = "doc long, tie long, lo long, hi long"
+    release(spark)
     return (seen.where("kind = 0").select("doc", "tie", "lo", "hi")
             .union(found.where("part < 0").select("doc", "tie", "lo", F.col("lo") + WIDTH))
             .union(spark.createDataFrame(crossing, spans)))
