@@ -1,12 +1,9 @@
 """Train/dev contamination: decontaminate pairs (D1), hits per dev sentence
 (D2) and the per-language report (E7).
 
-Joins carry no broadcast hint: the dev side is small in practice, but its size
-is only known at run time, so the choice is left to adaptive execution, which
-turns the join into a broadcast hash join after measuring the shuffle size and
-keeps a sort-merge join otherwise.  A sentence repeated in many documents is a
-hot join key, so the train side is salted (``joins.salted_join``); train
-sentences are aggregated (map-side partial counts) only after the semi-join
+Joins go through ``joins.lookup_join``: the dev side's bytes are measured and
+it is broadcast below a bound.  Beyond it the join is salted, as a sentence
+repeated in many documents is a hot key; train sentences are aggregated (map-side partial counts) only after the semi-join
 to the dev keys.
 """
 
