@@ -8,7 +8,7 @@ sets form a class, which is joined once.
    documents); rare buckets come first, then the hash.
 2. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of
    each (n: set size, t: threshold).  A row for each of these goes to the
-   n-gram's group; n-grams that only one class has are dropped.
+   n-gram's group; rows without a partner of a similar size are dropped.
 3. In a group, each set's further n-grams (``DEPTH`` at most) are put into a
    trie, smaller sets first.  A set is matched by walking the trie: sets below
    a node share the overlap counted so far, and a subtree is left out when the
@@ -303,13 +303,15 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows = classes.select("c", "n", F.posexplode(F.slice("first", F.lit(1), length.cast("int"))).alias("pos", "token"))
 
     def shared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows whose n-gram the row before or after has too.  The first and the
-        last row of a partition stay, as their neighbours aren't seen."""
+        """Rows whose n-gram the row before or after has too, with a size that may
+        link (smaller sets come first, so the neighbours are the nearest in
+        size).  The first and the last row of a partition stay, as their
+        neighbours aren't seen."""
         last = None
         for p in parts:
             p = p if last is None else pd.concat([last, p], ignore_index=True)
-            t = p["token"].to_numpy()
-            same = t[1:] == t[:-1]
+            t, n = p["token"].to_numpy(), p["n"].to_numpy()
+            same = (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:])
             keep = np.append(last is None or bool(last["_keep"].iloc[0]), same) | np.append(same, False)
             p = p.assign(_keep=keep)
             last = p.iloc[-1:]
@@ -319,7 +321,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             yield last[["token", "c", "n", "pos"]]
 
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select("token", "c", "n", "pos").repartitionByRange(parts, "token", "c").sortWithinPartitions("token", "c").mapInPandas(shared, f"token long, {_KEY}, pos int")
+    rows = rows.select("token", "c", "n", "pos").repartitionByRange(parts, "token", "n", "c").sortWithinPartitions("token", "n", "c").mapInPandas(shared, f"token long, {_KEY}, pos int")
     rows = stored(rows, "shared")
     full = rows.join(classes.select("c", "first", "sketch"), "c").select("token", "c", "n", "pos", F.slice("first", F.col("pos") + 2, DEPTH).alias("seq"), "sketch")
     full = full.withColumn("comp", F.lit(None).cast("binary"))
