@@ -118,8 +118,17 @@ FROM (SELECT lang, CAST(sum(n) AS BIGINT) AS chars, count(*) AS segments FROM (
 
 
 # get-pairs path: pairs -> exclusion -> model codes -> script filter (C6 on both sides)
+def _excluded(spark, sf):
+    """The dev texts of every tuple language: the benchmark's items, whole and by
+    sentence (the benchmark has no language, so it is a parallel dev set)."""
+    texts = V.table(spark, sf, "benchmark").select(F.col("text").alias("sentence"))
+    dev = texts.unionByName(V.dev_sentences(spark, sf).select("sentence")).distinct()
+    return dev.select("sentence", F.explode(F.array(*[F.lit(x) for x in V.TUPLE_KEYS])).alias("lang"))
+
+
 def _training_pairs(spark, sf):
-    return TU.training_pairs(_clean_tuples(spark, sf), keep=["tuple_id"], model_type="nllb")
+    return TU.training_pairs(_clean_tuples(spark, sf), keep=["tuple_id"], model_type="nllb",
+                             exclude=_excluded(spark, sf))
 
 
 def _sql_training_pairs() -> str:
