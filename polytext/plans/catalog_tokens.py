@@ -103,13 +103,15 @@ FROM (SELECT doc_id, input_ids, list_position(input_ids, 4) AS p FROM
 
 def _language_tokens(spark, sf):
     docs = V.table(spark, sf, "documents")
-    # one id per language (a table of distinct languages), after the vocabulary
+    # one id per language (a table of distinct languages), after the vocabulary;
+    # a null language is one of them and has the last id
     vocab = _vocab(spark, sf)
     last = vocab.agg(F.max("id")).first()[0]
-    lang_ids = dense_index(docs.select("lang").distinct(), ["lang"], out="_i").select(
+    lang_ids = dense_index(docs.select("lang").distinct(), [F.col("lang").asc_nulls_last()], out="_i").select(
         "lang", (F.col("_i") + last + 1).cast("int").alias("lang_id"))
     # one row per language: broadcast (a dominant language is not a hot shuffle key)
-    t = _tokenised(spark, sf, vocab).join(docs.select("doc_id", "lang"), "doc_id").join(F.broadcast(lang_ids), "lang")
+    t = _tokenised(spark, sf, vocab).join(docs.select("doc_id", "lang"), "doc_id").join(
+        F.broadcast(lang_ids.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")))
     return t.select("doc_id", F.array_join(TK.set_language_token("input_ids", F.col("lang_id")).cast("array<string>"),
                                            " ").alias("input_ids"))
 
