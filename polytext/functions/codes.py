@@ -47,6 +47,29 @@ szl_Latn tam_Taml tat_Cyrl tel_Telu tgk_Cyrl tgl_Latn tha_Thai tir_Ethi taq_Latn
 tso_Latn tuk_Latn tum_Latn tur_Latn twi_Latn tzm_Tfng uig_Arab ukr_Cyrl umb_Latn urd_Arab uzn_Latn vec_Latn
 vie_Latn war_Latn wol_Latn xho_Latn ydd_Hebr yor_Latn yue_Hant zho_Hans zho_Hant zul_Latn
 """.split()
+# All MADLAD target tags without their '<2' and '>', in the published order; the
+# tag of the empty code is '-' here.
+MADLAD_CODES = [f"<2{c.strip('-')}>" for c in """
+meo lo Grek ada ps arn Armn to raj bas ny - zza Thai kaa_Latn yap en_xx_simple ta bg_Latn mkn lhu gu_Latn nzi uz
+pis cfm min fon tn msi sw Tfng teo taj pap sd Jpan tca sr an fr gor az qvi pck cak ltg sah tly_IR ts yo hne bzj
+tuc sh da gui translate et sja nhe scn dje pt nog fil mai lb bm Guru gom hr kg uk rw izz Telu wuu Deva or is om
+iso sn kjh tbz suz bjn lv mfe tcy tyz ksw nds_NL ms mam ubu hil mh gl bew ilo kbd toj quf jam Beng tyv lmo ace
+cab sq ug kac ay mag Arab mrj cs bci doi zu ndc_ZW smt ho ss he twu kjg pag Latn gym sus zh_Latn mps lg ko se
+guc mr mwl dwr din ffm maz nia nl Knda jv noa udm kr de ar ZW dln mn ml crh ha ks qvc fur myv nv ak Gujr cce nso
+sg rmc mas mni frp my xal th bik bho inb Mlym oj back_translated tet gsw ff hy otq el agr br alt tzo chm
+transliterate hu btx vi iba bg gub li ace_Arab qub ktu bru bbc ca hvn sat_Latn ku shn djk krc io ig chk sm Mymr
+Kore ary lu fa spp af ti Tibt emp enq kl be srn ms_Arab_BN kri gd mk syr kmz_Latn CA ium abt ngu tab it ru ann
+msm fo ne akb kv jac ceb ang tdx tr kbp mgh az_RU acf tg dov pau mg fuv nn Hant hui ml_Latn ja lus te qu rom tsg
+el_Latn cr_Latn ur fi shp brx laj sda lij st bn zxx_xx_dtynoise yua no fr_CA miq trp es ch mass os bts ady lrc
+seh adh new mak grc nus tzj nut gu oc ppk Hans tzh si wo nyu Hebr mad tll kr_Arab pon mbt kw bjn_Arab gn eu dz
+kaa crh_Latn te_Latn ky kn_Latn kum fip ksd sk NL ctd_Latn Khmr gbm Cans haw gag Taml cnh bim ms_Arab Thaa kha
+tvl Cyrl chr dtp ba nan_Latn_TW ro ctu Ethi zh ln ve xh skr ber niq ibb jvn tks av ahk tk tt ka tsc km co id prs
+rki kmb ks_Deva ify wal arz amu rm pa RU ce hi eo taq ga qxr la bi rwo dyu zh_Hant mt bqc bn_Latn zne szl lt sl
+hif alz ber_Latn ckb wa Cher msb gom_Latn ru_Latn crs kk gvl qvz bar qup bgp bo su tzm IR sv srm rn bus jiv awa
+gv knj as quc en sa bug quy hi_Latn nds kek mrw kos cy ta_Latn kn nr ape bs iu nnb Geor rcf meu cac cuk bua vec
+so fj gof koi cv guh war pl cbk kj dv mdf fy am sc taq_Tfng mi zap mqy yi kwi hmn tiv sxn hus ban nij tlh Orya
+quh ee ht bum stq
+""".split()]
 # Overrides and the extra Uralic languages by script.
 NLLB_OVERRIDES = [("lav", "lvs_Latn"), ("nor", "nob_Latn"), ("yid", "ydd_Hebr")]
 EXTRA_LATN = "fkv izh krl liv lud olo sje sju sma sme smj smn sms vep vot vro".split()
