@@ -7,8 +7,9 @@ one's docs.  All but the last return the columns of ``documents``:
 
 1. ``quality``: documents with a score below 0.3 go;
 2. ``near_duplicates``: of documents linked by 5-word shingles (similarity of
-   0.8 or more) the one with the smallest id stays; documents without words
-   stay;
+   0.8 or more) the one with the smallest id stays (of several texts with that
+   id, the one with the smallest digest); rows of one id with other texts are
+   judged by their own links; documents without words stay;
 3. ``decontamination``: documents in which a benchmark window occurs go;
 4. ``personal_data``: spans are replaced by their kind, ``n_chars`` follows;
 5. ``tokens``: ids of each text and the digest of the text they decode to.
@@ -35,11 +36,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard.link(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept
+    rows = stored(jaccard.link(docs, k=5, percent=80, by_text=True).where("n_shingles > 0 and doc_id is not null").withColumn("text_key", F.struct("class", "text_hash")), "linked")
+    gone = rows.where("component_id <> doc_id").select("doc_id", "text_hash")
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:  # several texts of a component's smallest id: the smallest digest stays
+        least = rows.where("component_id = doc_id")
+        tied = least.groupBy("root").agg(F.min("text_key").alias("_first"), F.max("text_key").alias("_last")).where("_first <> _last")
+        gone = gone.union(least.join(tied, "root").where("text_key <> _first").select("doc_id", "text_hash"))
+    kept = docs.join(gone.distinct().withColumnRenamed("text_hash", "_text"), ["doc_id", "_text"], "left_anti").select(docs.columns)
+    if repeated:
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]))
+    return kept.drop("_text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

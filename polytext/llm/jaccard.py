@@ -274,12 +274,16 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     return with_b.select("a", "b", "sa", "sb").mapInPandas(check, "a binary, b binary")
 
 
-def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of
-    every row of ``docs`` (doc_id, text)."""
+    every row of ``docs`` (doc_id, text).  ``by_text`` adds, where ids may repeat,
+    the hash of the row's text, the digest of its class (rows of equal n-grams)
+    and of its component's first class: text_hash, class, root."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")) if by_text else docs
+    extra = [x for x in texts.columns if x == "text_hash"]
     counts = spark.sparkContext.broadcast(bucket_counts(docs, k))
 
     def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,9 +298,9 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
                     order = np.flatnonzero(rank <= rank[order].max())
                 order = order[np.lexsort((s[order], rank[order]))][:keep]
                 c.append(digest(s)), n.append(len(s)), first.append(_signed(s[order])), bits.append(sketch(s))
-            yield pd.DataFrame({"doc_id": p["doc_id"], "c": c, "n": n, "first": first, "sketch": bits})
+            yield pd.DataFrame({"doc_id": p["doc_id"], "c": c, "n": n, "first": first, "sketch": bits} | {x: p[x] for x in extra})
 
-    own = stored(docs.mapInPandas(measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_KEY}, first array<long>, sketch binary"), "sets")
+    own = stored(texts.mapInPandas(measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_KEY}, first array<long>, sketch binary" + "".join(f", {x} long" for x in extra)), "sets")
     classes = stored(own.where("n > 0 and doc_id is not null").groupBy("c").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "classes")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
@@ -339,7 +343,8 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         found = components(linked.union(_checked(docs, classes, more, k, percent)))
     named = classes.select("c", "rep").join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
-    named = stored(named.join(least, "root").select("c", "component_id"), "class-ids")
+    named = stored(named.join(least, "root").select("c", "component_id", *["root"] * by_text), "class-ids")
     release(spark)
-    out = own.select("doc_id", "n", "c").join(named, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = own.select("doc_id", "n", "c", *extra).join(named, "c", "left")
+    more = [*extra, F.col("c").alias("class"), "root"] if by_text else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *more)
