@@ -12,7 +12,8 @@ one's docs.  All but the last return the columns of ``documents``:
    judged by their own links; documents without words stay;
 3. ``decontamination``: documents in which a benchmark window occurs go;
 4. ``personal_data``: spans are replaced by their kind, ``n_chars`` follows;
-5. ``tokens``: ids of each text and the digest of the text they decode to.
+5. ``tokens``: ids of each text, the digest of the text they decode to and that
+   of their byte spans.
 
 Nulls: a null text counts as empty and stays null up to the last stage; rows
 with a null doc_id are never linked.  Rows that repeat an id and its text are
@@ -62,7 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = docs.withColumn("_coded", pieces.ids_and_text(F.col("text"), tokenizer()))
     return coded.select("doc_id", "lang", "source", F.size("_coded.ids").cast("long").alias("n_tokens"), F.col("_coded.ids").alias("ids"),
-                        F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"))
+                        F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("_coded.spans_sha256").alias("spans_sha256"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]

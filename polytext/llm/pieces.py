@@ -121,17 +121,18 @@ class Pieces:
         text = text or ""
         norm, at = self.normalise(text)
         if at is None:  # plain alignment: the mark put before the text takes none of it
-            at = [*[0] * self.prefix, *accumulate((len(c.encode("utf-8")) for c in text), initial=0)]
+            at = [*[0] * self.prefix, *(range(len(text) + 1) if text.isascii() else accumulate((len(c.encode("utf-8")) for c in text), initial=0))]
         out, done = [], 0
         unknown = self.processor.unk_id()
-        ids, pieces = self.cutter.encode(norm), self.cutter.encode(norm, out_type=str)
-        for i, said in zip(ids, pieces):
+        ids = self.cutter.encode(norm)
+        said = self.cutter.encode(norm, out_type=str) if unknown in ids else []  # only these have the length of an unknown piece
+        for k, i in enumerate(ids):
             if i in self.byte:
                 if self.byte[i] & 0xC0 != 0x80:  # the first byte of a character
                     done += 1
                 out.append((i, at[done - 1], at[done]))
             else:
-                n = len(said if i == unknown else self.piece[i])
+                n = len(said[k] if i == unknown else self.piece[i])
                 out.append((i, at[done], at[done + n]))
                 done += n
         return out
@@ -162,30 +163,46 @@ def encode(text: Column, path: str) -> Column:
     return run(text)
 
 
+def _sha(s: str) -> str:
+    return hashlib.sha256(s.encode("utf-8")).hexdigest()
+
+
+def spans_digest(spans: list[tuple[int, int, int]]) -> str:
+    """Of the byte spans, written '0-3,3-7'."""
+    return _sha(",".join([f"{s}-{e}" for _, s, e in spans]))
+
+
 def ids_and_text(text: Column, path: str) -> Column:
-    """struct<ids, decoded>: ids of a text, and the text they decode to."""
+    """struct<ids, decoded, spans_sha256>: ids of a text, the text they decode
+    to, and the digest of their byte spans."""
 
-    @F.pandas_udf("ids array<int>, decoded string")
+    @F.pandas_udf("ids array<int>, decoded string, spans_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         p = pieces(path)
-        ids = p.ids(texts)
-        return pd.DataFrame({"ids": ids, "decoded": [p.decode(x) for x in ids]})
+        out = []
+        for t in texts:
+            spans = p.spans(t)
+            ids = [x[0] for x in spans]
+            out.append((ids, p.decode(ids), spans_digest(spans)))
+        return pd.DataFrame(out, columns=["ids", "decoded", "spans_sha256"])
 
     return run(text)
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; the
-    digests are taken in the task, so no ids leave it."""
+def digest(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and with
+    ``spans`` spans_sha256; the digests are taken in the task, so no ids leave it."""
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *["spans_sha256"] * spans]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(", ".join(f"{c} {'long' if c == 'n_tokens' else 'string'}" for c in columns))
     def run(texts: pd.Series) -> pd.DataFrame:
         p = pieces(path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         out = []
         for t in texts:
-            ids = p.ids([t])[0]
-            out.append((len(ids), sha(",".join([p.decimal[i] for i in ids])), sha(p.decode(ids))))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            found = p.spans(t)
+            ids = [x[0] for x in found]
+            row = (len(ids), _sha(",".join([p.decimal[i] for i in ids])), _sha(p.decode(ids)))
+            out.append((*row, spans_digest(found)) if spans else row)
+        return pd.DataFrame(out, columns=columns)
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")

@@ -61,7 +61,7 @@ def op5_url_filter(spark, sf_dir):
 
 @_query()
 def op6_sentencepiece(spark, sf_dir):
-    return pieces.digest(read(spark, sf_dir, "documents"), tokenizer())
+    return pieces.digest(read(spark, sf_dir, "documents"), tokenizer(), spans=True)
 
 
 @_query()
