@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polytext.llm import decontam, jaccard, pieces, pii, quality, sharding, suffixes, topk, toxicity, urls
+from polytext.llm import decontam, infill, jaccard, pieces, pii, quality, sharding, suffixes, topk, toxicity, urls
 from polytext.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op9_decontamination(spark, sf_dir):
 @_query(topk.SQL)
 def op10_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@_query(infill.SQL)
+def op13_infill(spark, sf_dir):
+    return infill.digest(infill.infill(read(spark, sf_dir, "documents")))
