@@ -45,9 +45,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polytext.llm.common import ship, stored
-from polytext.operators.joins import lookup_join, salted_join
+from polytext.operators.joins import lookup_join
 
-DEPTH, BUDGET, BLOCK = 3, 1 << 22, 1 << 22
+DEPTH, BUDGET, BLOCK, LOOKUP = 3, 1 << 22, 1 << 22, 8 << 20
 #: Suffixes of a chunk (words counted together in a task), and of one block sent.
 CHUNK, SENT = 1 << 22, 1 << 14
 _BITS = 21
@@ -108,8 +108,10 @@ def hashed(words: list[bytes], seed: int) -> np.ndarray:
 def suffixes(own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct truncated suffixes (codes of ``DEPTH`` words, 0 behind the end
     of the piece) of a text in codes below ``size``, and how often each occurs."""
+    own = np.append(own, np.zeros(DEPTH - 1, own.dtype))
+    at = [own[d:len(own) - DEPTH + 1 + d] for d in range(DEPTH)]
     if size < 1 << _BITS:
-        at = [own.astype(np.int64), *(np.append(own[d:], np.zeros(d, own.dtype)).astype(np.int64) for d in range(1, DEPTH))]
+        at = [x.astype(np.int64) for x in at]
         for d in range(1, DEPTH):
             at[d] *= at[d - 1] != _END
         key = at[0]
@@ -117,8 +119,7 @@ def suffixes(own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
             key = key << _BITS | x
         key, n = np.unique(key[at[0] != _END], return_counts=True)
         return np.stack([key >> _BITS * (DEPTH - 1 - d) & (1 << _BITS) - 1 for d in range(DEPTH)], axis=1), n
-    at = [own, *(np.append(own[d:], np.zeros(d, own.dtype)) for d in range(1, DEPTH))]  # a single text with more words than a key can hold
-    for d in range(1, DEPTH):
+    for d in range(1, DEPTH):  # a single text with more words than a key can hold
         at[d] = at[d] * (at[d - 1] != _END)
     return np.unique(np.stack(at, axis=1)[at[0] != _END], axis=0, return_counts=True)
 
@@ -247,11 +248,14 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, bud
     pairs = found.where("h3 = 0").select("lang", "h1", "h2", "a")
     triples = found.where("h3 <> 0")
 
+    def near(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+        return lookup_join(df, small, on, salt_by=F.struct("h1", "h2"), max_broadcast_bytes=LOOKUP)
+
     def said(df: DataFrame, d: int) -> DataFrame:
-        return lookup_join(df, words.select("lang", F.col("h").alias(f"h{d}"), F.col("word").alias(f"w{d}"), F.col("f").alias(f"f{d}")), ["lang", f"h{d}"])
+        return near(df, words.select("lang", F.col("h").alias(f"h{d}"), F.col("word").alias(f"w{d}"), F.col("f").alias(f"f{d}")), ["lang", f"h{d}"])
 
     def known(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
-        return lookup_join(df, pairs.select("lang", F.col("h1").alias(x), F.col("h2").alias(y), F.col("a").alias(name)), ["lang", x, y])
+        return near(df, pairs.select("lang", F.col("h1").alias(x), F.col("h2").alias(y), F.col("a").alias(name)), ["lang", x, y])
 
     inside = triples.select("lang", "h1", "h2", "a").union(triples.select("lang", "h2", "h3", "a")).groupBy("lang", "h1", "h2").agg(F.max("a").alias("longer"))
     two = pairs.join(inside, ["lang", "h1", "h2"], "left").where(F.expr(f"longer is null or 100 * longer < {cover} * a"))
@@ -268,7 +272,7 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, bud
         both = both.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= top).drop("_r")
         both = both.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     sizes = vocab.groupBy("lang").agg(F.sum("f").alias("n"))
-    out = lookup_join(both, sizes, ["lang"])
+    out = lookup_join(both, sizes, ["lang"], salt_by=F.col("phrase"))
     return out.select("lang", *["rank"] * (top is not None), "phrase", "a", "l", "r", "n", "score")
 
 
