@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polytext.llm import decontam, infill, jaccard, phrases, pieces, pii, quality, sharding, suffixes, topk, toxicity, urls
+from polytext.llm import decontam, infill, jaccard, minhash, phrases, pieces, pii, quality, sharding, suffixes, topk, toxicity, urls
 from polytext.llm.common import read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_phrases(spark, sf_dir):
     return phrases.mine(read(spark, sf_dir, "documents"))
 
 
+@_query()
+def op12_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @_query(infill.SQL)
 def op13_infill(spark, sf_dir):
     return infill.digest(infill.infill(read(spark, sf_dir, "documents")))
