@@ -4,9 +4,10 @@ Tokens are words and their prefixes of ``PREFIX`` letters (marked ``*``), so
 that inflected and joined forms share evidence.  Each token has the log-odds
 of toxic against clean documents, with an informative Dirichlet prior (the
 token's share of all labelled documents).  A word scores as its longest token
-in the model, or 0.  A constant cost for each word makes the mean
-score negative, so a passage pays only where toxic words are dense.  One scan
-(Ruzzo and Tompa) finds all maximal-scoring segments of a text.
+in the model, or 0.  A cost for each word, the mean score of clean words plus
+``MARGIN``, makes the mean score of clean text negative, so a passage pays only
+where toxic words are dense, and lambda (below) is positive.  One scan (Ruzzo
+and Tompa) finds all maximal-scoring segments of a text.
 
 The score of a segment is set against chance: in clean text of n words the
 best segment's excess follows an extreme-value law, P(S >= s) = 1 -
@@ -14,10 +15,12 @@ exp(-K n exp(-lambda s)), with lambda from the clean words' score distribution
 and K from clean training texts.  A document's score is a logistic function,
 fitted on training rows, of its segments' surprise.
 
-Tokens are counted in at most ``COUNTED`` labelled rows that may be learned from
-(those with the smallest hash of the id, so that their ids may be broadcast);
-the model keeps the ``VOCABULARY`` tokens of largest z-score, and the
-calibration is fitted on at most ``SAMPLE`` rows.  Documents are scored whole,
+Copies are no further evidence: of labelled rows (at most ``COUNTED`` that may be
+learned from, those with the smallest hash of the id, so that their ids may be
+broadcast) that share a label and one of two MinHash values of their 3-word
+n-grams only one is learned from.  The model keeps the ``VOCABULARY`` tokens of
+largest z-score among those with log-odds of ``LEAST`` or more, and the
+calibration is fitted on at most ``SAMPLE`` of the rows.  Documents are scored whole,
 where they lie, without a shuffle.
 
 Edge cases: a null or empty text, or one without words, has no segment and
@@ -37,9 +40,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polytext.llm.common import held_out, labelled_texts, ship, stored
+from polytext.llm.common import held_out, known_labels, ship, stored
+from polytext.llm.jaccard import shingles
 
-VOCABULARY, COUNTED, SAMPLE, PRIOR, Z, COST, SIGNIFICANT = 20_000, 50_000, 10_000, 50.0, 4.0, 0.03, 0.01
+VOCABULARY, COUNTED, SAMPLE, PRIOR, Z, LEAST, MARGIN, SIGNIFICANT = 20_000, 50_000, 10_000, 50.0, 4.0, 0.7, 0.03, 0.01
 PREFIX = range(8, 2, -1)
 
 #: Bytes: A-Z to a-z, other ASCII but letters to a space.
@@ -87,6 +91,7 @@ def segments(scores: list[tuple[int, float]], cost: float) -> list[tuple[int, in
 class Model:
     odds: dict[str, float]
     prior: float = 0.0
+    cost: float = MARGIN
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
@@ -106,7 +111,7 @@ class Model:
     def found(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, and the maximal segments of a text."""
         n, known = self.scored(text)
-        return n, segments(known, COST)
+        return n, segments(known, self.cost)
 
     def chance(self, n: int, s: float) -> float:
         """Probability that clean text of n words holds a segment of score s."""
@@ -153,6 +158,22 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def apart(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, y of labelled rows without copies: rows of a label that share the
+    least n-gram under one of two orders are represented by one of them."""
+
+    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            least = [(int(s.min()), int((s * np.uint64(0xD6E8FEB86659FD93)).min())) if len(s) else (0, 0) for s in (shingles(t, 3) for t in p["text"])]
+            yield pd.DataFrame({"doc_id": p["doc_id"], "y": p["y"], "k1": [a >> 1 for a, _ in least], "k2": [b >> 1 for _, b in least]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(known_labels(labels, "toxic", most), "doc_id").mapInPandas(keyed, f"doc_id {kind}, y int, k1 long, k2 long")
+    for k in ("k1", "k2"):
+        rows = rows.groupBy("y", k).agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "k2")).alias("r")).select("y", "r.doc_id", "r.k2")
+    return stored(rows.select("doc_id", "y").distinct(), "labelled-apart")
+
+
 def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample: int = SAMPLE, most: int = COUNTED) -> Model:
     ship(docs.sparkSession)
 
@@ -163,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample
                 has[y].update({"", *(x for w in set(words(t)) for x in tokens(w))})
             yield pd.DataFrame([(w, has[1][w], has[0][w]) for w in has[0].keys() | has[1].keys()], columns=["w", "toxic", "clean"])
 
-    rows = (labelled_texts(docs, labels, "toxic", most).mapInPandas(counted, "w string, toxic long, clean long")
+    ids = apart(docs, labels, most)
+    known = lambda n: docs.select("doc_id", "text").join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)), "doc_id")  # noqa: E731  at most ``most`` ids
+    rows = (known(most).mapInPandas(counted, "w string, toxic long, clean long")
             .groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     rows = stored(rows.where("w = '' or toxic + clean > 1"), "token-counts")
     all_docs = rows.where("w = ''").first()
@@ -174,22 +197,27 @@ def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, sample
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
     model = (rows.where((F.col("w") != "") & (y1 < n1 + PRIOR) & (y0 < n0 + PRIOR)).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / y1 + 1 / y0))
-             .where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "w").limit(vocabulary).collect())
+             .where((F.abs("z") >= Z) & (F.abs("odds") >= LEAST)).orderBy(F.desc(F.abs("z")), "w").limit(vocabulary).collect())
     m = Model({r["w"]: r["odds"] for r in model})
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             got = [m.scored(t) for t in p["text"]]
             yield pd.DataFrame({"doc_id": p["doc_id"].astype(str), "y": p["y"], "n": [n for n, _ in got], "w": [[s for _, s in known] for _, known in got],
-                                "s": [[float(s) for _, _, s in segments(known, COST)] for _, known in got]})
+                                "p": [[i for i, _ in known] for _, known in got]})
 
-    seen = labelled_texts(docs, labels, "toxic", sample).mapInPandas(best, "doc_id string, y int, n long, w array<double>, s array<double>").collect()  # at most ``sample`` ids
+    seen = known(sample).mapInPandas(best, "doc_id string, y int, n long, w array<double>, p array<int>").collect()  # at most ``sample`` ids
     seen = sorted(seen, key=lambda r: (r["doc_id"], r["n"]))
     clean = [r for r in seen if not r["y"]]
-    known, total = Counter(s for r in clean for s in r["w"]), max(1, sum(r["n"] for r in clean))
-    m.lam = lambda_of(np.array([0.0, *known]) - COST, np.array([total - known.total(), *known.values()]) / total)
-    m.k = len(clean) / max(1e-12, sum(max(r["n"], 1) * np.exp(-m.lam * max(r["s"], default=0.0)) for r in clean)) if clean else 1.0
-    m.slope, m.bias = logistic(np.array([m.evidence(r["n"], [(0, 0, s) for s in r["s"]]) for r in seen]), np.array([r["y"] for r in seen], dtype=float)) if seen else (0.0, 0.0)
+    scored, total = Counter(s for r in clean for s in r["w"]), max(1, sum(r["n"] for r in clean))
+    if not clean or not any(s > 0 for s in m.odds.values()):
+        return Model({}, prior=n1 / (n1 + n0))
+    m.cost = max(0.0, sum(s * n for s, n in scored.items()) / total) + MARGIN
+    m.lam = lambda_of(np.array([0.0, *scored]) - m.cost, np.array([total - scored.total(), *scored.values()]) / total)
+    found = [segments(list(zip(r["p"], r["w"])), m.cost) for r in seen]
+    best_of = lambda f: max((s for _, _, s in f), default=0.0)
+    m.k = len(clean) / max(1e-12, sum(max(r["n"], 1) * np.exp(-m.lam * best_of(f)) for r, f in zip(seen, found) if not r["y"]))
+    m.slope, m.bias = logistic(np.array([m.evidence(r["n"], f) for r, f in zip(seen, found)]), np.array([r["y"] for r in seen], dtype=float))
     return m
 
 

@@ -2,3 +2,4 @@ from __future__ import annotations
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
+SF1 = "/root/testdata/sf0.1"

@@ -4,7 +4,10 @@ import random
 
 import numpy as np
 
-from llm_data import SF01
+import pytest
+from pyspark.sql import functions as F
+
+from llm_data import SF01, SF1
 from polytext.llm import toxicity as T
 from polytext.llm.common import read
 
@@ -54,6 +57,22 @@ def test_held_out_accuracy_and_rows(spark):
     assert sum(pairs) / len(pairs) > 0.8
 
 
+@pytest.mark.parametrize("copies", [1, 5, 25])
+def test_copies_and_near_copies_are_no_evidence(spark, copies):
+    docs, labels = read(spark, SF1, "documents"), read(spark, SF1, "labels")
+    docs = docs.join(labels.select("doc_id", "toxic", "quality"), "doc_id")
+    some = docs.where("doc_id % 5 = 0 or toxic = 1")  # every second copy is a near one
+    more = some.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(copies - 1)))) if copies > 1 else some.limit(0).withColumn("k", F.lit(0))
+    more = more.withColumn("text", F.when(F.col("k") % 2 == 0, F.concat("text", F.lit(" extra "), F.col("k").cast("string"))).otherwise(F.col("text")))
+    every = docs.unionByName(more.withColumn("doc_id", F.col("doc_id") + F.col("k") * 10**7).drop("k")).cache()
+    model = T.fit(every.select("doc_id", "text"), every.select("doc_id", "toxic", "quality"))
+    assert model.lam > 0.5 and 20 < len(model.odds) < 500
+    rows = T.classify(docs, model).join(labels, "doc_id").where("held_out").select("score", "toxic").collect()
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == y] for y in (1, 0))
+    assert np.mean([s >= 0.5 for s in toxic]) > 0.9 and np.mean([s >= 0.5 for s in clean]) < 0.03
+    every.unpersist()
+
+
 def test_odd_rows_and_no_labels(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 15)] + [(None, 1, 1), (2, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     got = T.classify(odd_docs, T.fit(odd_docs, labels)).collect()
