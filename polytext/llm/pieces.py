@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Ids of a frame sent on.
+FRAME = 1 << 18
 
 
 class CharMap:
@@ -79,6 +82,8 @@ class Pieces:
         self.map, self.prefix, self.squeeze = CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.piece = [p.piece for p in proto.pieces]
         self.decimal = [str(i) for i in range(len(self.piece))]
+        self.takes = np.array([len(p.piece) if p.type != 6 else int(int(p.piece[1:-1], 16) & 0xC0 != 0x80) for p in proto.pieces], np.int64)  # characters; of byte pieces, those that start one
+        self.is_byte = np.array([p.type == 6 for p in proto.pieces])
         self.byte = {i: int(p.piece[1:-1], 16) for i, p in enumerate(proto.pieces) if p.type == 6}
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.cutter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
@@ -115,27 +120,33 @@ class Pieces:
         """Ids of each text; None counts as empty."""
         return self.cutter.encode([self.normalise(t or "")[0] for t in texts], num_threads=1)
 
-    def spans(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(id, first byte, end byte) of each piece in the UTF-8 form of ``text``.
-        Byte pieces of a character all get the character's span."""
+    def coded(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids of the pieces, and the first and end byte of each in the UTF-8 form
+        of ``text``.  Byte pieces of a character all get the character's span."""
         text = text or ""
         norm, at = self.normalise(text)
-        if at is None:  # plain alignment: the mark put before the text takes none of it
-            at = [*[0] * self.prefix, *(range(len(text) + 1) if text.isascii() else accumulate((len(c.encode("utf-8")) for c in text), initial=0))]
-        out, done = [], 0
-        unknown = self.processor.unk_id()
         ids = self.cutter.encode(norm)
-        said = self.cutter.encode(norm, out_type=str) if unknown in ids else []  # only these have the length of an unknown piece
-        for k, i in enumerate(ids):
-            if i in self.byte:
-                if self.byte[i] & 0xC0 != 0x80:  # the first byte of a character
-                    done += 1
-                out.append((i, at[done - 1], at[done]))
+        own = np.array(ids, np.int32)
+        takes = self.takes[own]
+        unknown = own == self.processor.unk_id()
+        if unknown.any():  # only these need the piece itself for its length
+            said = self.cutter.encode(norm, out_type=str)
+            takes[unknown] = [len(said[k]) for k in np.flatnonzero(unknown)]
+        if at is None:  # plain alignment: the mark put before the text takes none of it
+            if text.isascii():
+                at = np.arange(len(text) + 1)
             else:
-                n = len(said[k] if i == unknown else self.piece[i])
-                out.append((i, at[done], at[done + n]))
-                done += n
-        return out
+                data = np.frombuffer(text.encode("utf-8"), np.uint8)
+                at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            at = np.concatenate([np.zeros(int(self.prefix), np.int64), at])
+        at = np.asarray(at, np.int64)
+        done = np.cumsum(takes, dtype=np.int64)
+        return ids, at[done - np.where(self.is_byte[own], 1, takes)], at[done]
+
+    def spans(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(id, first byte, end byte) of each piece."""
+        ids, first, end = self.coded(text)
+        return list(zip(ids, first.tolist(), end.tolist()))
 
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids) if ids else ""
@@ -167,9 +178,9 @@ def _sha(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8")).hexdigest()
 
 
-def spans_digest(spans: list[tuple[int, int, int]]) -> str:
+def spans_digest(first: np.ndarray, end: np.ndarray) -> str:
     """Of the byte spans, written '0-3,3-7'."""
-    return _sha(",".join([f"{s}-{e}" for _, s, e in spans]))
+    return _sha(",".join(map("%d-%d".__mod__, zip(first.tolist(), end.tolist()))))
 
 
 def ids_and_text(text: Column, path: str) -> Column:
@@ -181,14 +192,38 @@ def ids_and_text(text: Column, path: str) -> Column:
         p = pieces(path)
         out = []
         for t in texts:
-            spans = p.spans(t)
-            ids = [x[0] for x in spans]
-            out.append((ids, p.decode(ids), spans_digest(spans)))
+            ids, first, end = p.coded(t)
+            out.append((np.array(ids, np.int32), p.decode(ids), spans_digest(first, end)))
         return pd.DataFrame(out, columns=["ids", "decoded", "spans_sha256"])
 
     return run(text)
 
 
+def encoded(docs: DataFrame, path: str, keep: list[str], most: int = FRAME) -> DataFrame:
+    """The columns ``keep`` of every document, n_tokens, ids, decoded_sha256 (of
+    the text that the ids decode to) and spans_sha256.  Frames are sent on after
+    ``most`` ids, so what a task holds doesn't grow with the texts of a batch."""
+    kept = [(f"_{i}", c) for i, c in enumerate(keep)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pieces(path)
+        for part in parts:
+            first, size, rows = 0, 0, []
+            for i, t in enumerate(part["_text"], 1):
+                ids, start, end = p.coded(t)
+                rows.append((len(ids), np.array(ids, np.int32), _sha(p.decode(ids)), spans_digest(start, end)))
+                size += len(ids)
+                if size >= most or i == len(part):
+                    out = pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded_sha256", "spans_sha256"], index=part.index[first:i])
+                    yield pd.concat([part[[x for x, _ in kept]].iloc[first:i], out], axis=1)
+                    first, size, rows = i, 0, []
+
+    rows = docs.select(*(F.col(c).alias(x) for x, c in kept), F.col("text").alias("_text"))
+    kinds = "".join(f"{x} {docs.schema[c].dataType.simpleString()}, " for x, c in kept)
+    out = rows.mapInPandas(run, f"{kinds}n_tokens long, ids array<int>, decoded_sha256 string, spans_sha256 string")
+    return out.select(*(F.col(x).alias(c) for x, c in kept), "n_tokens", "ids", "decoded_sha256", "spans_sha256")
+
+
 def digest(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, and with
     ``spans`` spans_sha256; the digests are taken in the task, so no ids leave it."""
@@ -199,10 +234,9 @@ def digest(docs: DataFrame, path: str, spans: bool = False) -> DataFrame:
         p = pieces(path)
         out = []
         for t in texts:
-            found = p.spans(t)
-            ids = [x[0] for x in found]
+            ids, first, end = p.coded(t)
             row = (len(ids), _sha(",".join([p.decimal[i] for i in ids])), _sha(p.decode(ids)))
-            out.append((*row, spans_digest(found)) if spans else row)
+            out.append((*row, spans_digest(first, end)) if spans else row)
         return pd.DataFrame(out, columns=columns)
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
