@@ -15,7 +15,8 @@ Scale: rows stay where they are; a task evaluates its rows in blocks of
 ``ROWS`` and returns k rows a query, and the k best of all tasks are taken by
 a window with a group limit before its shuffle.  Queries are dealt in blocks
 of at most ``block`` queries (a stated query set against all rows, in blocks):
-only one block is at the driver and in a broadcast at a time.  Pivots are far
+only one block is at the driver and in a broadcast at a time; its results are
+written before the next one.  Pivots are far
 points chosen from a bounded sample (``PIVOT_SAMPLE`` rows, by hash); they
 affect speed only.
 
@@ -90,7 +91,7 @@ def search_block(ids: np.ndarray, v: np.ndarray, d: np.ndarray, top: float, quer
             part = order[at:at + step]
             part = part[ids[part] != qid]
             got_s, got_i = np.concatenate([got_s, scores(v[part], q)]), np.concatenate([got_i, ids[part]])
-            best = np.lexsort((got_i, -got_s.astype(np.float64), -(got_s // 2)))[:k] if len(got_s) else []
+            best = np.lexsort((got_i, ~got_s))[:k] if len(got_s) else []  # ~s: descending and without overflow
             got_s, got_i = got_s[best], got_i[best]
             at += step
         for s, i in zip(got_s.tolist(), got_i.tolist()):
@@ -103,7 +104,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8192) ->
     spark = vectors.sparkSession
     ship(spark)
     rows = whole(vectors).distinct()
-    found = None
+    found, best = None, Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for size in [r[0] for r in rows.select(F.size("v")).distinct().collect()]:  # one length, in a sound table
         own = rows.where(F.size("v") == size)
         sq = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
@@ -137,10 +138,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 8192) ->
                         yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
             near = table.select("vec_id", "v", "d").mapInPandas(search, FOUND)
+            near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            if blocks > 1:
+                near = stored(near, "found")
+                shared.destroy()
             found = near if found is None else found.union(near)
     if found is None:
         found = spark.createDataFrame([], FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

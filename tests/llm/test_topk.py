@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from polytext.llm import topk as K
 
 
@@ -32,3 +34,18 @@ def test_large_numbers_and_few_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, K.top_k(df).collect()))[0][2] == 1
     assert K.top_k(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [8192, 1])
+def test_choice_among_scores_above_53_bits(spark, block):
+    rows = [(0, [2.0**12, 1 / 256])] + [(i, [2.0**27, float(c) / 256]) for i, c in ((1, 0), (2, 1), (3, 0), (4, 1), (5, 1))] + [(50, [2.0**12, 0.0])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(K.top_k(df, k=2, block=block).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = {}
+    ints = {i: [int(x * 256) for x in v] for i, v in rows}
+    for q in (0, 50):
+        every = sorted(((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q))[:2]
+        want[q] = [(i, -s) for s, i in every]
+    assert got == want and want[0][0] == (2, 2**55 + 1) and want[0][1][0] == 4
