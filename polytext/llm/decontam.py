@@ -8,9 +8,11 @@ occurrence of a window is hit.  Hits are mapped back to code-point spans of
 the original text.
 
 Scale: documents are only scanned (no shuffle).  The item table is measured
-first; beyond ``block_bytes`` it is split into blocks by a hash of the text,
-each block has its own automaton and its own scan, and the hits of a document
-are merged by (id, hash of text).  So an automaton never grows beyond a block.
+first: its windows have at most ``width`` times its bytes, and an automaton at
+most one node (32 bytes) for each byte of a window.  Beyond ``block_bytes`` of
+windows the table is split into blocks by a hash of the text, each block has its
+own automaton and its own scan, and the hits of a document are merged by (id,
+hash of text).  So an automaton never grows beyond about 32 * ``block_bytes``.
 
 Edge cases: a null or empty text, or one without words, has no words and no
 hits; null or wordless items have no window; an item with a null id marks
@@ -21,6 +23,7 @@ equal rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -91,9 +94,10 @@ _BUILT: dict = {}
 
 
 def _scanner(shared, width: int):
+    key = uuid.uuid4().hex  # names the item table: a worker may live on to scan with another one
+
     @F.pandas_udf(HITS)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
         if key not in _BUILT:  # one automaton at a time in a worker
             _BUILT.clear()
             _BUILT[key] = automaton(shared.value, width)
@@ -123,23 +127,23 @@ def _scanners(bench: DataFrame, width: int, block_bytes: int) -> list:
     """A scan for each block of the item table: one, unless it is large."""
     items = bench.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = max(1, -(-size * width // block_bytes))
     out = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        shared = bench.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block_bytes
+        shared = bench.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])  # at most about block_bytes / width
         out.append(_scanner(shared, width))
     return out
 
 
-def clean(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 12 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window occurs."""
     for scan in _scanners(bench, width, block_bytes):
         docs = docs.where(F.size(scan("text")["runs"]) == 0)
     return docs
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, block_bytes: int = 12 << 20) -> DataFrame:
     """``docs`` (doc_id, text) against ``bench`` (item_id, text): doc_id, text,
     n_words, n_hit, items (ids found, sorted as strings), spans of hit words."""
     docs = docs.select("doc_id", "text")

@@ -27,7 +27,7 @@ def test_rows_in_one_and_in_several_blocks(spark):
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x", 0), (None, TEXTS[1], "x", 0)], "doc_id long, text string, items string, n_words int")
     bench = spark.createDataFrame([(*r, 1) for r in BENCH], "item_id string, text string, doc_id int")
     want = sorted(((r["doc_id"], *brute(r["text"], BENCH)) for r in docs.collect()), key=str)
-    for size in (1 << 20, 20):
+    for size in (1 << 20, 200):
         got = D.decontaminate(docs, bench, block_bytes=size)
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.collect()), key=str) == want
         for r in got.where("n_hit > 0").collect():
@@ -41,3 +41,11 @@ def test_empty_tables(spark, odd_docs, no_docs):
     rows = D.digest(D.decontaminate(odd_docs, none)).collect()
     assert len(rows) == odd_docs.count() and not any(r["contaminated"] for r in rows)
     assert D.decontaminate(no_docs, none).collect() == []
+
+
+def test_two_item_tables_in_one_worker(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").coalesce(1)
+    for part in (BENCH[:1], BENCH[1:], BENCH[:1]):
+        bench = spark.createDataFrame(part, "item_id string, text string")
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in D.decontaminate(docs, bench).collect())
+        assert got == sorted((i, *brute(t, part)) for i, t in enumerate(TEXTS))
