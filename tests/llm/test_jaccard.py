@@ -71,6 +71,16 @@ def test_a_common_passage_links_nothing(spark):
     check(spark, rows, 3, 90)
 
 
+def test_many_repeats_of_ids(spark, monkeypatch):
+    rows = near_copies(5, 2, 3, 120, 4)
+    rows = [(i % 2, t) for i, t in rows] * 40
+    seen = []
+    check_pairs = J._checked
+    monkeypatch.setattr(J, "_checked", lambda *a: seen.append(check_pairs(*a)) or seen[-1])
+    check(spark, rows, 3, 90)
+    assert all(df.count() <= 30 for df in seen)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted(map(tuple, J.link(odd_docs).collect()), key=str)
     assert got == brute([(r[0], r[1]) for r in odd_docs.collect()], 3, 90)
