@@ -11,7 +11,9 @@ form a class, which is compared once.
    (1 - t^WIDTH)^BANDS, 1.3e-7 at t = 0.8; below it, see 3.
 3. Verification: signatures are compared ``BATCH`` slots at a time.  With a
    uniform prior of the similarity, a pair is pruned as soon as the posterior
-   probability that it reaches the threshold falls below ``MISS``.
+   probability that it reaches the threshold falls below ``MISS``; then by a
+   parity sketch (``CELLS`` bits), whose Hamming distance is a lower bound of the
+   symmetric difference and so prunes no pair that links.
 4. Every survivor is checked exactly on whole sets.
 
 Which survivors are checked first: each class with the class of a similar size
@@ -49,7 +51,7 @@ from polytext.llm.common import components, release, ship, stored
 from polytext.llm.jaccard import digest, shingles
 from polytext.operators.joins import lookup_join
 
-BANDS, WIDTH, BATCH, MISS = 40, 5, 40, 1e-6
+BANDS, WIDTH, BATCH, MISS, CELLS = 40, 5, 40, 1e-5, 1024
 GROUP, HEAD, NEAREST, ROUNDS, LOOKUP = 8192, 256, 3, 2, 8 << 20
 _RNG = np.random.default_rng(12)
 _MUL = (_RNG.integers(0, 1 << 31, (BANDS * WIDTH, 1), np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -80,6 +82,17 @@ def short(v: np.ndarray) -> np.ndarray:
     return ((v * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes in each cell."""
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint8) & 1)
+
+
+def reachable(x: np.ndarray, y: np.ndarray, n, m, percent: int) -> np.ndarray:
+    """Which pairs of sets (rows of parities, sizes n and m) may still link."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (n + m - apart) // 2 >= -(-percent * (n + m) // (100 + percent))
+
+
 def bounds(percent: int, miss: float = MISS) -> list[tuple[int, int]]:
     """(slots compared, least matches to go on) after each batch: the least with
     a posterior probability of ``miss`` or more that the similarity reaches the
@@ -111,12 +124,12 @@ def survivors(sig: np.ndarray, own: np.ndarray, at: np.ndarray, limits: list[tup
     return at, matches
 
 
-def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray | None, percent: int, limits: list[tuple[int, int]], most: int | None) -> list[tuple[int, int]]:
+def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, bits: np.ndarray, side: np.ndarray | None, percent: int, limits: list[tuple[int, int]], most: int | None) -> list[tuple[int, int]]:
     """Pairs (i, j) of a band's classes in different components that survive;
     with ``most`` only the best of each i.  The largest component's classes are
     met from the others' side."""
     order = np.argsort(n, kind="stable")
-    n, comp, sig = n[order], comp[order], np.ascontiguousarray(sig[order].T)
+    n, comp, sig, bits = n[order], comp[order], np.ascontiguousarray(sig[order].T), bits[order]
     side = None if side is None else side[order]
     ids, count = np.unique(comp, return_counts=True)
     main = comp == ids[count.argmax()] if count.max() > 1 else np.zeros(len(n), bool)
@@ -128,6 +141,8 @@ def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray |
         if side is not None:
             keep &= side[at] != side[i]
         at, matches = survivors(sig, sig[:, i], at[keep], limits)
+        keep = reachable(bits[at], bits[i], n[at], n[i], percent)
+        at, matches = at[keep], matches[keep]
         if most is not None and len(at) > most:
             at = at[np.argsort(-matches, kind="stable")[:most]]
         out += [(int(order[i]), int(order[j])) for j in at]
@@ -174,10 +189,11 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     matches += (x[:, done:n] == y[:, done:n]).sum(axis=1)
                     ok &= matches >= least
                     done = n
+                ok &= reachable(x[:, done:], y[:, done:], p["n"].to_numpy(), p["m"].to_numpy(), percent)
                 yield p.loc[ok, ["a", "b"]]
 
-    sig = lambda c, s: classes.select(F.col("c").alias(c), F.col("sig").alias(s))
-    return pairs.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
+    sig = lambda c, s, n: classes.select(F.col("c").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
+    return pairs.join(sig("a", "x", "n"), "a").join(sig("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a binary, b binary")
 
 
 def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +240,7 @@ def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int
             side = p["own"].to_numpy() if p["i"].iloc[0] != p["j"].iloc[0] else None
             sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(len(p), -1)
             c = p["c"].tolist()
-            return [(c[x], c[y]) for x, y in nearest(p["n"].to_numpy(), p["comp"].to_numpy(), sig, side, percent, limits, most)]
+            return [(c[x], c[y]) for x, y in nearest(p["n"].to_numpy(), p["comp"].to_numpy(), sig[:, :BANDS * WIDTH], sig[:, BANDS * WIDTH:], side, percent, limits, most)]
 
         left: list[pd.DataFrame] = []
         for p in chain(parts, [None]):  # a band's block may span several frames
@@ -263,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
             for text in p["text"]:
                 s = shingles(text, k)
                 v = slots(s)
-                c.append(digest(s)), n.append(len(s)), key.append(bands(v).view(np.int64)), sig.append(short(v).tobytes())
+                c.append(digest(s)), n.append(len(s)), key.append(bands(v).view(np.int64)), sig.append(short(v).tobytes() + parity(s).tobytes())
             yield pd.DataFrame({"doc_id": p["doc_id"], "t": p["t"], "c": c, "n": n, "keys": key, "sig": sig})
 
     own = stored(docs.mapInPandas(measured, f"doc_id {kind}, t long, c binary, n long, keys array<long>, sig binary"), "signatures")

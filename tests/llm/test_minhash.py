@@ -74,3 +74,13 @@ def test_survivors_are_what_the_bounds_say():
     want = [j for j in range(300) if all(same[:n, j].sum() >= least for n, least in limits)]
     at, matches = M.survivors(sig, base, np.arange(300), limits)
     assert at.tolist() == want and matches.tolist() == same[:, want].sum(axis=0).tolist()
+
+
+def test_parity_never_prunes_a_pair_that_links():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 400)), dtype=np.uint64)
+        x, y = (np.unique(np.where(r.random(len(base)) < 0.93, base, r.integers(0, 1 << 63, len(base), dtype=np.uint64))) for _ in "ab")
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            assert M.reachable(M.parity(x)[None], M.parity(y)[None], np.array([len(x)]), np.array([len(y)]), 80).all()
