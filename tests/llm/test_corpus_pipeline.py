@@ -64,3 +64,11 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs):
         for name, f in P.STAGES[1:]:
             docs = f(spark, docs, SF001)
         assert docs.count() <= 18
+
+
+def test_very_long_texts_pass_quality_and_tokens(spark):
+    rows = [(i, "Long texts, é and plain words. " * 40_000, "en", "x", 1) for i in range(6)] + [(7, None, None, None, None), (8, "", "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.quality(spark, docs, SF001).columns == docs.columns
+    got = {r["doc_id"]: r["n_tokens"] for r in P.tokens(spark, docs, SF001).select("doc_id", "n_tokens").collect()}
+    assert len(got) == 8 and got[7] == got[8] == 0 and min(got[i] for i in range(6)) > 200_000
