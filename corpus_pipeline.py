@@ -61,9 +61,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = docs.withColumn("_coded", pieces.ids_and_text(F.col("text"), tokenizer()))
-    return coded.select("doc_id", "lang", "source", F.size("_coded.ids").cast("long").alias("n_tokens"), F.col("_coded.ids").alias("ids"),
-                        F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("_coded.spans_sha256").alias("spans_sha256"))
+    return pieces.encoded(docs, tokenizer(), ["doc_id", "lang", "source"])
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
