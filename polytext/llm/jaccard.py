@@ -53,7 +53,7 @@ _KEY = "c binary, n long"
 
 
 def _word(w: bytes) -> int:
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 100_000:
         _WORDS.clear()
     got = _WORDS[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
     return got
