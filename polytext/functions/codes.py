@@ -12,7 +12,7 @@ they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -47,29 +47,40 @@ szl_Latn tam_Taml tat_Cyrl tel_Telu tgk_Cyrl tgl_Latn tha_Thai tir_Ethi taq_Latn
 tso_Latn tuk_Latn tum_Latn tur_Latn twi_Latn tzm_Tfng uig_Arab ukr_Cyrl umb_Latn urd_Arab uzn_Latn vec_Latn
 vie_Latn war_Latn wol_Latn xho_Latn ydd_Hebr yor_Latn yue_Hant zho_Hans zho_Hant zul_Latn
 """.split()
-# All MADLAD target tags without their '<2' and '>', in the published order; the
-# tag of the empty code is '-' here.
-MADLAD_CODES = [f"<2{c.strip('-')}>" for c in """
-meo lo Grek ada ps arn Armn to raj bas ny - zza Thai kaa_Latn yap en_xx_simple ta bg_Latn mkn lhu gu_Latn nzi uz
-pis cfm min fon tn msi sw Tfng teo taj pap sd Jpan tca sr an fr gor az qvi pck cak ltg sah tly_IR ts yo hne bzj
-tuc sh da gui translate et sja nhe scn dje pt nog fil mai lb bm Guru gom hr kg uk rw izz Telu wuu Deva or is om
-iso sn kjh tbz suz bjn lv mfe tcy tyz ksw nds_NL ms mam ubu hil mh gl bew ilo kbd toj quf jam Beng tyv lmo ace
-cab sq ug kac ay mag Arab mrj cs bci doi zu ndc_ZW smt ho ss he twu kjg pag Latn gym sus zh_Latn mps lg ko se
-guc mr mwl dwr din ffm maz nia nl Knda jv noa udm kr de ar ZW dln mn ml crh ha ks qvc fur myv nv ak Gujr cce nso
-sg rmc mas mni frp my xal th bik bho inb Mlym oj back_translated tet gsw ff hy otq el agr br alt tzo chm
-transliterate hu btx vi iba bg gub li ace_Arab qub ktu bru bbc ca hvn sat_Latn ku shn djk krc io ig chk sm Mymr
-Kore ary lu fa spp af ti Tibt emp enq kl be srn ms_Arab_BN kri gd mk syr kmz_Latn CA ium abt ngu tab it ru ann
-msm fo ne akb kv jac ceb ang tdx tr kbp mgh az_RU acf tg dov pau mg fuv nn Hant hui ml_Latn ja lus te qu rom tsg
-el_Latn cr_Latn ur fi shp brx laj sda lij st bn zxx_xx_dtynoise yua no fr_CA miq trp es ch mass os bts ady lrc
-seh adh new mak grc nus tzj nut gu oc ppk Hans tzh si wo nyu Hebr mad tll kr_Arab pon mbt kw bjn_Arab gn eu dz
-kaa crh_Latn te_Latn ky kn_Latn kum fip ksd sk NL ctd_Latn Khmr gbm Cans haw gag Taml cnh bim ms_Arab Thaa kha
-tvl Cyrl chr dtp ba nan_Latn_TW ro ctu Ethi zh ln ve xh skr ber niq ibb jvn tks av ahk tk tt ka tsc km co id prs
-rki kmb ks_Deva ify wal arz amu rm pa RU ce hi eo taq ga qxr la bi rwo dyu zh_Hant mt bqc bn_Latn zne szl lt sl
-hif alz ber_Latn ckb wa Cher msb gom_Latn ru_Latn crs kk gvl qvz bar qup bgp bo su tzm IR sv srm rn bus jiv awa
-gv knj as quc en sa bug quy hi_Latn nds kek mrw kos cy ta_Latn kn nr ape bs iu nnb Geor rcf meu cac cuk bua vec
-so fj gof koi cv guh war pl cbk kj dv mdf fy am sc taq_Tfng mi zap mqy yi kwi hmn tiv sxn hus ban nij tlh Orya
-quh ee ht bum stq
-""".split()]
+# All MADLAD target tags, in the published order (fixed values).
+MADLAD_CODES = """
+<2meo> <2lo> <2Grek> <2ada> <2ps> <2arn> <2Armn> <2to> <2raj> <2bas> <2ny> <2> <2zza> <2Thai> <2kaa_Latn> <2yap>
+<2en_xx_simple> <2ta> <2bg_Latn> <2mkn> <2lhu> <2gu_Latn> <2nzi> <2uz> <2pis> <2cfm> <2min> <2fon> <2tn> <2msi> <2sw>
+<2Tfng> <2teo> <2taj> <2pap> <2sd> <2Jpan> <2tca> <2sr> <2an> <2fr> <2gor> <2az> <2qvi> <2pck> <2cak> <2ltg> <2sah>
+<2tly_IR> <2ts> <2yo> <2hne> <2bzj> <2tuc> <2sh> <2da> <2gui> <2translate> <2et> <2sja> <2nhe> <2scn> <2dje> <2pt>
+<2nog> <2fil> <2mai> <2lb> <2bm> <2Guru> <2gom> <2hr> <2kg> <2uk> <2rw> <2izz> <2Telu> <2wuu> <2Deva> <2or> <2is>
+<2om> <2iso> <2sn> <2kjh> <2tbz> <2suz> <2bjn> <2lv> <2mfe> <2tcy> <2tyz> <2ksw> <2nds_NL> <2ms> <2mam> <2ubu> <2hil>
+<2mh> <2gl> <2bew> <2ilo> <2kbd> <2toj> <2quf> <2jam> <2Beng> <2tyv> <2lmo> <2ace> <2cab> <2sq> <2ug> <2kac> <2ay>
+<2mag> <2Arab> <2mrj> <2cs> <2bci> <2doi> <2zu> <2ndc_ZW> <2smt> <2ho> <2ss> <2he> <2twu> <2kjg> <2pag> <2Latn> <2gym>
+<2sus> <2zh_Latn> <2mps> <2lg> <2ko> <2se> <2guc> <2mr> <2mwl> <2dwr> <2din> <2ffm> <2maz> <2nia> <2nl> <2Knda> <2jv>
+<2noa> <2udm> <2kr> <2de> <2ar> <2ZW> <2dln> <2mn> <2ml> <2crh> <2ha> <2ks> <2qvc> <2fur> <2myv> <2nv> <2ak> <2Gujr>
+<2cce> <2nso> <2sg> <2rmc> <2mas> <2mni> <2frp> <2my> <2xal> <2th> <2bik> <2bho> <2inb> <2Mlym> <2oj>
+<2back_translated> <2tet> <2gsw> <2ff> <2hy> <2otq> <2el> <2agr> <2br> <2alt> <2tzo> <2chm> <2transliterate> <2hu>
+<2btx> <2vi> <2iba> <2bg> <2gub> <2li> <2ace_Arab> <2qub> <2ktu> <2bru> <2bbc> <2ca> <2hvn> <2sat_Latn> <2ku> <2shn>
+<2djk> <2krc> <2io> <2ig> <2chk> <2sm> <2Mymr> <2Kore> <2ary> <2lu> <2fa> <2spp> <2af> <2ti> <2Tibt> <2emp> <2enq>
+<2kl> <2be> <2srn> <2ms_Arab_BN> <2kri> <2gd> <2mk> <2syr> <2kmz_Latn> <2CA> <2ium> <2abt> <2ngu> <2tab> <2it> <2ru>
+<2ann> <2msm> <2fo> <2ne> <2akb> <2kv> <2jac> <2ceb> <2ang> <2tdx> <2tr> <2kbp> <2mgh> <2az_RU> <2acf> <2tg> <2dov>
+<2pau> <2mg> <2fuv> <2nn> <2Hant> <2hui> <2ml_Latn> <2ja> <2lus> <2te> <2qu> <2rom> <2tsg> <2el_Latn> <2cr_Latn> <2ur>
+<2fi> <2shp> <2brx> <2laj> <2sda> <2lij> <2st> <2bn> <2zxx_xx_dtynoise> <2yua> <2no> <2fr_CA> <2miq> <2trp> <2es>
+<2ch> <2mass> <2os> <2bts> <2ady> <2lrc> <2seh> <2adh> <2new> <2mak> <2grc> <2nus> <2tzj> <2nut> <2gu> <2oc> <2ppk>
+<2Hans> <2tzh> <2si> <2wo> <2nyu> <2Hebr> <2mad> <2tll> <2kr_Arab> <2pon> <2mbt> <2kw> <2bjn_Arab> <2gn> <2eu> <2dz>
+<2kaa> <2crh_Latn> <2te_Latn> <2ky> <2kn_Latn> <2kum> <2fip> <2ksd> <2sk> <2NL> <2ctd_Latn> <2Khmr> <2gbm> <2Cans>
+<2haw> <2gag> <2Taml> <2cnh> <2bim> <2ms_Arab> <2Thaa> <2kha> <2tvl> <2Cyrl> <2chr> <2dtp> <2ba> <2nan_Latn_TW> <2ro>
+<2ctu> <2Ethi> <2zh> <2ln> <2ve> <2xh> <2skr> <2ber> <2niq> <2ibb> <2jvn> <2tks> <2av> <2ahk> <2tk> <2tt> <2ka> <2tsc>
+<2km> <2co> <2id> <2prs> <2rki> <2kmb> <2ks_Deva> <2ify> <2wal> <2arz> <2amu> <2rm> <2pa> <2RU> <2ce> <2hi> <2eo>
+<2taq> <2ga> <2qxr> <2la> <2bi> <2rwo> <2dyu> <2zh_Hant> <2mt> <2bqc> <2bn_Latn> <2zne> <2szl> <2lt> <2sl> <2hif>
+<2alz> <2ber_Latn> <2ckb> <2wa> <2Cher> <2msb> <2gom_Latn> <2ru_Latn> <2crs> <2kk> <2gvl> <2qvz> <2bar> <2qup> <2bgp>
+<2bo> <2su> <2tzm> <2IR> <2sv> <2srm> <2rn> <2bus> <2jiv> <2awa> <2gv> <2knj> <2as> <2quc> <2en> <2sa> <2bug> <2quy>
+<2hi_Latn> <2nds> <2kek> <2mrw> <2kos> <2cy> <2ta_Latn> <2kn> <2nr> <2ape> <2bs> <2iu> <2nnb> <2Geor> <2rcf> <2meu>
+<2cac> <2cuk> <2bua> <2vec> <2so> <2fj> <2gof> <2koi> <2cv> <2guh> <2war> <2pl> <2cbk> <2kj> <2dv> <2mdf> <2fy> <2am>
+<2sc> <2taq_Tfng> <2mi> <2zap> <2mqy> <2yi> <2kwi> <2hmn> <2tiv> <2sxn> <2hus> <2ban> <2nij> <2tlh> <2Orya> <2quh>
+<2ee> <2ht> <2bum> <2stq>
+""".split()
 # Overrides and the extra Uralic languages by script.
 NLLB_OVERRIDES = [("lav", "lvs_Latn"), ("nor", "nob_Latn"), ("yid", "ydd_Hebr")]
 EXTRA_LATN = "fkv izh krl liv lud olo sje sju sma sme smj smn sms vep vot vro".split()
@@ -216,3 +227,14 @@ def sql_resource_class(e: str) -> str:
 
     return (f"(CASE WHEN {b} IN {lst(CLASS_0)} THEN '0' WHEN {b} IN {lst(CLASS_1)} THEN '1' "
             f"WHEN {b} IN {lst(CLASS_2PLUS)} THEN '2+' ELSE '?' END)")
+
+
+def list_coverage(codes: DataFrame) -> DataFrame:
+    """(direction, good, fail, err) of the codes of each source (``src``,
+    ``raw_code``), converted to both models' codes: converted codes that the
+    target's published list holds, and those it lacks.  Conversions never raise."""
+    targets = (("nllb", to_nllb, NLLB_CODES), ("madlad", to_madlad, MADLAD_CODES))
+    rows = codes.select("src", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("tgt"), conv("raw_code").isin(known).alias("ok")) for t, conv, known in targets])))
+    return rows.groupBy(F.concat_ws("_to_", "src", "tgt").alias("direction")).agg(
+        F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("fail"), F.lit(0).cast("bigint").alias("err"))

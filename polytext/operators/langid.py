@@ -42,8 +42,9 @@ def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Returns (model: lang, gram, delta) and (per_lang: lang, unseen_lp)."""
-    grams = _grams(labelled, [lang], text)
+    """Returns (model: lang, gram, delta) and (per_lang: lang, unseen_lp).  Rows
+    without a label teach nothing."""
+    grams = _grams(labelled.where(F.col(lang).isNotNull()), [lang], text)
     # the trained counts are materialised once (checkpoint in the shared
     # folder): the vocabulary size, the language totals and the model all
     # read them, and the lineage back to the corpus is cut

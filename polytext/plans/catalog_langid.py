@@ -34,7 +34,8 @@ det AS (SELECT te.key, coalesce(arg_min(sc.lang, (-sc.score, sc.lang)), 'none')
   FROM te LEFT JOIN sc USING (key) GROUP BY te.key)"""
 
 
-_TRAIN = "(SELECT lang, text FROM documents WHERE doc_id % 2 = 0)"
+_TRAIN = "(SELECT lang, text FROM documents WHERE lang IS NOT NULL)"
+_TRAIN_EVEN = "(SELECT lang, text FROM documents WHERE lang IS NOT NULL AND doc_id % 2 = 0)"
 _TEST = "(SELECT doc_id AS key, text FROM documents)"
 
 
@@ -56,7 +57,7 @@ register("detect_language", V.with_views("SELECT key AS doc_id, detected FROM de
 
 register("langid_confusion", V.with_views("""
 SELECT d.doc_id % 2 = 1 AS held_out, d.lang, det.detected, count(*) AS n
-FROM det JOIN documents d ON d.doc_id = det.key GROUP BY ALL""", ctes=sql_nb(_TRAIN, _TEST)))(
+FROM det JOIN documents d ON d.doc_id = det.key GROUP BY ALL""", ctes=sql_nb(_TRAIN_EVEN, _TEST)))(
     lambda spark, sf: LI.accuracy(_detected(spark, sf, hold_out=True), V.table(spark, sf, "documents").select(
         "doc_id", "lang", (F.col("doc_id") % 2 == 1).alias("held_out")), "doc_id", by=["held_out"]))
 

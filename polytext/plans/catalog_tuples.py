@@ -149,8 +149,11 @@ SELECT tuple_id, sl AS src_lang, tl AS tgt_lang, input, output FROM (
     length(regexp_replace(tt, '[^a-z]', '', 'g')) AS ol, length(regexp_replace(tt, '[^а-я]', '', 'g')) AS oc
   FROM (SELECT tuple_id, input, output, {CD.sql_to_nllb('src_lang')} AS sl, {CD.sql_to_nllb('tgt_lang')} AS tl,
           lower(regexp_replace(input, '{Q.DIALECT_TAG}', '')) AS ti,
-          lower(regexp_replace(output, '{Q.DIALECT_TAG}', '')) AS tt FROM pairs))
+          lower(regexp_replace(output, '{Q.DIALECT_TAG}', '')) AS tt
+        FROM pairs WHERE regexp_replace(input, '{Q.DIALECT_TAG}', '') NOT IN (SELECT sentence FROM dev)
+          AND output NOT IN (SELECT sentence FROM dev)))
 WHERE NOT {fishy('il', 'ic', 'sl')} AND NOT {fishy('ol', 'oc', 'tl')}"""
 
 
-register("training_pairs", V.with_views(_sql_training_pairs(), "v_tuple_items", ctes=_PAIRS))(_training_pairs)
+register("training_pairs", V.with_views(_sql_training_pairs(), "v_tuple_items", "v_dev", ctes=_PAIRS + """,
+dev AS (SELECT text AS sentence FROM benchmark WHERE text IS NOT NULL UNION SELECT sentence FROM v_dev)"""))(_training_pairs)
