@@ -127,14 +127,15 @@ FROM ordered o JOIN (SELECT doc_id, regexp_extract_all(lower(text), '[^\\s]+') A
   USING (doc_id) GROUP BY 1""", "v_batches", ctes=_PAD_SQL))(_token_batches)
 
 
-# Byte-pair merges learned from the document corpus (iterative; no SQL
-# oracle -- tested against a brute-force learner on a small fixture)
-BPE_MERGES = 20
+# Byte-pair merges that fill the vocabulary of a model family, learned from
+# the document corpus (iterative; no SQL oracle -- tested against a brute-force
+# learner)
+VOCABULARY = 2000
 
 
 def _bpe(spark, sf):
-    from polytext.operators.subword import learn_bpe
-    return learn_bpe(V.table(spark, sf, "documents"), "text", BPE_MERGES)
+    from polytext.operators.subword import learn_bpe, vocab_budget
+    return learn_bpe(V.table(spark, sf, "documents"), "text", vocab_budget("nllb", VOCABULARY))
 
 
 register("learn_subword_vocab")(_bpe)

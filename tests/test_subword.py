@@ -4,40 +4,68 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+from conftest import SF001
+
 from polytext.operators.subword import END_OF_WORD, learn_bpe, vocab_budget
+from polytext.plans import registry
 
 
-def _brute(texts, n, min_count=2):
+def _brute(texts, budget, min_count=2, share=0.25, per_round=256):
+    """Every round counts all pairs of all words anew."""
     words = Counter(w for t in texts for w in t.lower().split())
     seqs = {w: list(w) + [END_OF_WORD] for w in words}
-    out = []
-    for r in range(n):
+    known, out, step = {x for s in seqs.values() for x in s}, [], 0
+    while len(known) < budget:
         pc = Counter()
         for w, s in seqs.items():
-            for a, b in zip(s, s[1:]):
-                pc[(a, b)] += words[w]
-        if not pc:
-            break
-        (a, b), c = min(pc.items(), key=lambda kv: (-kv[1], kv[0]))
-        if c < min_count:
+            for pair in zip(s, s[1:]):
+                pc[pair] += words[w]
+        order = sorted(((a, b, c) for (a, b), c in pc.items() if c >= min_count), key=lambda x: (-x[2], x[0].encode(), x[1].encode()))[:per_round]
+        taken, used = [], set()
+        for a, b, c in order:
+            if c >= share * order[0][2] and not used & {a, b} and len(known) + len(taken) < budget:
+                taken.append((a, b, c))
+                used |= {a, b}
+        if not taken:
             break
-        out.append((r, a, b, c))
-        for w, s in seqs.items():
-            new = []
-            for x in s:
-                if new and new[-1] == a and x == b:
-                    new[-1] = a + b
-                else:
-                    new.append(x)
-            seqs[w] = new
+        for a, b, c in taken:
+            out.append((len(out), step, a, b, c))
+            for w, s in seqs.items():
+                new = []
+                for x in s:
+                    if new and new[-1] == a and x == b:
+                        new[-1] = a + b
+                    else:
+                        new.append(x)
+                seqs[w] = new
+        known |= {a + b for a, b, _ in taken}
+        step += 1
     return out
 
 
-def test_bpe_matches_brute_force(spark):
-    texts = ["aaa aa banana bandana", "an anna banana", "aaaa a b ab ab ab"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = [tuple(r) for r in learn_bpe(df, "text", 12, checkpoint_every=3).orderBy("rank").collect()]
-    assert got == _brute(texts, 12)
+TEXTS = ["aaa aa banana bandana", "an anna banana", "aaaa a b ab ab ab", "x.*x (x) x\\\\Ex $1 é漢😀 é漢 é漢😀 [a] [a]"]
+
+
+@pytest.mark.parametrize("share,per_round", [(0.25, 256), (1.0, 1), (0.0, 3)])
+def test_bpe_matches_brute_force(spark, share, per_round):
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, None, ""]], "text string")
+    for budget in (5, 40, 1000):
+        got = [tuple(r) for r in learn_bpe(df, "text", budget, share=share, per_round=per_round).orderBy("rank").collect()]
+        assert got == _brute(TEXTS, budget, share=share, per_round=per_round)
+
+
+def test_one_merge_a_round_is_the_greedy_learner():
+    """With one pair a round the rule is plain byte-pair encoding."""
+    out = _brute(TEXTS, 30, per_round=1)
+    assert [r[0] for r in out] == [r[1] for r in out]
+
+
+def test_registered_query_fills_the_vocabulary(spark):
+    got = sorted(tuple(r) for r in registry.queries()["learn_subword_vocab"](spark, SF001).collect())
+    texts = [r[0] for r in spark.read.parquet(f"{SF001}/documents.parquet").select("text").collect()]
+    assert got == _brute(texts, 1998)
+    assert len(got) > 1500 and got[-1][1] < len(got) / 8
 
 
 def test_vocab_budget():
