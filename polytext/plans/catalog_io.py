@@ -34,6 +34,18 @@ register("scan_json_entries", V.with_views(
     "SELECT doc_id, task, src_segm, tgt_segm, src_lang, tgt_lang FROM v_entries", "v_entries"))(_json_entries)
 
 
+# A3, the array form: each task writes one JSON array, read back by splits
+def _json_array(spark, sf):
+    from polytext.sources.json_arrays import write_json_arrays
+    path = _tmp(spark, "entry-arrays")
+    write_json_arrays(V.entries(spark, sf).select("doc_id", "task", "src_segm", "tgt_segm", "src_lang", "tgt_lang"), path)
+    return FS.read_json_entries(spark, path, "doc_id bigint, " + FS.ENTRY_SCHEMA, array=True)
+
+
+register("scan_json_array", V.with_views(
+    "SELECT doc_id, task, src_segm, tgt_segm, src_lang, tgt_lang FROM v_entries", "v_entries"))(_json_array)
+
+
 # A2 + A11 (raw sink): one hypothesis per line, read back as lines
 def _lines(spark, sf):
     path = _tmp(spark, "hyp-lines")

@@ -35,10 +35,19 @@ def _categories(spark, sf):
                 F.transform("_s", lambda x: x["pos"]).alias("_pos"))
 
 
+def _category_files(spark, sf):
+    from polytext.plans.catalog_io import _tmp
+    from polytext.sources import files as FS
+    from polytext.sources.json_arrays import write_json_arrays
+    path = _tmp(spark, "categories")
+    write_json_arrays(_categories(spark, sf).drop("_pos"), path)
+    return FS.read_categories(spark, path)
+
+
 register("scan_categories", V.with_views(
     "SELECT 'cat' || CAST(tuple_id // 100 AS VARCHAR) AS source, tuple_id % 100 AS pos, key, value FROM clean",
     "v_tuple_items", ctes=_CLEAN))(
-    lambda spark, sf: TU.scan_categories(_categories(spark, sf).drop("_pos"))
+    lambda spark, sf: TU.scan_categories(_category_files(spark, sf))
     .select("source", F.col("pos").cast("bigint").alias("pos"), F.explode("m").alias("key", "value")))
 
 _PAIRS = _CLEAN + """,

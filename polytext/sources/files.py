@@ -62,11 +62,18 @@ def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
     return dense_index(tagged, ["_lfile", "_lmid"], out=out).drop("_lfile", "_lmid")
 
 
-def read_json_entries(spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA, multi_line: bool = False
-                      ) -> DataFrame:
-    """A3: JSON entries with an explicit schema.  A top-level JSON array needs
-    ``multi_line=True`` (not splittable: ingest it once into Parquet)."""
-    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+def read_json_entries(spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA, array: bool = False) -> DataFrame:
+    """A3: JSON entries with an explicit schema, one a line, or (``array``) the
+    elements of files that hold one top-level array each."""
+    if array:
+        from polytext.sources.json_arrays import read_json_array
+        return read_json_array(spark, path, schema)
+    return spark.read.schema(schema).json(path)
+
+
+def read_categories(spark: SparkSession, path: str) -> DataFrame:
+    """A5: category files, arrays of ``{"source": ..., "sentences": [{...}]}``."""
+    return read_json_entries(spark, path, CATEGORY_SCHEMA, array=True)
 
 
 def write_results(df: DataFrame, path: str, raw: bool, mode: str = "errorifexists") -> None:
