@@ -49,11 +49,6 @@ def dense_index(df: DataFrame, order_by: list, group_by: list[str] | None = None
     return j.select(*df.columns, (F.col("_off") + F.col("_pos") - F.col("_first")).alias(out))
 
 
-def row_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
-    """F2 in input (scan) order."""
-    return dense_index(df.withColumn("_scan", F.monotonically_increasing_id()), ["_scan"], out=out).drop("_scan")
-
-
 def round_robin(idx: str, processes: int) -> Column:
     """row i goes to process i mod P."""
     return F.pmod(F.col(idx), F.lit(processes))

@@ -10,6 +10,7 @@ from polytext.operators import batching as BA
 from polytext.operators import tokens as TK
 from polytext.plans import views as V
 from polytext.plans.registry import register
+from polytext.sources.files import input_index
 
 B = 16          # batch size of the batching queries
 SHARD = 4       # batches per shard
@@ -20,6 +21,10 @@ register("row_index", V.with_views(
     lambda spark, sf: BA.dense_index(V.batch_rows(spark, sf), [F.col("n_chars").desc(), F.col("doc_id")])
     .select("doc_id", "idx"))
 
+# F2 in input order (the driver's table is written in doc_id order)
+register("input_row_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")(
+    lambda spark, sf: input_index(V.table(spark, sf, "documents"), out="idx").select("doc_id", "idx"))
+
 
 def _rr(spark, sf):
     idx = BA.dense_index(V.batch_rows(spark, sf), ["doc_id"])

@@ -57,18 +57,23 @@ register("scan_lines", V.with_views("SELECT unnest(string_split(hyp_output, chr(
                                     "v_hyps"))(_lines)
 
 
-# A1: whole files -- one file per language, documents in id order, one per line
+# A1: whole files -- one file for each block of document ids in a language (so a
+# value holds a bounded number of documents), in id order, one per line
+RAW_BLOCK = 64
+
+
 def _raw(spark, sf):
     path = _tmp(spark, "raw")
-    d = V.table(spark, sf, "documents").select("lang", "doc_id", "text")
-    d.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", F.col("text").alias("value")) \
-        .write.partitionBy("lang").text(path)
+    d = V.table(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / RAW_BLOCK).alias("block"), "doc_id", "text")
+    d.repartition("lang", "block").sortWithinPartitions("lang", "block", "doc_id").select("lang", "block", F.col("text").alias("value")) \
+        .write.partitionBy("lang", "block").text(path)
     r = FS.read_raw(spark, path)
-    return r.select(F.regexp_extract("file", "lang=([^/]+)", 1).alias("lang"), "value")
+    return r.select(F.regexp_extract("file", "lang=([^/]+)", 1).alias("lang"),
+                    F.regexp_extract("file", "block=([^/]+)", 1).cast("bigint").alias("block"), "value")
 
 
-register("scan_raw", "SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS value FROM documents "
-                     "GROUP BY lang")(_raw)
+register("scan_raw", f"SELECT lang, doc_id // {RAW_BLOCK} AS block, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS value "
+                     "FROM documents GROUP BY ALL")(_raw)
 
 
 # A12 + A4: per-process JSON outputs path.proc{i}, read back with the gap rule,
@@ -78,7 +83,9 @@ P = 4
 
 def _sharded(spark, sf):
     base = _tmp(spark, "outputs")
-    h = V.hyps(spark, sf).select("hyp_index", "hyp_output")
+    whole = _tmp(spark, "hyps")
+    V.hyps(spark, sf).select("hyp_index", "hyp_output").write.parquet(whole)  # evaluated once
+    h = spark.read.parquet(whole)
     for i in range(P):
         FS.write_results(h.where(F.pmod("hyp_index", F.lit(P)) == i), f"{base}.proc{i}", raw=False)
     n = h.count()

@@ -54,6 +54,7 @@ def _concat_corpora(spark, sf):
     scored = _scored_pivot(spark, sf).where(F.col("flt") == "ok")
     acc = synth.accepted_to_entries(scored, keep=[F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("rid")])
     allr = e.unionByName(acc, allowMissingColumns=True)
+    allr = allr.select("rid", "task", "src_lang", "tgt_lang")  # no segment is sorted or stored
     return BA.dense_index(allr, [uniform(F.col("rid"), F.lit("shuffle")), F.col("rid")], out="shuffled_pos").select(
         "rid", "task", "src_lang", "tgt_lang", "shuffled_pos")
 

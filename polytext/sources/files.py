@@ -8,9 +8,11 @@ pruned.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polytext.session import ensure_checkpoint_dir
+
 ENTRY_SCHEMA = "task string, src_segm string, tgt_segm string, src_lang string, tgt_lang string"
 PIVOT_SCHEMA = "lo_lang string, lo_segm string, hi_lang string, hi_segm string, new_hi_res_lang string"
 CATEGORY_SCHEMA = "source string, sentences array<map<string,string>>"
@@ -54,12 +56,33 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
-    """0-based line numbers in file order: part files by name, lines by their
-    position in the file (two-pass dense index, no single-task window)."""
-    from polytext.operators.batching import dense_index
-    tagged = df.select("*", F.input_file_name().alias("_lfile"), F.monotonically_increasing_id().alias("_lmid"))
-    return dense_index(tagged, ["_lfile", "_lmid"], out=out).drop("_lfile", "_lmid")
+def input_index(scan: DataFrame, out: str = "row_idx") -> DataFrame:
+    """0-based index of the rows of a file scan in input order: files by
+    path, rows by their position in the file.
+
+    A row's place in its split is the distance of its scan id from the split's
+    first one; a first pass over the files counts the rows of every split.  Only
+    these counts (file, split, first id, rows) are aggregated and summed up in
+    order, so no row is sorted, shuffled or stored.  Both passes plan the same
+    splits, as they read the same files under the same settings.  The offsets,
+    one row a split, are broadcast below a measured size."""
+    from polytext.operators.joins import lookup_join
+    tagged = scan.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_start"),
+                         F.monotonically_increasing_id().alias("_mid"))
+    splits = tagged.groupBy("_file", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    ensure_checkpoint_dir(scan.sparkSession)
+    offsets = offsets.checkpoint(eager=True)  # counted once
+    return lookup_join(tagged, offsets, ["_file", "_start"], salt_by=F.col("_mid")).select(
+        *scan.columns, (F.col("_mid") + F.col("_off")).alias(out))
+
+
+def with_line_numbers(lines: DataFrame, out: str = "line_no") -> DataFrame:
+    """0-based line numbers in file order of the lines that ``read_lines`` gives:
+    part files by name, lines by their position."""
+    return input_index(lines, out)
 
 
 def read_json_entries(spark: SparkSession, path: str, schema: str = ENTRY_SCHEMA, array: bool = False) -> DataFrame:
