@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.functions.text import py_strip
-from polytext.operators.joins import lookup_join
+from polytext.operators.joins import MAX_BROADCAST_BYTES, lookup_join, salted_join, table_bytes
+from polytext.session import ensure_checkpoint_dir
 
 # Fixed value: sentence separator of the contamination check.
 SENTENCE_SPLIT = "[.\n]+"
@@ -24,22 +25,31 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_SPLIT), lambda s: py_strip(s)), lambda s: s != "")
 
 
+def dev_keys(dev: DataFrame) -> DataFrame:
+    """The distinct (lang, sentence) of a dev set, evaluated once: what follows
+    measures it and joins it from the written table."""
+    ensure_checkpoint_dir(dev.sparkSession)
+    return dev.select("lang", "sentence").distinct().checkpoint(eager=True)
+
+
 def decontaminate(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str = "tgt",
                   src_lang: str = "src_lang", tgt_lang: str = "tgt_lang") -> DataFrame:
     """Drop a pair when either side appears verbatim in the dev set of
     its language.  ``dev`` has columns (lang, sentence)."""
-    d = dev.select("lang", "sentence").distinct()
+    d = dev_keys(dev)
     # a repeated sentence is a hot key: salted anti-joins keyed by the pair
     salt = F.concat_ws("|", *[F.col(c).cast("string") for c in (src, tgt)])
-    out = lookup_join(pairs, d.select(F.col("lang").alias(src_lang), F.col("sentence").alias(src)),
-                      [src_lang, src], "left_anti", salt_by=salt)
-    return lookup_join(out, d.select(F.col("lang").alias(tgt_lang), F.col("sentence").alias(tgt)),
-                       [tgt_lang, tgt], "left_anti", salt_by=salt)
+    limit = MAX_BROADCAST_BYTES if table_bytes(d) <= MAX_BROADCAST_BYTES else 0  # measured once for both sides
+    for lang, side in ((src_lang, src), (tgt_lang, tgt)):
+        keys = d.select(F.col("lang").alias(lang), F.col("sentence").alias(side))
+        pairs = pairs.join(F.broadcast(keys), [lang, side], "left_anti") if limit else \
+            salted_join(pairs, keys, [lang, side], "left_anti", salt_by=salt)
+    return pairs
 
 
 def contamination_hits(train: DataFrame, dev: DataFrame) -> DataFrame:
     """For every distinct dev (lang, sentence): occurrences in train."""
-    d = dev.select("lang", "sentence").distinct()
+    d = dev_keys(dev)
     t = train.select("lang", "sentence", F.monotonically_increasing_id().alias("_row"))
     hits = (lookup_join(t, d, ["lang", "sentence"], "left_semi", salt_by=F.col("_row"))
             .groupBy("lang", "sentence").agg(F.count(F.lit(1)).alias("hits")))

@@ -94,14 +94,42 @@ def batched_enrichment(df: DataFrame, text: str, src_lang: str, tgt_lang: str, a
 
 def hyp_cache_reuse(requests: DataFrame, cache: DataFrame, keys: list[str], prompt: str,
                     factory: Callable[[], Callable] = ReverseWordsModel, out: str = "hyp_output") -> DataFrame:
-    """Reuse cached hypotheses at sentence grain; only misses are scored.
-    Of several cached hypotheses for equal keys the smallest is taken, so a
-    request never multiplies."""
-    c = cache.groupBy(*keys).agg(F.min(out).alias("_cached"))
-    hits = requests.join(c, keys, "inner").withColumnRenamed("_cached", out)
-    misses = requests.join(c.select(*keys), keys, "left_anti")
-    scored = score_batches(misses, prompt, factory, out=out).drop("hyp_mean_logprob")
-    return hits.unionByName(scored)
+    """Reuse cached hypotheses; of the requests that miss, equal keys are
+    scored once.  Of several cached hypotheses for equal keys the smallest is
+    taken, so a request never multiplies; a request with a null key is never
+    cached and is scored by itself."""
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    known = cache.groupBy(*keys).agg(F.min(out).alias(out))
+    asked = requests.where(~null_key)
+    todo = asked.select(*keys).distinct() if prompt in keys else asked.groupBy(*keys).agg(F.min(prompt).alias(prompt))
+    new = score_batches(todo.join(known.select(*keys), keys, "left_anti"), prompt, factory, out=out)
+    known = known.unionByName(new.select(*known.columns))
+    # a sentence that many requests share is a hot key: salted join
+    found = salted_join(asked, known, keys, "inner", salt_by=F.struct(*requests.columns))
+    alone = score_batches(requests.where(null_key), prompt, factory, out=out)
+    return found.select(*requests.columns, out).unionByName(alone.select(*requests.columns, out))
+
+
+def translate_with_cache(requests: DataFrame, path: str, corpus: str, run: str, factory: Callable[[], Callable] = ReverseWordsModel,
+                         src: str = "src_lang", tgt: str = "tgt_lang", segm: str = "src_segm", out: str = "hyp_output") -> DataFrame:
+    """D9 + A9 + A16: the hypothesis of every request, by language pair and
+    sentence.  Sentences that the cache lacks are scored once each and added to
+    it under ``run``; a run that is repeated adds nothing.  Null languages or
+    sentences count as empty."""
+    from polytext.sources.files import read_hyp_cache, upsert_hyp_cache
+
+    spark = requests.sparkSession
+    keys = ["cache_src", "cache_tgt", "digest"]
+    r = requests.select("*", F.coalesce(src, F.lit("")).alias("cache_src"), F.coalesce(tgt, F.lit("")).alias("cache_tgt"),
+                        F.sha2(F.coalesce(segm, F.lit("")).cast("binary"), 256).alias("digest"))
+    cache = read_hyp_cache(spark, path, corpus)
+    todo = r.groupBy(*keys).agg(F.min(F.coalesce(segm, F.lit(""))).alias("segm")).join(cache, keys, "left_anti")
+    upsert_hyp_cache(score_batches(todo, "segm", factory, out="hyp").select(*keys, "hyp"), path, corpus, run)
+    known = read_hyp_cache(spark, path, corpus).groupBy(*keys).agg(F.min("hyp").alias(out))
+    found = salted_join(r, known, keys, "left", salt_by=F.struct(*requests.columns))
+    return found.select(*requests.columns, out)
 
 
 def memo_translate_fill(tuples: DataFrame, missing: DataFrame, key_rank: Column,

@@ -114,19 +114,26 @@ def bt_plan(entries: DataFrame, key: str = "doc_id") -> DataFrame:
 def pivot_plan(entries: DataFrame) -> DataFrame:
     """H5: pivot requests.  Candidates exclude the high languages already
     present for the low segment; each (high lang, high segment) pair gets
-    count x multiplier(low lang) draws."""
-    counts = pivot_counts(entries)
+    count x multiplier(low lang) draws.
+
+    Pairs and low segments are keyed by 256-bit digests: counts, present
+    languages and draws move digests only, and the texts, one row a pair, are
+    joined to the draws at the end."""
+    pair = ["lo_lang", "lo_segm", "hi_lang", "hi_segm"]
+    key = lambda *c: F.unhex(F.sha2(F.to_json(F.struct(*c)), 256))
+    e = pivot_source_filter(entries).select(F.col("tgt_lang").alias("lo_lang"), F.col("tgt_segm").alias("lo_segm"),
+                                            L.gen_lang_synth("src_lang").alias("hi_lang"), F.col("src_segm").alias("hi_segm"))
+    e = e.select("*", key(*pair).alias("_pair"), key("lo_lang", "lo_segm").alias("_low"))
+    counts = e.select("_pair", "_low", "lo_lang", "hi_lang", F.md5(F.concat_ws("|", *pair)).alias("_seed")) \
+        .groupBy("_pair", "_low", "lo_lang", "hi_lang", "_seed").agg(F.count(F.lit(1)).alias("cnt"))
     # bounded set (<= number of high languages) with map-side partial sets
-    present = counts.groupBy("lo_lang", "lo_segm").agg(F.collect_set("hi_lang").alias("_present"))
+    present = counts.groupBy("_low").agg(F.collect_set("hi_lang").alias("_present"))
     # a low segment with very many high-side pairs is a hot key: salted join
-    j = salted_join(counts, present, ["lo_lang", "lo_segm"], "inner",
-                    salt_by=F.concat_ws("|", "hi_lang", "hi_segm"))
-    j = j.select("lo_lang", "lo_segm", "hi_lang", "hi_segm", "cnt", "_present",
-                 F.md5(F.concat_ws("|", "lo_lang", "lo_segm", "hi_lang", "hi_segm")).alias("_seed"))
+    j = salted_join(counts, present, ["_low"], "inner", salt_by=F.col("_pair"))
     n = F.col("cnt") * L.resource_multiplier("lo_lang")
-    drawn = weighted_draws(j, ["lo_lang", "lo_segm", "hi_lang", "hi_segm"], "_seed", n,
-                           candidate_cdf(F.col("_present")), out="new_hi_res_lang")
-    return drawn.select("lo_lang", "lo_segm", "hi_lang", "hi_segm", "new_hi_res_lang")
+    drawn = weighted_draws(j, ["_pair"], "_seed", n, candidate_cdf(F.col("_present")), out="new_hi_res_lang")
+    texts = e.groupBy("_pair").agg(*(F.first(c).alias(c) for c in pair))
+    return drawn.join(texts, "_pair").select(*pair, "new_hi_res_lang")
 
 
 def output_lang_weights(counts: DataFrame) -> DataFrame:

@@ -13,12 +13,14 @@ being bounded by ``max_len``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.operators.batching import dense_index
-from polytext.operators.joins import lookup_join
+from polytext.operators.joins import MAX_BROADCAST_BYTES, lookup_join, table_bytes
 from polytext.operators.layout import spread
+from polytext.session import ensure_checkpoint_dir
 
 # The four reserved ids of a vocabulary read from TSV.
 SPECIALS = [("<s>", 0), ("<pad>", 1), ("</s>", 2), ("<unk>", 3)]
@@ -73,28 +75,57 @@ def vocab_from_tsv(lines: DataFrame, line_no: str = "line_no", token: str = "tok
         .unionByName(special_table(lines.sparkSession))
 
 
+def _coded(words: Column, vocab: DataFrame) -> Column:
+    """Ids of a row's tokens, found in the broadcast vocabulary (Arrow)."""
+    table = vocab.toArrow().combine_chunks()
+    shared = vocab.sparkSession.sparkContext.broadcast((table.column("token").combine_chunks(), table.column("id").combine_chunks()))
+
+    @F.arrow_udf("array<int>")
+    def run(words: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow.compute as pc
+        token, code = shared.value
+        # before its end, flatten() has the tokens of the rows one after another, none for a null row
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(pc.take(code, pc.index_in(words.flatten(), value_set=token)), UNK_ID)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), ids.cast(pa.int32()))
+
+    return run(words)
+
+
+def _joined(df: DataFrame, key: str, toks: Column, vocab: DataFrame) -> DataFrame:
+    """(key, ids) with a vocabulary too large to broadcast: tokens become rows,
+    salted against frequent ones, and are collected again by row."""
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), key, toks.alias("_toks"))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = rows.checkpoint(eager=True)  # the row numbers are those of one evaluation
+    occ = rows.select("_row", F.posexplode("_toks").alias("pos", "token"))
+    ided = lookup_join(occ, vocab, ["token"], "left", salt_by=F.struct("_row", "pos"))
+    per_row = ided.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID))
+                                                                          .alias("id")))).alias("_p"))
+    ids = F.coalesce(F.transform("_p", lambda x: x["id"]), F.array().cast("array<int>"))
+    return rows.select("_row", key).join(per_row, "_row", "left").select(key, ids.alias("_ids"))
+
+
 def tokenise(df: DataFrame, key: str, text: str, vocab: DataFrame, max_len: int | None = DEFAULT_MAX_LEN,
-             add_eos: bool = True, partitions: int | None = None) -> DataFrame:
+             add_eos: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Ids (unknown -> UNK), truncated to ``max_len`` *before* EOS is
     appended (so up to max_len + 1; None: not truncated), and an all-ones
-    attention mask."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(key, text).repartition(n, key)
-    toks = word_tokens(text) if max_len is None else F.slice(word_tokens(text), 1, max_len)
-    occ = rows.select(key, F.posexplode(toks).alias("pos", "token"))
-    # frequent tokens are hot keys: broadcast the vocabulary when its size
-    # allows, else salt by (row, position)
-    ided = lookup_join(occ, vocab.select("token", "id"), ["token"], "left",
-                       salt_by=F.concat_ws("|", F.col(key).cast("string"), F.col("pos").cast("string")))
-    per_row = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID))
-                                                                         .alias("id")))).alias("_p"))
-    full = rows.select(key).join(per_row, key, "left")
-    ids = F.coalesce(F.transform("_p", lambda x: x["id"]), F.array().cast("array<int>"))
-    if add_eos:
-        ids = F.concat(ids, F.array(F.lit(EOS_ID)))
-    return full.select(key, ids.alias("input_ids")).select(
-        key, "input_ids", F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"))
+    attention mask.  A text is tokenised and coded where it lies; only a
+    vocabulary of more than ``max_broadcast_bytes`` (measured) is joined
+    instead.  A null text has no tokens; rows that repeat a key stay apart."""
+    rows = spread(df.select(key, text))
+    toks = F.coalesce(word_tokens(text) if max_len is None else F.slice(word_tokens(text), 1, max_len),
+                      F.array().cast("array<string>"))
+    ensure_checkpoint_dir(df.sparkSession)
+    vocab = vocab.select("token", "id").checkpoint(eager=True)  # evaluated once: measured, then sent or joined
+    if table_bytes(vocab) <= max_broadcast_bytes:
+        coded = rows.select(key, _coded(toks, vocab).alias("_ids"))
+    else:
+        coded = _joined(rows, key, toks, vocab)
+    ids = F.concat("_ids", F.array(F.lit(EOS_ID))) if add_eos else F.col("_ids")
+    return coded.select(key, ids.alias("input_ids")).select(
+        key, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"))
 
 
 def loss_mask_delimiter(ids: str, delim_id: int) -> Column:

@@ -97,13 +97,17 @@ register("scan_sharded_outputs", V.with_views("SELECT hyp_index, hyp_output FROM
 
 
 # A6 + A7: sentences of even documents vs odd documents as two line files
-def _parallel(spark, sf):
+def _line_files(spark, sf):
     s = V.train_sentences(spark, sf)
     p1, p2 = _tmp(spark, "corpus") + ".even", _tmp(spark, "corpus") + ".odd"
     for path, par in ((p1, 0), (p2, 1)):
         s.where(F.col("doc_id") % 2 == par).orderBy("doc_id", "pos").select(F.col("sentence").alias("value")) \
             .write.text(path)
-    t = FS.parallel_to_tuples(spark, [(p1, p2)])
+    return p1, p2
+
+
+def _parallel(spark, sf):
+    t = FS.parallel_to_tuples(spark, [_line_files(spark, sf)])
     return t.select("pos", F.col("m")["even"].alias("even"), F.col("m")["odd"].alias("odd"))
 
 
@@ -116,6 +120,30 @@ LEFT JOIN (SELECT sentence, row_number() OVER (ORDER BY doc_id, p) - 1 AS i FROM
 ON a.i = b.i""", "v_doc_sents"))(_parallel)
 
 
+# A corpus of one file pair to which both directions are added, one of them
+# again; it holds every source once
+def _append(spark, sf):
+    p1, p2 = _line_files(spark, sf)
+    path = _tmp(spark, "parallel-corpus")
+    FS.append_parallel_sources(spark, path, [(p1, p2)])
+    FS.append_parallel_sources(spark, path, [(p2, p1), (p1, p2)])
+    return FS.read_parallel_corpus(spark, path).select(
+        F.regexp_extract("source", "([a-z]+)$", 1).alias("second"), "pos", F.col("m")["even"].alias("even"), F.col("m")["odd"].alias("odd"))
+
+
+def _sql_zip(first, second):
+    lines = ("(SELECT sentence, row_number() OVER (ORDER BY doc_id, p) - 1 AS i FROM (SELECT doc_id, unnest(sents) AS sentence, "
+             "generate_subscripts(sents, 1) AS p FROM v_doc_sents WHERE doc_id % 2 = {}))")
+    side = {"even": 0, "odd": 1}
+    return (f"SELECT '{second}' AS second, a.i AS pos, a.sentence AS {first}, coalesce(b.sentence, '') AS {second} "
+            f"FROM {lines.format(side[first])} a LEFT JOIN {lines.format(side[second])} b ON a.i = b.i")
+
+
+register("append_parallel_sources", V.with_views(f"""
+SELECT second, pos, even, odd FROM ({_sql_zip('even', 'odd')}) UNION ALL SELECT second, pos, even, odd FROM ({_sql_zip('odd', 'even')})""",
+                                                 "v_doc_sents"))(_append)
+
+
 # Token counts written as a TSV in (count desc, first occurrence) order,
 # read back into a vocabulary with the reserved ids first
 def _vocab_tsv(spark, sf):

@@ -71,22 +71,20 @@ SELECT doc_id, CASE WHEN src_lang IN {tuple(_SERVED)!r} AND tgt_lang IN {tuple(_
     .select("doc_id", "hyp_output"))
 
 
-# D9 (+A16 sink, A9 scan): hypotheses of even documents are cached in a table
-# partitioned by language pair; only the other rows are scored
+# D9 (+A16 sink, A9 scan): hypotheses cached by language pair and sentence; a
+# first run stores the even documents' sentences, the second reuses them and
+# adds the rest, and its repetition adds nothing
 def _cached(spark, sf):
-    from polytext.sources.files import read_hyp_cache, write_hyp_cache
-    h = V.hyps(spark, sf)
     path = scratch_path(spark, f"hyp-cache-{uuid.uuid4().hex}")
-    write_hyp_cache(h.where(F.col("doc_id") % 2 == 0).select("doc_id", "src_lang", "tgt_lang", "hyp_output"),
-                    path, corpus="fixture")
-    cache = read_hyp_cache(spark, path, corpus="fixture")
-    req = h.select("doc_id", "src_lang", "tgt_lang", "src_segm")
-    return SC.hyp_cache_reuse(req, cache, ["doc_id", "src_lang", "tgt_lang"], "src_segm")
+    req = V.hyps(spark, sf).select("doc_id", "src_lang", "tgt_lang", "src_segm")
+    SC.translate_with_cache(req.where(F.col("doc_id") % 2 == 0), path, "fixture", "first")
+    SC.translate_with_cache(req, path, "fixture", "second")
+    return SC.translate_with_cache(req, path, "fixture", "second")
 
 
 register("hyp_cache_reuse", V.with_views(f"""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN hyp_output ELSE {_rev_sql('src_segm')} END AS hyp_output
-FROM v_hyps""", "v_hyps"))(lambda spark, sf: _cached(spark, sf).select("doc_id", "hyp_output"))
+SELECT doc_id, {_rev_sql('src_segm')} AS hyp_output FROM v_hyps""", "v_hyps"))(
+    lambda spark, sf: _cached(spark, sf).select("doc_id", "hyp_output"))
 
 
 # D8 on the tuples: fill every missing high language

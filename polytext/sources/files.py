@@ -18,18 +18,30 @@ PIVOT_SCHEMA = "lo_lang string, lo_segm string, hi_lang string, hi_segm string,
 CATEGORY_SCHEMA = "source string, sentences array<map<string,string>>"
 
 
-def write_hyp_cache(df: DataFrame, path: str, corpus: str, src: str = "src_lang", tgt: str = "tgt_lang",
-                    mode: str = "append") -> None:
-    """Persist hypotheses per (corpus, source language, target language)."""
-    (df.withColumn("corpus", F.lit(corpus)).write.mode(mode).partitionBy("corpus", src, tgt).parquet(path))
+HYP_CACHE_SCHEMA = "digest string, hyp string, corpus string, cache_src string, cache_tgt string, run string"
 
 
-def read_hyp_cache(spark: SparkSession, path: str, corpus: str | None = None) -> DataFrame:
-    """Read the cache; a corpus / language filter prunes partitions."""
-    df = spark.read.parquet(path)
-    if corpus is not None:
-        df = df.where(F.col("corpus") == corpus)
-    return df
+def read_hyp_cache(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+    """(cache_src, cache_tgt, digest, hyp, run) of a corpus; filters on
+    corpus and languages prune partitions.  A cache not yet written is empty."""
+    if not path_exists(spark, path):
+        df = spark.createDataFrame([], HYP_CACHE_SCHEMA)
+    else:
+        df = spark.read.schema(HYP_CACHE_SCHEMA).parquet(path)
+    return df.where(F.col("corpus") == corpus).drop("corpus")
+
+
+def upsert_hyp_cache(rows: DataFrame, path: str, corpus: str, run: str) -> None:
+    """Add (cache_src, cache_tgt, digest, hyp) rows that no other run has
+    stored.  They are partitioned by corpus, languages and run, staged, and
+    committed by replacing the run's own partitions: a run that is repeated,
+    after a failure or not, stores no row twice."""
+    spark = rows.sparkSession
+    keys = ["cache_src", "cache_tgt", "digest"]
+    rows = rows.groupBy(*keys).agg(F.min("hyp").alias("hyp"))
+    others = read_hyp_cache(spark, path, corpus).where(F.col("run") != run)
+    fresh = rows.join(others, keys, "left_anti").select("digest", "hyp", F.lit(corpus).alias("corpus"), "cache_src", "cache_tgt", F.lit(run).alias("run"))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "cache_src", "cache_tgt", "run").parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -157,6 +169,20 @@ def parallel_to_tuples(spark: SparkSession, pairs: list[tuple[str, str]]) -> Dat
     return out
 
 
+def append_parallel_sources(spark: SparkSession, path: str, pairs: list[tuple[str, str]]) -> None:
+    """Add file pairs to a corpus of tuples (source, pos, m) at ``path``.
+    Each source is a partition of its own (by the digest of its name) that is
+    staged and then replaced as a whole; other sources stay as they are, and
+    adding a pair again changes nothing."""
+    t = parallel_to_tuples(spark, pairs).withColumn("source_key", F.md5("source"))
+    t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_key").parquet(path)
+
+
+def read_parallel_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(source, pos, m) of a corpus of file pairs."""
+    return spark.read.schema("source string, pos bigint, m map<string,string>, source_key string").parquet(path).drop("source_key")
+
+
 def write_tsv_pairs(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``src_lang<TAB>input<TAB>tgt_lang<TAB>output`` lines, unquoted."""
     pairs.select(F.concat_ws("\t", "src_lang", "input", "tgt_lang", "output").alias("value")) \
