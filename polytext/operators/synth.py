@@ -120,7 +120,11 @@ def pivot_plan(entries: DataFrame) -> DataFrame:
     languages and draws move digests only, and the texts, one row a pair, are
     joined to the draws at the end."""
     pair = ["lo_lang", "lo_segm", "hi_lang", "hi_segm"]
-    key = lambda *c: F.unhex(F.sha2(F.to_json(F.struct(*c)), 256))
+
+    def key(lo_lang: str, lo_segm: str, *more: str) -> Column:
+        said = [F.coalesce(F.col(c), F.lit("\x01")) for c in (lo_lang, lo_segm, *more)]  # the low segment's length keeps both apart
+        return F.unhex(F.sha2(F.concat_ws("\x1f", said[0], F.char_length(said[1]).cast("string"), *said[1:]), 256))
+
     e = pivot_source_filter(entries).select(F.col("tgt_lang").alias("lo_lang"), F.col("tgt_segm").alias("lo_segm"),
                                             L.gen_lang_synth("src_lang").alias("hi_lang"), F.col("src_segm").alias("hi_segm"))
     e = e.select("*", key(*pair).alias("_pair"), key("lo_lang", "lo_segm").alias("_low"))
