@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stored(shared(classes.select(F.explode("keys").alias("key"), "n", "c"), parts, percent), "shared-bands")
 
-    met = rows.select("c").distinct().join(classes.select("c", "rep.doc_id", "rep.t"), "c")
+    met = stored(rows.select("c").distinct().join(classes.select("c", "rep.doc_id", "rep.t", "n", "sig"), "c"), "met-classes")  # only these are compared
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
@@ -296,17 +296,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
                 x = p.iloc[i:i + 256]
                 yield pd.DataFrame({"c": x["c"], "s": [shingles(text, k).tobytes() for text in x["text"]]})
 
-    met = stored(met, "met-classes")
-    whole = stored(lookup_join(docs, met, ["doc_id", "t"], salt_by=F.col("t"), max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c binary, s binary"), "whole-sets")
+    whole = stored(lookup_join(docs, met.select("doc_id", "t", "c"), ["doc_id", "t"], salt_by=F.col("t"), max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c binary, s binary"), "whole-sets")
     if not whole.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
         whole = stored(whole.dropDuplicates(["c"]), "whole-sets")
 
     led = rows.where("lead <> c").groupBy("c", "lead").count().groupBy("c").agg(F.max(F.struct("count", "lead")).alias("m"))
-    tested = stored(pruned(led.select(F.least("c", "m.lead").alias("a"), F.greatest("c", "m.lead").alias("b")).distinct(), classes, percent), "pairs")
+    tested = stored(pruned(led.select(F.least("c", "m.lead").alias("a"), F.greatest("c", "m.lead").alias("b")).distinct(), met, percent), "pairs")
     links = stored(linked(tested, whole, percent), "links")
     found = stored(components(links), "components")
     for most in [*[NEAREST] * ROUNDS, None]:
-        more = stored(crossing(rows, classes, found, percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(crossing(rows, met, found, percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             if most is None:
                 break
