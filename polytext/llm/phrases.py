@@ -249,7 +249,7 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, bud
     triples = found.where("h3 <> 0")
 
     def near(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-        return lookup_join(df, small, on, salt_by=F.struct("h1", "h2"), max_broadcast_bytes=LOOKUP)
+        return lookup_join(df, small, on, salt_by=F.struct("h1", "h2"), max_broadcast_bytes=LOOKUP, salts=4)
 
     def said(df: DataFrame, d: int) -> DataFrame:
         return near(df, words.select("lang", F.col("h").alias(f"h{d}"), F.col("word").alias(f"w{d}"), F.col("f").alias(f"f{d}")), ["lang", f"h{d}"])
