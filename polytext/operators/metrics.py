@@ -2,16 +2,11 @@
 group sets (E3), macro averages per class (E4), and positional re-pairing of
 inputs with outputs (D3, F3).
 
-Plan shape (the three hand-shaped parts of the metric plan):
-
-1. rows are hash-partitioned by their row id *once* (texts only move once);
-2. every word / character n-gram of both sides is exploded and counted per
-   ``(row, order, gram)``; that aggregate and the per-row sum after it need no
-   further exchange because the partitioning on the row id already clusters
-   them (no n-gram is ever shuffled);
-3. per-row sufficient statistics (integers) are exploded into the row's group
-   labels and summed with partial aggregation; the closed-form score is
-   computed from the sums.  A hot group only adds to a partial sum.
+Plan shape: the clipped and total n-gram counts of a pair are found within its
+row, by a vectorised (Arrow) function on integer codes, so no n-gram becomes a
+row.  These per-row statistics (integers) are exploded into the row's group
+labels and summed with partial aggregation; the closed-form score is computed
+from the sums.  A hot group only adds to a partial sum.
 """
 
 from __future__ import annotations
