@@ -13,21 +13,27 @@ from polytext.plans.registry import register
 from polytext.session import scratch_path
 from polytext.streaming import jobs as J
 
-SHARDS = 4
-
+ADMITTED = 64 << 30  # bytes of shards in a trigger
 
 def _tmp(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-# K1: hypotheses arrive as shards; each is QC-labelled exactly once
+# K1: hypotheses arrive as shards, part of them while the query runs; after a
+# restart the rest is drained.  Each shard is QC-labelled exactly once
 def _incremental(spark, sf):
     src, out, ck = _tmp(spark, "shards-in"), _tmp(spark, "qc-out"), _tmp(spark, "qc-ckpt")
     h = V.hyps(spark, sf).select("hyp_index", "src_segm", "hyp_output", "tgt_lang", "hyp_lang")
-    h.repartition(SHARDS, "hyp_index").write.parquet(src)
-    schema = "hyp_index bigint, src_segm string, hyp_output string, tgt_lang string, hyp_lang string"
-    J.incremental_process(spark, src, schema, lambda df: qc.pair_qc(df).select("hyp_index", "flt"), out, ck,
-                          max_files_per_trigger=1)
+    early = F.coalesce(F.col("tgt_lang") < "Latvian", F.lit(False))
+    args = (spark, src, "hyp_index bigint, src_segm string, hyp_output string, tgt_lang string, hyp_lang string",
+            lambda df: qc.pair_qc(df).select("hyp_index", "flt"), out, ck)
+    h.where(early).write.parquet(src)
+    running = J.start_incremental(*args, max_bytes_per_trigger=ADMITTED)
+    try:
+        h.where(~early).write.mode("append").parquet(src)
+    finally:
+        running.stop()
+    J.incremental_process(*args, max_bytes_per_trigger=ADMITTED)
     return spark.read.parquet(out).select("hyp_index", "flt")
 
 
@@ -43,10 +49,10 @@ def _steps(spark, sf):
 
 
 def _progress(spark, sf):
-    src, ck = _tmp(spark, "steps-in"), _tmp(spark, "progress-ckpt")
+    src, table, ck = _tmp(spark, "steps-in"), _tmp(spark, "progress"), _tmp(spark, "progress-ckpt")
     _steps(spark, sf).write.parquet(src)
-    name = f"progress_{uuid.uuid4().hex}"
-    res = J.progress_stream(spark, src, "run string, ts timestamp, event_id bigint, loss double", name, ck)
+    res = J.progress_stream(spark, src, "run string, ts timestamp, event_id bigint, loss double", table, ck,
+                            max_bytes_per_trigger=ADMITTED)
     return res.select("run", "steps", F.round("mean_loss", 6).alias("mean_loss"))
 
 
