@@ -26,7 +26,8 @@ Sorting is Spark's (prefix sort with spilling) in place of a hand-written
 multikey quicksort: the buckets may exceed memory.
 
 Scale: about a thirtieth of the positions is shuffled; no key gathers in one
-task, and the driver only sees two strings for each bucket.
+task, and the driver only sees two strings for each bucket.  Texts go through
+the two joins compressed.
 
 Edge cases: a null or empty text has nothing removed; a text below ``WIDTH``
 bytes has no string; rows with equal id and text count as one document and
@@ -42,8 +43,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polytext.llm.common import release, ship, stored
@@ -51,8 +53,9 @@ from polytext.llm.common import release, ship, stored
 WIDTH, GRAM, PIECE = 100, 40, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
-_ROWS = "g long, ctx long, doc long, tie long, lo long, more int"
-_SEEN = "kind int, doc long, tie long, lo long, hi long"
+# ``at`` is a first string start times 256 plus the number of further starts (below WIDTH)
+_ROWS = "g long, ctx long, doc long, tie long, at long"
+_SEEN = "kind int, doc long, tie long, at long"
 
 
 def _powers() -> list[np.ndarray]:
@@ -129,7 +132,7 @@ def _anchored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for start, b in _pieces((text or "").encode("utf-8")):
                 g, ctx, _, first, last = anchors(b)
                 n = len(g)
-                got.append([g, ctx, np.full(n, doc, np.int64), np.full(n, tie, np.int64), first + start, last - first])
+                got.append([g, ctx, np.full(n, doc, np.int64), np.full(n, tie, np.int64), (first + start << 8) + last - first])
                 size += n
             if size > 200_000:
                 yield _frame(got)
@@ -139,12 +142,11 @@ def _anchored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(got: list[list[np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(("g", "ctx", "doc", "tie", "lo", "more"), map(np.concatenate, zip(*got))))).astype({"more": "int32"})
+    return pd.DataFrame(dict(zip(("g", "ctx", "doc", "tie", "at"), map(np.concatenate, zip(*got)))))
 
 
 def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted rows: kind 0, repeats as byte spans; kind 1, undecided rows as
-    first and last string start."""
+    """Of sorted rows: kind 0, repeats; kind 1, undecided rows."""
     lead = wait = None  # key of the last row; the last first-row of a context, with its being in an earlier gram
     for p in parts:
         if not len(p):
@@ -153,8 +155,8 @@ def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = (g[:1] ^ 1, ctx[:1]) if lead is None else lead
         same = g == np.append(before[0], g[:-1])
         again = same & (ctx == np.append(before[1], ctx[:-1]))
-        rows = p[["doc", "tie", "lo"]].assign(hi=p["lo"] + p["more"])
-        out = [rows[again].assign(kind=0, hi=rows["hi"][again] + WIDTH)]
+        rows = p[["doc", "tie", "at"]]
+        out = [rows[again].assign(kind=0)]
         heads = rows[~again].assign(same=same[~again])
         if lead is None:  # the first row of a bucket is always undecided
             heads.iloc[0, heads.columns.get_loc("same")] = True
@@ -166,9 +168,9 @@ def _repeats(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append(heads.iloc[:-1][undecided[:-1]].assign(kind=1))
             wait = heads.iloc[-1:]
         lead = g[-1:], ctx[-1:]
-        yield pd.concat(out)[["kind", "doc", "tie", "lo", "hi"]]
+        yield pd.concat(out)[["kind", "doc", "tie", "at"]]
     if wait is not None:  # its gram may go on in the next bucket
-        yield wait.assign(kind=1)[["kind", "doc", "tie", "lo", "hi"]]
+        yield wait.assign(kind=1)[["kind", "doc", "tie", "at"]]
 
 
 def _strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,16 +178,17 @@ def _strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         got: list[list[np.ndarray]] = []
         size = 0
-        for doc, tie, text, los, his in zip(p["doc"], p["tie"], p["text"], p["lo"], p["hi"]):
-            b = np.frombuffer(text.encode("utf-8"), np.uint8)
-            at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(los, his)]))
+        for doc, tie, packed, asked in zip(p["doc"], p["tie"], p["packed"], p["at"]):
+            b = np.frombuffer(_unpack(packed), np.uint8)
+            at = np.unique(np.concatenate([np.arange(x >> 8, (x >> 8) + (x & 255) + 1) for x in map(int, asked)]))
             for start in range(0, len(b), PIECE):
                 own = at[(at >= start) & (at < start + PIECE)] - start
                 if len(own):
                     part = b[start:start + PIECE + WIDTH - 1]
-                    h = Hashes(part).of(own, own + WIDTH).view(np.int64)
-                    n = len(own)
-                    got.append([(_leading(part, own, 8) ^ np.uint64(1 << 63)).view(np.int64), h, np.full(n, doc, np.int64), np.full(n, tie, np.int64), own + start, np.zeros(n, np.int64)])
+                    h, n = Hashes(part).of(own, own + WIDTH), len(own)
+                    g = (_leading(part, own, 4) << np.uint64(32)) | (h >> np.uint64(32))
+                    got.append([(g ^ np.uint64(1 << 63)).view(np.int64), (h & np.uint64(0xFFFFFFFF)).view(np.int64),
+                                np.full(n, doc, np.int64), np.full(n, tie, np.int64), own + start << 8])
                     size += n
             if size > 200_000:
                 yield _frame(got)
@@ -207,41 +210,58 @@ def _repeated_strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         again = (g == np.append(lead[0], g[:-1])) & (h == np.append(lead[1], h[:-1]))
         lead, end = (g[-1:], h[-1:]), p.iloc[-1:]
         rows = p[again]
-        yield pd.DataFrame({"part": -1, "g": 0, "ctx": 0, "end": False, "doc": rows["doc"], "tie": rows["tie"], "lo": rows["lo"]})
+        yield pd.DataFrame({"part": -1, "g": 0, "ctx": 0, "end": False, "doc": rows["doc"], "tie": rows["tie"], "at": rows["at"]})
     if first is not None:
         for row, is_end in ((first, False), (end, True)):
-            yield row[["g", "ctx", "doc", "tie", "lo"]].assign(part=TaskContext.get().partitionId(), end=is_end)[["part", "g", "ctx", "end", "doc", "tie", "lo"]]
+            yield row[["g", "ctx", "doc", "tie", "at"]].assign(part=TaskContext.get().partitionId(), end=is_end)[["part", "g", "ctx", "end", "doc", "tie", "at"]]
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    order = ["g", "ctx", "doc", "tie", "lo"]
+    order = ["g", "ctx", "doc", "tie", "at"]
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
+def _packed(text: str) -> Column:
+    """A text column as compressed UTF-8 bytes; null where it is empty."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        c = zstandard.ZstdCompressor(level=3)
+        return pd.Series([c.compress(t.encode("utf-8")) if t else None for t in texts], dtype=object)
+
+    return run(text)
+
+
+def _unpack(packed: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, tie, lo, hi: byte spans to remove of ``docs`` (doc, tie, text), of
-    which no two have the same doc and tie."""
+    """doc, tie, at: what to remove of ``docs`` (doc, tie, text), of which no
+    two have the same doc and tie: from the string start at // 256 the strings
+    of 1 + at % 256 starts."""
     spark = docs.sparkSession
     seen = stored(_sorted(docs.mapInPandas(_anchored, _ROWS)).mapInPandas(_repeats, _SEEN), "suffixes")
-    asked = seen.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    strings = docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "lo", "hi").mapInPandas(_strings, _ROWS)
-    found = stored(_sorted(strings).mapInPandas(_repeated_strings, "part int, g long, ctx long, end boolean, doc long, tie long, lo long"), "strings")
+    asked = seen.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list("at").alias("at"))
+    strings = (docs.select("doc", "tie", _packed("text").alias("packed")).join(asked, ["doc", "tie"])
+               .select("doc", "tie", "packed", "at").mapInPandas(_strings, _ROWS))
+    found = stored(_sorted(strings).mapInPandas(_repeated_strings, "part int, g long, ctx long, end boolean, doc long, tie long, at long"), "strings")
     borders = sorted(found.where("part >= 0").collect(), key=lambda r: (r["part"], r["end"]))  # two rows for each bucket
-    crossing = [(b["doc"], b["tie"], b["lo"], b["lo"] + WIDTH) for a, b in zip(borders[1::2], borders[2::2]) if (a["g"], a["ctx"]) == (b["g"], b["ctx"])]
-    spans = "doc long, tie long, lo long, hi long"
+    crossing = [(b["doc"], b["tie"], b["at"]) for a, b in zip(borders[1::2], borders[2::2]) if (a["g"], a["ctx"]) == (b["g"], b["ctx"])]
     release(spark)
-    return (seen.where("kind = 0").select("doc", "tie", "lo", "hi")
-            .union(found.where("part < 0").select("doc", "tie", "lo", F.col("lo") + WIDTH))
-            .union(spark.createDataFrame(crossing, spans)))
+    return (seen.where("kind = 0").select("doc", "tie", "at")
+            .union(found.where("part < 0").select("doc", "tie", "at"))
+            .union(spark.createDataFrame(crossing, "doc long, tie long, at long")))
 
 
-def _mask(n: int, los, his) -> np.ndarray:
-    """True for the bytes within any of the spans."""
+def _mask(n: int, at) -> np.ndarray:
+    """True for the bytes to remove."""
     edge = np.zeros(n + 1, np.int64)
-    if los is not None:
-        np.add.at(edge, np.asarray(los, np.int64), 1)
-        np.add.at(edge, np.asarray(his, np.int64), -1)
+    if at is not None:
+        at = np.asarray(at, np.int64)
+        np.add.at(edge, at >> 8, 1)
+        np.add.at(edge, (at >> 8) + (at & 255) + WIDTH, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -249,9 +269,9 @@ def _cutter(with_text: bool):
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for text, los, his in zip(p["text"], p["lo"], p["hi"]):
-                raw = (text or "").encode("utf-8")
-                gone = _mask(len(raw), los, his)
+            for packed, at in zip(p["packed"], p["at"]):
+                raw = _unpack(packed)
+                gone = _mask(len(raw), at)
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
                 out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
@@ -270,7 +290,7 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows = rows.withColumn("tie", F.xxhash64("text") if odd else F.lit(0).cast("long"))
     plain = rows.select("doc", "tie", "text")
     found = repeats(plain.dropDuplicates(["doc", "tie"]) if odd else plain)
-    spans = found.groupBy("doc", "tie").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    out = (rows.join(spans, ["doc", "tie"], "left").select("id", "text", "lo", "hi")
+    spans = found.groupBy("doc", "tie").agg(F.collect_list("at").alias("at"))
+    out = (rows.select("id", "doc", "tie", _packed("text").alias("packed")).join(spans, ["doc", "tie"], "left").select("id", "packed", "at")
            .mapInPandas(_cutter(with_text), "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text))
     return out.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

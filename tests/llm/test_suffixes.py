@@ -79,3 +79,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[10]["n_bytes"] - by[10]["n_removed"] == 1  # every string but the first starts earlier too
     assert by[1]["n_removed"] == 0 and by[3]["kept"] == ""
     assert X.remove(no_docs).collect() == []
+
+
+def test_equal_strings_across_the_borders_of_buckets(spark):
+    """More buckets than distinct strings: one passage is cut by most borders."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, f"{i:03d}" * 20 + "".join(random.Random(9).choice("abcé ") for _ in range(130)) + f"{i:03d}" * 20) for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        assert sorted(map(tuple, X.remove(df, with_text=False).collect())) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
