@@ -22,8 +22,8 @@ sets form a class, which is joined once.
    checks, and no link between components is missed.
 
 Scale: texts are not shuffled, but for those of remaining pairs; a group with
-over ``GROUP`` rows is split into blocks, and pairs of blocks go to separate
-tasks; components are found by contraction in written tables.  The order is a
+over ``GROUP`` rows is split into blocks, by set size where it is large, and
+pairs of blocks whose sizes may link go to separate tasks; components are found by contraction in written tables.  The order is a
 broadcast of ``BUCKETS`` counts.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
@@ -37,12 +37,13 @@ not read.  Sets are compared by 64-bit hashes of their n-grams and classes by
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polytext.llm.common import components, release, ship, stored
@@ -237,14 +238,35 @@ def _groups(rows: DataFrame, percent: int, again: bool) -> DataFrame:
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(walk, "token long, a binary, b binary")
 
 
-def _blocked(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _blocked(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Rows with their pair of blocks (i <= j) and own block; groups (tokens in
-    ``sizes``) of up to ``GROUP`` rows are one block."""
-    large = stored(sizes.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "large-groups")
-    rows = rows.join(large, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("c", "token"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.withColumn("x", other).withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x")).drop("x", "blocks")
+    ``sizes``) of up to ``GROUP`` rows are one block.  A group of over three
+    blocks is cut by set size into zones, so wide that sets of zones that are
+    not neighbours cannot link, and only blocks of one zone or of neighbouring
+    zones are paired."""
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)  # wider than rounding errors
+    zone = F.floor(F.log("n") / width).cast("long")
+    large = stored(sizes.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > GROUP), "large-groups")
+    cells = sizes.withColumn("zone", zone).join(large, "token").groupBy("token", "rows", "zone").agg(F.count(F.lit(1)).alias("own"))
+    cut = F.col("rows") > 3 * GROUP
+    cells = cells.select("token", "zone", cut.alias("cut"), F.ceil(F.when(cut, F.col("own")).otherwise(F.col("rows")) / GROUP).alias("blocks"))
+    by = Window.partitionBy("token").orderBy("zone")  # a group has few zones: they grow with the logarithm of the sizes
+
+    def neighbour(f, step: int):
+        return F.when(F.col("cut") & (f("zone").over(by) == F.col("zone") + step), f("blocks").over(by)).otherwise(F.lit(0))
+
+    cells = stored(cells.select("token", "zone", F.when(F.col("cut"), F.col("zone")).otherwise(F.lit(0)).alias("base"), "blocks",
+                                neighbour(F.lag, -1).alias("below"), neighbour(F.lead, 1).alias("above")), "cells")
+    rows = rows.withColumn("zone", zone).join(cells, ["token", "zone"], "left").fillna({"base": 0, "blocks": 1, "below": 0, "above": 0})
+
+    def names(base, count):
+        first = base * F.lit(1 << 40)
+        return F.when(count > 0, F.sequence(first, first + count - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    base = F.col("base")
+    rows = rows.withColumn("own", base * F.lit(1 << 40) + F.pmod(F.xxhash64("c", "token"), F.col("blocks")))
+    other = F.explode(F.concat(names(base, F.col("blocks")), names(base - 1, F.col("below")), names(base + 1, F.col("above"))))
+    return rows.withColumn("x", other).withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x")).drop("x", "zone", "base", "blocks", "below", "above")
 
 
 def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -331,7 +353,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False)
     rows = stored(rows, "shared")
     full = rows.join(classes.select("c", "first", "sketch"), "c").select("token", "c", "n", "pos", F.slice("first", F.col("pos") + 2, DEPTH).alias("seq"), "sketch")
     full = full.withColumn("comp", F.lit(None).cast("binary"))
-    walked = stored(_groups(_blocked(full, rows), percent, False).distinct(), "pairs")
+    walked = stored(_groups(_blocked(full, rows, percent), percent, False).distinct(), "pairs")
     pairs = walked.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = stored(_checked(docs, classes, pairs, k, percent), "links")
     found = components(linked)
@@ -340,7 +362,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False)
         found = stored(found, "components")
         part = full.drop("comp").join(open_groups, "token", "left_semi").join(found.select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         mixed = part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        more = _groups(_blocked(part.join(mixed, "token", "left_semi"), rows.join(mixed, "token", "left_semi")), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _groups(_blocked(part.join(mixed, "token", "left_semi"), rows.join(mixed, "token", "left_semi"), percent), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         found = components(linked.union(_checked(docs, classes, more, k, percent)))
     named = classes.select("c", "rep").join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))

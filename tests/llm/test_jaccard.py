@@ -105,3 +105,33 @@ def test_walk_keeps_every_pair_that_links():
                 assert all(p < J.prefix_length(len(sets[i]), 90) for p, i in zip(at, (a, b)))
                 bits = np.stack([np.frombuffer(J.sketch(sets[i]), np.uint8) for i in (a, b)])
                 assert J.remaining([len(sets[a]), len(sets[b])], at, [first[i][p + 1:p + 1 + J.DEPTH].tolist() for p, i in zip(at, (a, b))], bits, 90)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_by_size_meet_every_pair_that_may_link_once(spark, monkeypatch, percent):
+    monkeypatch.setattr(J, "GROUP", 3)
+    r = random.Random(5)
+    sizes = [1, 1, 2, 8, 9, 10, 64, 72, 80, 81, 90, 100, 512, 640, 729, 800, 810, 900, 1000, 10**6] + [r.randrange(1, 2000) for _ in range(40)] + [100] * 9
+    rows = [(1, f"{i:03d}".encode(), n) for i, n in enumerate(sizes)] + [(2, f"{i:03d}".encode(), n) for i, n in enumerate(sizes[:7])] + [(3, b"x", 5), (3, b"y", 6)]
+    df = spark.createDataFrame(rows, "token long, c binary, n long")
+    met, seen = {}, {}
+    for x in J._blocked(df, df, percent).collect():
+        seen.setdefault((x["token"], x["i"], x["j"]), []).append((bytes(x["c"]), x["n"], x["own"]))
+    for (token, i, j), own in seen.items():
+        for a in own:
+            for b in own:
+                if a[0] < b[0] and (i == j or a[2] != b[2]):
+                    met[token, a[0], b[0]] = met.get((token, a[0], b[0]), 0) + 1
+    assert set(met.values()) == {1}
+    for t, a, n in rows:
+        for u, b, m in rows:
+            if t == u and a < b and 100 * min(n, m) >= percent * max(n, m):
+                assert (t, a, b) in met
+    assert not any((1, f"{i:03d}".encode(), f"{j:03d}".encode()) in met for i, j in ((0, 19), (3, 6), (6, 12)))
+
+
+def test_large_group_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(J, "GROUP", 4)
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([12, 13, 22, 23, 27, 83, 92, 102, 103, 300, 333, 370, 600, 660, 661, 662, 663, 664, 665, 666, 667])]
+    check(spark, rows, 3, 90)
