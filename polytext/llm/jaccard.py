@@ -15,7 +15,8 @@ sets form a class, which is joined once.
    overlap and the remaining lengths cannot reach what a link needs.  At the
    leaves, the Hamming distance of two parity sketches, a lower bound of the
    symmetric difference, leaves out most of the rest.
-4. What remains is checked exactly on whole sets.  Where a group has many more
+4. What remains is checked exactly on whole sets, which are shuffled once, from
+   the task that reads the text to a set it is compared with.  Where a group has many more
    remaining pairs than sets, only a spanning forest of them is checked first;
    then the group is walked again, and the pairs that still lie in different
    components are checked too.  So a large group of similar texts costs few
@@ -46,9 +47,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polytext.llm.common import components, release, ship, stored
+from polytext.llm.common import components, discard, release, ship, stored
 
-BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, BROADCAST_IDS = 1 << 20, 1 << 12, 8, 512, 512, 200_000
+BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, HEAD, BROADCAST_IDS = 1 << 20, 1 << 12, 8, 512, 512, 512, 200_000
 _WORDS: dict[bytes, int] = {}
 _KEY = "c binary, n long"
 
@@ -269,33 +270,58 @@ def _blocked(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("x", other).withColumn("i", F.least("own", "x")).withColumn("j", F.greatest("own", "x")).drop("x", "zone", "base", "blocks", "below", "above")
 
 
-def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets."""
-    want = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c"), "wanted")
-    if want.count() <= BROADCAST_IDS:
-        want = F.broadcast(want)
+def _checked(docs: DataFrame, classes: DataFrame, ids: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets; stored.  The
+    end of a pair that has more pairs is its hub.  A hub's set is sent once for
+    each ``HEAD`` of its partners, whose sets follow it in a sorted stream, so
+    sets are shuffled once and the task that reads a text sends its set.
+    ``ids`` has the doc_id and c of every row."""
+    ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).groupBy("c").agg(F.count(F.lit(1)).alias("pairs"))
+    ends = stored(ends.join(classes.select("c", F.col("rep").alias("doc_id")), "c"), "wanted")
+    of = [ends.select(F.col("c").alias(x), F.col("pairs").alias(f"of_{x}")) for x in "ab"]
+    first = F.col("of_a") >= F.col("of_b")
+    cut = pairs.join(of[0], "a").join(of[1], "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"),
+        F.ceil(F.greatest("of_a", "of_b") / HEAD).cast("int").alias("parts"))
+    cut = cut.select("hub", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "c", F.lit(1).alias("tail"))
+    sends = stored(cut.union(cut.select("hub", "part", F.col("hub").alias("c"), F.lit(0)).distinct()), "sends")
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:  # of rows that repeat an id, those with another text are left out
-            own = [(c, s) for c, s in zip(p["c"], (shingles(t, k) for t in p["text"])) if digest(s) == c]
-            yield pd.DataFrame({"c": [c for c, _ in own], "s": [s.tobytes() for _, s in own]})
-
-    whole = stored(docs.join(want, "doc_id").select("c", "text").mapInPandas(sets, "c binary, s binary"), "whole-sets")
-    if not whole.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
-        whole = stored(whole.dropDuplicates(["c"]), "whole-sets")
+            for i in range(0, len(p), 256):
+                x = p.iloc[i:i + 256]
+                own = [(c, s) for c, s in zip(x["c"], (shingles(t, k) for t in x["text"])) if digest(s) == c]
+                yield pd.DataFrame({"c": [c for c, _ in own], "s": [s.tobytes() for _, s in own]})
+
+    want = ends.select("c", "doc_id")
+    again = ids.join(small(want), ["c", "doc_id"], "left_semi").groupBy("c").count().where("count > 1")
+    whole = docs.join(small(want), "doc_id").select("c", "text").mapInPandas(sets, "c binary, s binary")
+    copied = [] if again.isEmpty() else [stored(whole, "whole-sets")]
+    if copied:  # rows that repeat an id and its text
+        copied.append(stored(copied[0].dropDuplicates(["c"]), "whole-sets"))
+        whole = copied[1]
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = np.empty(0, np.uint64)
         for p in parts:
             ok = []
-            for x, y in zip(p["sa"], p["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield p.loc[ok, ["a", "b"]]
-
-    with_a = pairs.join(whole.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-    with_b = with_a.join(whole.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInPandas(check, "a binary, b binary")
+            for hub, c, tail, s in zip(p["hub"], p["c"], p["tail"], p["s"]):
+                s = np.frombuffer(s, np.uint64)
+                if not tail:
+                    head = s
+                    continue
+                both = len(np.intersect1d(head, s, assume_unique=True))
+                if 100 * both >= percent * (len(head) + len(s) - both):
+                    ok.append((min(hub, c), max(hub, c)))
+            yield pd.DataFrame(ok, columns=["a", "b"])
+
+    rows = whole.join(small(sends), "c").select("hub", "part", "tail", "c", "s")
+    out = stored(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "tail").mapInPandas(check, "a binary, b binary"), "links")
+    discard(ends, sends, *copied)
+    return out
 
 
 def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False) -> DataFrame:
@@ -327,6 +353,8 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False)
     own = stored(texts.mapInPandas(measured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_KEY}, first array<long>, sketch binary" + "".join(f", {x} long" for x in extra)), "sets")
     classes = stored(own.where("n > 0 and doc_id is not null").groupBy("c").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "classes")
+    ids = stored(own.select("doc_id", "n", "c", *extra), "ids")
+    discard(own)
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     rows = classes.select("c", "n", F.posexplode(F.slice("first", F.lit(1), length.cast("int"))).alias("pos", "token"))
 
@@ -351,24 +379,29 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.select("token", "c", "n", "pos").repartitionByRange(parts, "token", "n", "c").sortWithinPartitions("token", "n", "c").mapInPandas(shared, f"token long, {_KEY}, pos int")
     rows = stored(rows, "shared")
-    full = rows.join(classes.select("c", "first", "sketch"), "c").select("token", "c", "n", "pos", F.slice("first", F.col("pos") + 2, DEPTH).alias("seq"), "sketch")
-    full = full.withColumn("comp", F.lit(None).cast("binary"))
-    walked = stored(_groups(_blocked(full, rows, percent), percent, False).distinct(), "pairs")
+
+    def full(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("c", "first", "sketch"), "c").withColumn("seq", F.slice("first", F.col("pos") + 2, DEPTH)).drop("first")
+
+    walked = stored(_groups(_blocked(full(rows.withColumn("comp", F.lit(None).cast("binary"))), rows, percent), percent, False).distinct(), "pairs")
     pairs = walked.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = stored(_checked(docs, classes, pairs, k, percent), "links")
+    linked = _checked(docs, classes, ids, pairs, k, percent)
     found = components(linked)
     open_groups = walked.where("a is null").select("token").distinct()
     if not open_groups.isEmpty():
         found = stored(found, "components")
-        part = full.drop("comp").join(open_groups, "token", "left_semi").join(found.select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        part = rows.join(open_groups, "token", "left_semi").join(found.select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         mixed = part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        more = _groups(_blocked(part.join(mixed, "token", "left_semi"), rows.join(mixed, "token", "left_semi"), percent), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        found = components(linked.union(_checked(docs, classes, more, k, percent)))
+        part = stored(part.join(mixed, "token", "left_semi"), "mixed-groups")  # only these fetch what the walk reads
+        if not part.isEmpty():
+            more = _groups(_blocked(full(part), part.drop("comp"), percent), percent, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            found = components(linked.union(_checked(docs, classes, ids, more, k, percent)))
     named = classes.select("c", "rep").join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
     named = stored(named.join(least, "root").select("c", "component_id", *["root"] * by_text), "class-ids")
+    discard(classes, rows, walked, least)
     release(spark)
-    out = own.select("doc_id", "n", "c", *extra).join(named, "c", "left")
+    out = ids.join(named, "c", "left")
     more = [*extra, F.col("c").alias("class"), "root"] if by_text else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *more)
