@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from polytext.operators.batching import prefix_sum
-from polytext.operators.layout import spread
+from polytext.operators.layout import split_count, spread
 
 
 def test_spread_is_a_no_op_on_inputs_of_many_files(spark, tmp_path):
@@ -20,6 +20,33 @@ def test_spread_is_a_no_op_on_inputs_of_many_files(spark, tmp_path):
     assert sorted(r.id for r in spread(thin, "id").collect()) == list(range(1000))
 
 
+def test_spread_counts_splits_not_files(spark, tmp_path):
+    target = spark.sparkContext.defaultParallelism * 2
+    path = str(tmp_path / "a few")  # the blank is escaped in the names of files
+    spark.range(0, 200_000, numPartitions=2).write.parquet(path)
+    few = spark.read.parquet(path)
+    assert spread(few) is not few
+    small = max(1, min(p.stat().st_size for p in (tmp_path / "a few").glob("*.parquet")) // target)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(small))
+        assert spread(few) is few
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_split_count_of_whole_files(spark, tmp_path):
+    spark.range(0, 5000, numPartitions=2).selectExpr("cast(id as string) id").write.text(str(tmp_path / "z"), compression="gzip")
+    files = spark.read.text(str(tmp_path / "z")).inputFiles()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10")
+        assert split_count(spark, files, 100) == 2
+        assert split_count(spark, [], 100) == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_spread_runs_no_job(spark):
     left, right = spark.range(0, 1000), spark.range(0, 1000)
     spark.sparkContext.setJobGroup("spread", "spread")
