@@ -58,3 +58,30 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     if table_bytes(small) <= max_broadcast_bytes:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how, salt_by=salt_by, salts=salts)
+
+
+# A bit table has this many bits (8 MB), whatever the keys.
+TABLE_BITS = 1 << 26
+
+
+def _key_hash(on: list[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(bits))
+
+
+def bit_table(small: DataFrame, on: list[str], bits: int = TABLE_BITS) -> DataFrame:
+    """The key hashes of a lookup table as bitmaps (_bucket, _bits): one row of
+    4 KB for each 32,768 bits, so its size is bounded however many keys there are."""
+    h = _key_hash(on, bits)
+    return small.select(F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_at")).groupBy("_bucket").agg(
+        F.bitmap_construct_agg("_at").alias("_bits"))
+
+
+def may_match(big: DataFrame, table: DataFrame, on: list[str], flag: str, bits: int = TABLE_BITS) -> DataFrame:
+    """``big`` with a boolean ``flag``: false where the key is surely not in the
+    lookup table behind ``table`` (a ``bit_table`` of as many bits, its key columns in
+    the same order), true where it is or its hash meets another key's.  No row is shuffled."""
+    h = _key_hash(on, bits)
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = big.withColumn("_bucket", F.bitmap_bucket_number(h)).join(F.broadcast(table), "_bucket", "left")
+    return out.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
