@@ -3,8 +3,8 @@
 and vector-table differences (D12).
 
 A model is any picklable callable ``list[str] -> list[str]`` (optionally
-returning ``(outputs, mean_logprobs)``).  It runs inside ``mapInPandas`` on
-Arrow batches; the callable is built once per task by its factory, not once
+returning ``(outputs, mean_logprobs)``).  It runs inside ``mapInArrow``, on a
+chunk of prompts at a time; the callable is built once per task by its factory, not once
 per batch.  The engine ships a deterministic stub model only.
 """
 
@@ -13,13 +13,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polytext.operators.joins import salted_join
+from polytext.operators.frames import SLICE_BYTES
+from polytext.operators.joins import hot_join
 from polytext.operators.qc import OVERLENGTH_LOGPROB, OVERLENGTH_TOKENS
+from polytext.session import ensure_checkpoint_dir
 
 class ReverseWordsModel:
     """Deterministic stub 'translator': the words of the prompt in reverse
@@ -31,6 +33,40 @@ class ReverseWordsModel:
         return [" ".join(reversed(p.split(" "))) for p in prompts]
 
 
+def _called(model: Callable, chunk: list[str], max_attempts: int) -> tuple[list[str], list[float | None]]:
+    res = None
+    for attempt in range(max_attempts):
+        try:
+            res = model(chunk)
+            break
+        except Exception:  # noqa: BLE001 - retried, then re-raised
+            if attempt + 1 == max_attempts:
+                raise
+            time.sleep(min(2 ** attempt, 30))
+    res, lp = res if isinstance(res, tuple) else (res, [None] * len(chunk))
+    if len(res) != len(chunk):
+        raise RuntimeError(f"model returned {len(res)} outputs for {len(chunk)} inputs")
+    return res, lp
+
+
+def scored_batches(batches: Iterator[pa.RecordBatch], model: Callable, prompt: str, out: str, batch_size: int,
+                   max_attempts: int) -> Iterator[pa.RecordBatch]:
+    """The batches with outputs and log-probs, in slices of about ``SLICE_BYTES`` of outputs."""
+    for b in batches:
+        start, size, outs, probs = 0, 0, [], []
+        for i in range(0, b.num_rows, batch_size):
+            texts = b.column(prompt).slice(i, batch_size)
+            res, lp = _called(model, ["" if x is None else str(x) for x in texts.to_pylist()], max_attempts)
+            outs.extend(res)
+            probs.extend(lp)
+            size += sum(map(len, res))
+            if size >= SLICE_BYTES or i + batch_size >= b.num_rows:
+                own = b.slice(start, len(outs))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(outs, pa.string()), pa.array(probs, pa.float64())],
+                                                 names=[*own.schema.names, out, "hyp_mean_logprob"])
+                start, size, outs, probs = start + len(outs), 0, [], []
+
+
 def score_batches(df: DataFrame, prompt: str, factory: Callable[[], Callable] = ReverseWordsModel,
                   out: str = "hyp_output", batch_size: int = 32, n_tokens: str | None = None,
                   max_tokens: int = OVERLENGTH_TOKENS, max_attempts: int = 1) -> DataFrame:
@@ -45,37 +81,13 @@ def score_batches(df: DataFrame, prompt: str, factory: Callable[[], Callable] =
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField("hyp_mean_logprob", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for pdf in batches:
-            outs: list[str] = []
-            probs: list[float | None] = []
-            texts = pdf[prompt].fillna("").astype(str).tolist()
-            for i in range(0, len(texts), batch_size):
-                chunk = texts[i:i + batch_size]
-                res = None
-                for attempt in range(max_attempts):
-                    try:
-                        res = model(chunk)
-                        break
-                    except Exception:  # noqa: BLE001 - retried, then re-raised
-                        if attempt + 1 == max_attempts:
-                            raise
-                        time.sleep(min(2 ** attempt, 30))
-                if isinstance(res, tuple):
-                    res, lp = res
-                else:
-                    lp = [None] * len(chunk)
-                if len(res) != len(chunk):
-                    raise RuntimeError(f"model returned {len(res)} outputs for {len(chunk)} inputs")
-                outs.extend(res)
-                probs.extend(lp)
-            yield pdf.assign(**{out: outs, "hyp_mean_logprob": probs})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return scored_batches(batches, factory(), prompt, out, batch_size, max_attempts)
 
     if n_tokens is None:
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
     over = F.coalesce(F.col(n_tokens) > max_tokens, F.lit(False))  # an unknown length is sent to the model
-    scored = df.where(~over).mapInPandas(run, schema)
+    scored = df.where(~over).mapInArrow(run, schema)
     skipped = df.where(over).select("*", F.lit("").alias(out), F.lit(OVERLENGTH_LOGPROB).alias("hyp_mean_logprob"))
     return scored.unionByName(skipped)
 
@@ -106,8 +118,8 @@ def hyp_cache_reuse(requests: DataFrame, cache: DataFrame, keys: list[str], prom
     todo = asked.select(*keys).distinct() if prompt in keys else asked.groupBy(*keys).agg(F.min(prompt).alias(prompt))
     new = score_batches(todo.join(known.select(*keys), keys, "left_anti"), prompt, factory, out=out)
     known = known.unionByName(new.select(*known.columns))
-    # a sentence that many requests share is a hot key: salted join
-    found = salted_join(asked, known, keys, "inner", salt_by=F.struct(*requests.columns))
+    # a sentence that many requests share is a hot key
+    found = hot_join(asked, known, keys, "inner", salt_by=F.struct(*requests.columns))
     alone = score_batches(requests.where(null_key), prompt, factory, out=out)
     return found.select(*requests.columns, out).unionByName(alone.select(*requests.columns, out))
 
@@ -125,10 +137,10 @@ def translate_with_cache(requests: DataFrame, path: str, corpus: str, run: str,
     r = requests.select("*", F.coalesce(src, F.lit("")).alias("cache_src"), F.coalesce(tgt, F.lit("")).alias("cache_tgt"),
                         F.sha2(F.coalesce(segm, F.lit("")).cast("binary"), 256).alias("digest"))
     cache = read_hyp_cache(spark, path, corpus)
-    todo = r.groupBy(*keys).agg(F.min(F.coalesce(segm, F.lit(""))).alias("segm")).join(cache, keys, "left_anti")
+    todo = r.select(*keys, F.coalesce(segm, F.lit("")).alias("segm")).join(cache.select(*keys), keys, "left_anti").distinct()
     upsert_hyp_cache(score_batches(todo, "segm", factory, out="hyp").select(*keys, "hyp"), path, corpus, run)
     known = read_hyp_cache(spark, path, corpus).groupBy(*keys).agg(F.min("hyp").alias(out))
-    found = salted_join(r, known, keys, "left", salt_by=F.struct(*requests.columns))
+    found = hot_join(r, known, keys, "left", salt_by=F.struct(*requests.columns))
     return found.select(*requests.columns, out)
 
 
@@ -139,12 +151,20 @@ def memo_translate_fill(tuples: DataFrame, missing: DataFrame, key_rank: Column,
     missing language the last source in key order wins.  ``missing`` is the
     output of D7 (tuple_id, src, tgt, sentence); returns (tuple_id, key,
     value) rows to add to the tuples."""
-    todo = missing.select("src", "tgt", "sentence").distinct()
-    done = score_batches(todo, "sentence", factory, out="translation").drop("hyp_mean_logprob")
-    # a sentence shared by many tuples is a hot key: salted join
-    back = salted_join(missing, done, ["src", "tgt", "sentence"], "inner", salt_by=F.col("tuple_id"))
-    return back.groupBy("tuple_id", F.col("tgt").alias("key")).agg(
-        F.max_by("translation", key_rank).alias("value"))
+    ensure_checkpoint_dir(missing.sparkSession)
+    digest = F.unhex(F.sha2(F.col("sentence").cast("binary"), 256))
+    known = missing.where(F.col("src").isNotNull() & F.col("tgt").isNotNull() & F.col("sentence").isNotNull())
+    # who needs what is settled on digests; a sentence is moved once to its languages, a translation once to the tuples
+    asks = known.select("tuple_id", "src", "tgt", key_rank.alias("_rank"), digest.alias("_d")).checkpoint(eager=True)
+    keys = ["src", "tgt", "_d"]
+    last = asks.groupBy("tuple_id", "tgt").agg(F.max_by(F.struct("src", "_d"), "_rank").alias("_x")).select(
+        "tuple_id", "tgt", "_x.src", "_x._d").checkpoint(eager=True)
+    todo = asks.select(*keys).distinct().join(last.select(*keys).distinct().withColumn("_used", F.lit(True)), keys, "left")
+    sentences = known.select("sentence").distinct().select(digest.alias("_d"), "sentence")
+    done = score_batches(sentences.join(todo, "_d"), "sentence", factory, out="translation")
+    done = done.where("_used").select(*keys, "translation")
+    back = hot_join(last, done, keys, "left", salt_by=F.col("tuple_id"))
+    return back.select("tuple_id", F.col("tgt").alias("key"), F.col("translation").alias("value"))
 
 
 def sequence_mean_logprob(logits: DataFrame, start: int) -> DataFrame:
