@@ -47,9 +47,9 @@ from pyspark.sql import functions as F
 from polytext.llm.common import ship, stored
 from polytext.operators.joins import lookup_join
 
-DEPTH, BUDGET, BLOCK, LOOKUP = 3, 1 << 22, 1 << 22, 8 << 20
+DEPTH, BUDGET, BLOCK, LOOKUP = 3, 1 << 20, 1 << 20, 8 << 20
 #: Suffixes of a chunk (words counted together in a task), and of one block sent.
-CHUNK, SENT = 1 << 22, 1 << 14
+CHUNK, SENT = 1 << 20, 1 << 14
 _BITS = 21
 #: Bytes: A-Z to a-z, separators of pieces to a line feed, tab to space.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -103,3 +103,15 @@ def test_products_beyond_64_bits(spark):
     big = 3 * 10**12
     df = spark.createDataFrame([(big, big + 1, big + 7)], "a long, l long, r long")
     assert df.select(P._score("a", "l", "r")).first()[0] == 10**6 * big * big // ((big + 1) * (big + 7))
+
+
+def test_a_task_counts_a_million_words_at_once():
+    """Six tasks share an executor; larger chunks took more than its memory."""
+    import pandas as pd
+
+    from polytext.llm import phrases
+
+    parts = iter([pd.DataFrame({"lang": ["en"] * 30, "text": ["a b c d " * 25_000] * 30})])
+    sizes = [len(own) for _, held in phrases.chunks(parts, phrases.CHUNK) for own in held.values()]
+    assert len(sizes) > 1 and max(sizes) <= (1 << 20) + 100_001
+    assert phrases.BUDGET <= 1 << 20
