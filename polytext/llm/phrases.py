@@ -5,13 +5,16 @@ these into words ``[^\\x20\\x09]+``; all counts are per language.  A phrase of 2
 or 3 words that occurs ``least`` times or more is a candidate; of its cuts into
 two parts the one with the lowest score floor(10^6 a a / (l r)) counts.
 
-1. Prefixes: one scan counts the words of every language.  With these counts
-   the suffixes (one for each word, cut after ``DEPTH`` = 3 words, at the end of
+1. Prefixes: one scan counts the words of every language.  A word that occurs
+   less than ``least`` times is in no candidate, so it ends a piece from here
+   on; a bitmap of ``BITS`` bits (8 MB, whatever the vocabulary) tells these
+   words, and one that shares its bit with a frequent word is kept.  With the
+   counts the suffixes (one for each word, cut after ``DEPTH`` = 3 words, at the end of
    the piece if that is earlier) are divided by their prefix into groups that
    hold about ``budget`` suffixes: a word is a prefix unless it has more than
    the budget itself; then its two-word prefixes are dealt to the groups.
 2. Subtrees: a second scan sends to each group its distinct truncated suffixes
-   with their counts, as blocks.  A group sorts and merges the blocks as they
+   of two words or more with their counts, as blocks.  A group sorts and merges the blocks as they
    arrive, so a task holds one group's distinct suffixes; that sorted table is
    the group's subtree in flat form.  No group needs another one.
 3. Counts: the total of a leaf is the count of its three words, the total of
@@ -47,9 +50,9 @@ from pyspark.sql import functions as F
 from polytext.llm.common import ship, stored
 from polytext.operators.joins import lookup_join
 
-DEPTH, BUDGET, BLOCK, LOOKUP = 3, 1 << 20, 1 << 20, 8 << 20
+DEPTH, BUDGET, BLOCK, LOOKUP, BITS = 3, 1 << 19, 1 << 20, 8 << 20, 1 << 26
 #: Suffixes of a chunk (words counted together in a task), and of one block sent.
-CHUNK, SENT = 1 << 20, 1 << 14
+CHUNK, SENT = 1 << 18, 1 << 14
 _BITS = 21
 #: Bytes: A-Z to a-z, separators of pieces to a line feed, tab to space.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -175,6 +178,24 @@ def vocabulary(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     return (out, seed) if shared.isEmpty() else vocabulary(docs, seed + 1)
 
 
+def often(vocab: DataFrame, least: int, bits: int) -> np.ndarray:
+    """A bitmap of the hashes of the words that occur ``least`` times or more."""
+    at = F.pmod("h", F.lit(bits))
+    rows = vocab.where(F.col("f") >= least).select(F.floor(at / 32768).alias("b"), (at % 32768).alias("at"))
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for b, x in rows.groupBy("b").agg(F.bitmap_construct_agg("at")).collect():  # bits / 8 bytes in all
+        out[b] = np.frombuffer(x, np.uint8)
+    return out.reshape(-1)
+
+
+def frequent_only(own: np.ndarray, h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Codes with an end of a piece in place of every word that is not in the bitmap."""
+    at = (h.view(np.int64) % (8 * len(table))).astype(np.int64)
+    kept = table[at >> 3] >> (at & 7).astype(np.uint8) & 1
+    kept[[_END, _NONE]] = 0
+    return np.where(kept[own] == 1, own, np.int32(_END))
+
+
 def counts(docs: DataFrame, vocab: DataFrame, seed: int, least: int, budget: int) -> DataFrame:
     """lang, h1, h2, h3 (0: two words), a of every phrase that occurs ``least``
     times or more."""
@@ -185,12 +206,15 @@ def counts(docs: DataFrame, vocab: DataFrame, seed: int, least: int, budget: int
     for r in vocab.where(F.col("f") > budget).select("lang", "h").collect():  # at most total / budget words
         frequent.setdefault(r["lang"], []).append(r["h"] % (1 << 64))
     frequent = {x: np.array(sorted(v), np.uint64) for x, v in frequent.items()}
+    table = spark.sparkContext.broadcast(often(vocab, least, BITS))
 
     def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for words, held in chunks(parts, CHUNK):
             h = hashed(words, seed)
             for lang, own in held.items():
-                at, n = suffixes(own, len(words))
+                at, n = suffixes(frequent_only(own, h, table.value), len(words))
+                two = at[:, 1] != _END  # a word alone is in no phrase
+                at, n = at[two], n[two]
                 rows = np.empty(len(n), ENTRY)
                 rows["h"], rows["n"] = h[at], n
                 by = mixed(rows["h"][:, 0] + hashed([b"", b"", lang.encode()], 0)[2])
@@ -200,9 +224,10 @@ def counts(docs: DataFrame, vocab: DataFrame, seed: int, least: int, budget: int
                 order = np.argsort(group, kind="stable")
                 rows, group = rows[order], group[order]
                 cut = [*(np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []), len(group)]
-                sent = [(int(group[s]), rows[i:min(i + SENT, e)].tobytes()) for s, e in zip(cut, cut[1:]) for i in range(s, e, SENT)]
-                for i in range(0, len(sent), 64):
-                    yield pd.DataFrame(sent[i:i + 64], columns=["g", "rows"]).assign(lang=lang)[["g", "lang", "rows"]]
+                sent = [(s, i, min(i + SENT, e)) for s, e in zip(cut, cut[1:]) for i in range(s, e, SENT)]
+                for i in range(0, len(sent), 256):  # bytes are made as they leave
+                    part = sent[i:i + 256]
+                    yield pd.DataFrame({"g": [int(group[s]) for s, _, _ in part], "lang": lang, "rows": [rows[x:y].tobytes() for _, x, y in part]})
 
     def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(lang: str, held: list[np.ndarray]) -> Iterator[pd.DataFrame]:

@@ -115,3 +115,18 @@ def test_a_task_counts_a_million_words_at_once():
     sizes = [len(own) for _, held in phrases.chunks(parts, phrases.CHUNK) for own in held.values()]
     assert len(sizes) > 1 and max(sizes) <= (1 << 20) + 100_001
     assert phrases.BUDGET <= 1 << 20
+
+
+def test_a_task_holds_a_quarter_million_words_and_sends_no_rare_ones(spark, monkeypatch):
+    """Two tasks and the JVM share 3,000 MB of an executor."""
+    assert P.CHUNK <= 1 << 18 and P.BUDGET <= 1 << 19
+    monkeypatch.setattr(P, "BITS", 1 << 15)  # one row of the bitmap
+    df = spark.createDataFrame([("en", f"p q r{i} p q") for i in range(20)], "lang string, text string")
+    vocab, seed = P.vocabulary(df)
+    table = P.often(vocab, 10, 1 << 20)
+    words, held = next(P.chunks(iter([df.toPandas()]), 1 << 20))
+    sent = [words[c] for c in P.frequent_only(held["en"], P.hashed(words, seed), table)]
+    assert set(sent) == {b"\n", b"p", b"q"} and sent.count(b"p") == 40
+    assert int(np.unpackbits(table).sum()) == 2
+    got = sorted(map(tuple, P.mine(df).collect()))
+    assert got == sorted(brute([tuple(r) for r in df.collect()], 10)) and [r[2] for r in got] == ["p q"]
