@@ -91,6 +91,37 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
 
 
+def wide(s: np.ndarray) -> bytes:
+    """Parity of the hashes in each of so many cells (a power of two, 4 to 8 for
+    each hash, 512 at least) that even large sets which don't link are told apart."""
+    cells = 1 << max(9, (4 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only for sets that don't link, by their ``wide`` sketches and sizes;
+    the sketch with more cells is folded to the size of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    a = np.frombuffer(x, np.uint8)
+    while len(a) > len(y):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    apart = int(np.bitwise_count(a ^ np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+    return (n + m - apart) // 2 >= needed(n, m, percent)
+
+
+def narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches (c, n, w) don't tell apart."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            ok = [may_link(*r, percent) for r in zip(p["x"], p["y"], p["n"].tolist(), p["m"].tolist())]
+            yield p.loc[np.array(ok, bool), ["a", "b"]]
+
+    of = [sketches.select(F.col("c").alias(c), F.col("w").alias(w), F.col("n").alias(n)) for c, w, n in (("a", "x", "n"), ("b", "y", "m"))]
+    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a binary, b binary")
+
+
 def needed(a: int, b: int, percent: int) -> int:
     """Least intersection with which sets of these sizes link."""
     return -(-percent * (a + b) // (100 + percent))

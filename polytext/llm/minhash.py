@@ -14,14 +14,16 @@ form a class, which is compared once.
    probability that it reaches the threshold falls below ``MISS``; then by a
    parity sketch (``CELLS`` bits), whose Hamming distance is a lower bound of the
    symmetric difference and so prunes no pair that links.
-4. Every survivor is checked exactly on whole sets.
+4. Every survivor is checked exactly on whole sets, but for those that a parity
+   sketch as wide as the set asks for (a sixteenth of its bytes) tells apart.
 
 Which survivors are checked first: each class with the class of a similar size
 that leads most of its bands; then, in ``ROUNDS`` rounds, each with its
 ``NEAREST`` candidates by matches that lie in other components; then all that
 are still in different components.  Pairs inside a component need no check, so
 a large group of similar texts costs few checks, and none that could join two
-components is left out.
+components is left out.  A band of which a round took every survivor has none
+left to check, so later rounds read only the bands where a class had more.
 
 Scale: texts are not shuffled, but for those of classes that share a band; rows
 of a band that nobody shares leave first; a band with over ``GROUP`` classes is
@@ -48,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polytext.llm.common import components, release, ship, stored
-from polytext.llm.jaccard import digest, shingles
+from polytext.llm.jaccard import digest, narrowed, shingles, wide
 from polytext.operators.joins import lookup_join
 
 BANDS, WIDTH, BATCH, MISS, CELLS = 40, 5, 40, 1e-5, 1024
@@ -124,16 +126,16 @@ def survivors(sig: np.ndarray, own: np.ndarray, at: np.ndarray, limits: list[tup
     return at, matches
 
 
-def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, bits: np.ndarray, side: np.ndarray | None, percent: int, limits: list[tuple[int, int]], most: int | None) -> list[tuple[int, int]]:
+def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, bits: np.ndarray, side: np.ndarray | None, percent: int, limits: list[tuple[int, int]], most: int | None) -> tuple[list[tuple[int, int]], bool]:
     """Pairs (i, j) of a band's classes in different components that survive;
-    with ``most`` only the best of each i.  The largest component's classes are
-    met from the others' side."""
+    with ``most`` only the best of each i, and whether some had more.  The
+    largest component's classes are met from the others' side."""
     order = np.argsort(n, kind="stable")
     n, comp, sig, bits = n[order], comp[order], np.ascontiguousarray(sig[order].T), bits[order]
     side = None if side is None else side[order]
     ids, count = np.unique(comp, return_counts=True)
     main = comp == ids[count.argmax()] if count.max() > 1 else np.zeros(len(n), bool)
-    out = []
+    out, cut = [], False
     for i in np.flatnonzero(~main):
         first, end = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, "right")
         at = np.arange(first, end)
@@ -144,9 +146,9 @@ def nearest(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, bits: np.ndarray,
         keep = reachable(bits[at], bits[i], n[at], n[i], percent)
         at, matches = at[keep], matches[keep]
         if most is not None and len(at) > most:
-            at = at[np.argsort(-matches, kind="stable")[:most]]
+            at, cut = at[np.argsort(-matches, kind="stable")[:most]], True
         out += [(int(order[i]), int(order[j])) for j in at]
-    return out
+    return out, cut
 
 
 def shared(rows: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -199,19 +201,20 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets.  A set ``a`` is sent once
     for each ``HEAD`` of its partners, which follow it in a sorted stream."""
+    pairs = stored(narrowed(pairs, whole, percent), "narrowed")
     of = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD).cast("int").alias("heads"))
     cut = lookup_join(pairs, of, ["a"], salt_by=F.col("b"), max_broadcast_bytes=LOOKUP).select("a", "b", F.pmod(F.xxhash64("b"), F.col("heads")).cast("int").alias("part"))
-    tails = cut.join(whole.select(F.col("c").alias("b"), "s"), "b").select("a", "part", "b", "s")
-    heads = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("heads") - 1))).join(whole.select(F.col("c").alias("a"), "s"), "a")
-    rows = tails.union(heads.select("a", "part", F.lit(None).cast("binary"), "s"))
+    sends = cut.select("a", "part", F.col("b").alias("c"), F.lit(1).alias("tail"))
+    sends = sends.union(of.select("a", F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("part"), F.col("a").alias("c"), F.lit(0)))
+    rows = sends.join(whole.select("c", "s"), "c")
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = np.empty(0, np.uint64)
         for p in parts:
             ok = []
-            for a, b, s in zip(p["a"], p["b"], p["s"]):
+            for a, b, tail, s in zip(p["a"], p["c"], p["tail"], p["s"]):
                 s = np.frombuffer(s, np.uint64)
-                if b is None:
+                if not tail:
                     head = s
                     continue
                 both = len(np.intersect1d(head, s, assume_unique=True))
@@ -220,12 +223,13 @@ def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             if ok:
                 yield pd.DataFrame(ok, columns=["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInPandas(check, "a binary, b binary")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "tail").mapInPandas(check, "a binary, b binary")
 
 
 def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b) of classes that share a band, lie in different components
-    and survive; with ``most`` the nearest of each class in a band."""
+    and survive; with ``most`` the nearest of each class in a band.  A row
+    with a key and no pair marks a band in which some class had more; stored."""
     limits = bounds(percent)
     roots = found.select(F.col("node").alias("c"), F.col("root").alias("comp"))
     rows = rows.select("key", "n", "c").join(roots, "c", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "c")))
@@ -240,7 +244,8 @@ def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int
             side = p["own"].to_numpy() if p["i"].iloc[0] != p["j"].iloc[0] else None
             sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(len(p), -1)
             c = p["c"].tolist()
-            return [(c[x], c[y]) for x, y in nearest(p["n"].to_numpy(), p["comp"].to_numpy(), sig[:, :BANDS * WIDTH], sig[:, BANDS * WIDTH:], side, percent, limits, most)]
+            got, cut = nearest(p["n"].to_numpy(), p["comp"].to_numpy(), sig[:, :BANDS * WIDTH], sig[:, BANDS * WIDTH:], side, percent, limits, most)
+            return [(None, min(c[x], c[y]), max(c[x], c[y])) for x, y in got] + [(int(p["key"].iloc[0]), None, None)] * cut
 
         left: list[pd.DataFrame] = []
         for p in chain(parts, [None]):  # a band's block may span several frames
@@ -259,10 +264,9 @@ def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int
             got = [x for s, e in zip(starts, starts[1:]) if e - s > 1 for x in done(rows.iloc[s:e])]
             left = [rows.iloc[starts[-1]:]]
             for i in range(0, len(got), 100_000):
-                yield pd.DataFrame(got[i:i + 100_000], columns=["a", "b"])
+                yield pd.DataFrame({"key": pd.array([x[0] for x in got[i:i + 100_000]], "Int64"), **{n: [x[d] for x in got[i:i + 100_000]] for n, d in (("a", 1), ("b", 2))}})
 
-    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(walk, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(walk, "key long, a binary, b binary").distinct(), "walked")
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -294,9 +298,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         for p in frames:
             for i in range(0, len(p), 256):
                 x = p.iloc[i:i + 256]
-                yield pd.DataFrame({"c": x["c"], "s": [shingles(text, k).tobytes() for text in x["text"]]})
+                own = [shingles(text, k) for text in x["text"]]
+                yield pd.DataFrame({"c": x["c"], "n": [len(s) for s in own], "s": [s.tobytes() for s in own], "w": [wide(s) for s in own]})
 
-    whole = stored(lookup_join(docs, met.select("doc_id", "t", "c"), ["doc_id", "t"], salt_by=F.col("t"), max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c binary, s binary"), "whole-sets")
+    whole = stored(lookup_join(docs, met.select("doc_id", "t", "c"), ["doc_id", "t"], salt_by=F.col("t"), max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c binary, n long, s binary, w binary"), "whole-sets")
     if not whole.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
         whole = stored(whole.dropDuplicates(["c"]), "whole-sets")
 
@@ -305,17 +310,17 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     links = stored(linked(tested, whole, percent), "links")
     found = stored(components(links), "components")
     for most in [*[NEAREST] * ROUNDS, None]:
-        more = stored(crossing(rows, met, found, percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if most is None:
-                break
-            continue
+        walked = crossing(rows, met, found, percent, most)
+        more = stored(walked.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(more)
-        new = stored(linked(more, whole, percent), "links")
-        if new.isEmpty():
-            continue
-        links = links.union(new)
-        found = stored(components(links), "components")
+        new = stored(linked(more, whole, percent), "links") if not more.isEmpty() else more
+        if not new.isEmpty():
+            links = links.union(new)
+            found = stored(components(links), "components")
+        left = walked.where("key is not null").select("key").distinct()
+        if left.isEmpty():  # every survivor was checked
+            break
+        rows = stored(lookup_join(rows, left, ["key"], "left_semi", salt_by=F.col("c"), max_broadcast_bytes=LOOKUP), "open-bands")
 
     named = classes.select("c", F.col("rep.doc_id").alias("rep")).join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")

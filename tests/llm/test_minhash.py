@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from polytext.llm import jaccard as J
 from polytext.llm import minhash as M
 from test_jaccard import brute, near_copies
 
@@ -84,3 +85,35 @@ def test_parity_never_prunes_a_pair_that_links():
         both = len(np.intersect1d(x, y))
         if 100 * both >= 80 * (len(x) + len(y) - both):
             assert M.reachable(M.parity(x)[None], M.parity(y)[None], np.array([len(x)]), np.array([len(y)]), 80).all()
+
+
+def test_wide_sketches_prune_large_sets_and_no_pair_that_links():
+    """The sketch of 1,024 cells is full for sets like these and tells none apart."""
+    r, apart = np.random.default_rng(9), 0
+    for share in (0.99, 0.95, 0.9, 0.85):
+        for n in (1, 700, 5000, 9000):
+            base = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            x = np.unique(base)
+            y = np.unique(np.concatenate([np.where(r.random(n) < share, base, r.integers(0, 1 << 63, n, dtype=np.uint64)), r.integers(0, 1 << 63, n // 50, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            links = 100 * both >= 80 * (len(x) + len(y) - both)
+            may = J.may_link(J.wide(x), J.wide(y), len(x), len(y), 80)
+            assert may or not links
+            apart += n >= 5000 and not may and M.reachable(M.parity(x)[None], M.parity(y)[None], np.array([len(x)]), np.array([len(y)]), 80).all()
+    assert apart >= 2
+
+
+def test_a_band_is_walked_again_only_if_a_class_had_more(monkeypatch):
+    n, comp = np.full(6, 50), np.arange(6)
+    sig, bits = np.zeros((6, M.BANDS * M.WIDTH), np.uint8), np.zeros((6, M.CELLS // 8), np.uint8)
+    few, cut = M.nearest(n, comp, sig, bits, None, 80, M.bounds(80), 3)
+    assert cut and len(few) < 15
+    every, cut = M.nearest(n, comp, sig, bits, None, 80, M.bounds(80), 5)
+    assert not cut and len(every) == 15
+
+
+def test_many_near_copies_take_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "NEAREST", 1)
+    rows = near_copies(11, 2, 25, 60, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r)[:3] for r in M.near_duplicates(df).collect()), key=str) == brute(rows, 2, 80)
