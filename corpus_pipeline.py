@@ -29,6 +29,7 @@ from polytext.llm import decontam, jaccard, pieces, pii
 from polytext.llm import quality as classifier
 from polytext.llm.common import read, ship, stored
 from polytext.llm.queries import tokenizer
+from polytext.operators.joins import MAX_BROADCAST_BYTES, bit_table, may_match, table_bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +37,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(classifier.score(F.col("text"), trees) >= classifier.KEEP)
 
 
+def without(docs: DataFrame, gone: DataFrame, on: list[str], most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``gone``.  No text is shuffled where
+    the keys fit a broadcast of ``most`` bytes (measured); beyond it a bit table
+    lets only rows whose key may be there through to the shuffled join."""
+    if table_bytes(gone) <= most:
+        return docs.join(F.broadcast(gone), on, "left_anti").select(docs.columns)
+    flagged = may_match(docs, bit_table(gone, on), on, "_may")
+    return flagged.where(~F.col("_may")).select(docs.columns).unionByName(
+        flagged.where("_may").join(gone, on, "left_anti").select(docs.columns))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = stored(jaccard.link(docs, k=5, percent=80, by_text=True).where("n_shingles > 0 and doc_id is not null").withColumn("text_key", F.struct("class", "text_hash")), "linked")
     gone = rows.where("component_id <> doc_id").select("doc_id", "text_hash")
@@ -45,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         least = rows.where("component_id = doc_id")
         tied = least.groupBy("root").agg(F.min("text_key").alias("_first"), F.max("text_key").alias("_last")).where("_first <> _last")
         gone = gone.union(least.join(tied, "root").where("text_key <> _first").select("doc_id", "text_hash"))
-    kept = docs.join(gone.distinct().withColumnRenamed("text_hash", "_text"), ["doc_id", "_text"], "left_anti").select(docs.columns)
+    kept = without(docs, gone.distinct().withColumnRenamed("text_hash", "_text"), ["doc_id", "_text"])
     if repeated:
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]))
     return kept.drop("_text")

@@ -8,7 +8,8 @@ sets form a class, which is joined once.
    documents); rare buckets come first, then the hash.
 2. Two sets that link share an n-gram among the first ``n - ceil(t n) + 1`` of
    each (n: set size, t: threshold).  A row for each of these goes to the
-   n-gram's group; rows without a partner of a similar size are dropped.
+   n-gram's group; rows without a partner that may link, by the sizes and the
+   n-grams left behind this one, are dropped.
 3. In a group, each set's further n-grams (``DEPTH`` at most) are put into a
    trie, smaller sets first.  A set is matched by walking the trie: sets below
    a node share the overlap counted so far, and a subtree is left out when the
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 
 from polytext.llm.common import components, discard, release, ship, stored
 
-BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, HEAD, BROADCAST_IDS = 1 << 20, 1 << 12, 8, 512, 512, 512, 200_000
+BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, HEAD, BROADCAST_IDS, NEAR = 1 << 20, 1 << 12, 8, 512, 512, 512, 200_000, 64
 _WORDS: dict[bytes, int] = {}
 _KEY = "c binary, n long"
 
@@ -355,6 +356,36 @@ def _checked(docs: DataFrame, classes: DataFrame, ids: DataFrame, pairs: DataFra
     return out
 
 
+def shared(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Rows (token, c, n, pos), sorted by n-gram and size, that may link with
+    another of their n-gram, by their sizes and the n-grams left from ``pos`` on
+    (two sets that link meet at the first n-gram they share).  All rows of a
+    group of over ``NEAR`` stay, and those of a partition's first and last, as
+    parts of them aren't seen."""
+    left, whole = None, None  # rows of a group that may go on; the n-gram whose rows all stay
+    for p in chain(parts, [None]):
+        end = p is None
+        p = left if end else p if left is None else pd.concat([left, p], ignore_index=True)
+        if p is None or not len(p):
+            continue
+        t, n = p["token"].to_numpy(), p["n"].to_numpy()
+        rest = n - p["pos"].to_numpy()
+        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        sizes = np.diff(np.append(starts, len(t)))
+        whole = t[0] if whole is None else whole
+        keep = (np.repeat(sizes, sizes) > NEAR) | (t == whole) | (end & (t == t[-1]))
+        for d in range(1, min(NEAR, int(sizes.max()))):
+            at = np.flatnonzero(t[d:] == t[:-d])
+            x, y = n[at], n[at + d]
+            ok = at[(100 * x >= percent * y) & (np.minimum(rest[at], rest[at + d]) >= -(-percent * (x + y) // (100 + percent)))]
+            keep[ok] = keep[ok + d] = True
+        stay = len(p) if end else int(starts[-1])
+        if not end and sizes[-1] > NEAR:
+            whole, stay = t[-1], len(p)
+        yield p.iloc[:stay].loc[keep[:stay], ["token", "c", "n", "pos"]]
+        left = p.iloc[stay:]
+
+
 def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of
     every row of ``docs`` (doc_id, text).  ``by_text`` adds, where ids may repeat,
@@ -389,26 +420,8 @@ def link(docs: DataFrame, k: int = 3, percent: int = 90, by_text: bool = False)
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     rows = classes.select("c", "n", F.posexplode(F.slice("first", F.lit(1), length.cast("int"))).alias("pos", "token"))
 
-    def shared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows whose n-gram the row before or after has too, with a size that may
-        link (smaller sets come first, so the neighbours are the nearest in
-        size).  The first and the last row of a partition stay, as their
-        neighbours aren't seen."""
-        last = None
-        for p in parts:
-            p = p if last is None else pd.concat([last, p], ignore_index=True)
-            t, n = p["token"].to_numpy(), p["n"].to_numpy()
-            same = (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            keep = np.append(last is None or bool(last["_keep"].iloc[0]), same) | np.append(same, False)
-            p = p.assign(_keep=keep)
-            last = p.iloc[-1:]
-            p = p.iloc[:-1]
-            yield p.loc[p["_keep"].to_numpy(bool), ["token", "c", "n", "pos"]]
-        if last is not None:
-            yield last[["token", "c", "n", "pos"]]
-
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select("token", "c", "n", "pos").repartitionByRange(parts, "token", "n", "c").sortWithinPartitions("token", "n", "c").mapInPandas(shared, f"token long, {_KEY}, pos int")
+    rows = rows.select("token", "c", "n", "pos").repartitionByRange(parts, "token", "n", "c").sortWithinPartitions("token", "n", "c").mapInPandas(lambda frames: shared(frames, percent), f"token long, {_KEY}, pos int")
     rows = stored(rows, "shared")
 
     def full(rows: DataFrame) -> DataFrame:

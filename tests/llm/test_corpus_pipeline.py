@@ -72,3 +72,26 @@ def test_very_long_texts_pass_quality_and_tokens(spark):
     assert P.quality(spark, docs, SF001).columns == docs.columns
     got = {r["doc_id"]: r["n_tokens"] for r in P.tokens(spark, docs, SF001).select("doc_id", "n_tokens").collect()}
     assert len(got) == 8 and got[7] == got[8] == 0 and min(got[i] for i in range(6)) > 200_000
+
+
+def test_texts_are_not_shuffled_to_leave_near_duplicates_out(spark):
+    rows = [(i, f"{i % 3} " + " ".join(f"w{j}" for j in range(30)), "en", "x", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the keys passed it
+    try:
+        kept = P.near_duplicates(spark, docs, SF001)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_rows_are_left_out_by_broadcast_and_by_bit_table(spark):
+    docs = spark.createDataFrame([(i % 40 if i % 7 else None, i % 3, f"t{i}") for i in range(200)], "doc_id long, _text long, text string")
+    gone = spark.createDataFrame([(i, i % 3) for i in range(0, 40, 2)], "doc_id long, _text long")
+    out = {(i, i % 3) for i in range(0, 40, 2)}
+    want = sorted(tuple(r) for r in docs.collect() if (r.doc_id, r._text) not in out and r.doc_id is not None)
+    for most in (1 << 20, 0):
+        got = [tuple(r) for r in P.without(docs, gone, ["doc_id", "_text"], most).collect()]
+        assert sorted(r for r in got if r[0] is not None) == want and len(got) == len(want) + 29

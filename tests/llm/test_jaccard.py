@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from polytext.llm import jaccard as J
@@ -135,3 +137,17 @@ def test_large_group_of_many_sizes(spark, monkeypatch):
     words = [f"w{i}" for i in range(700)]
     rows = [(i, " ".join(words[:n])) for i, n in enumerate([12, 13, 22, 23, 27, 83, 92, 102, 103, 300, 333, 370, 600, 660, 661, 662, 663, 664, 665, 666, 667])]
     check(spark, rows, 3, 90)
+
+
+@pytest.mark.parametrize("frame", [7, 1000])
+def test_rows_whose_later_n_grams_cannot_link_are_dropped(frame):
+    """Sizes alone let them stay: two sets of 100 that first meet at their 16th n-gram share 85 at most."""
+    r = np.random.default_rng(3)
+    rows = [(1, b"first", 50, 0)] + [(2, b"a", 100, 15), (2, b"b", 100, 15)] + [(3, b"c", 100, 3), (3, b"d", 101, 4)]
+    rows += [(t, b"%d" % i, int(r.integers(50, 200)), int(r.integers(0, 30))) for i, t in enumerate(r.integers(4, 40, 150))]
+    rows += [(50, b"%d" % i, 90, 17) for i in range(J.NEAR + 5)] + [(60, b"last", 10, 0)]
+    p = pd.DataFrame(rows, columns=["token", "c", "n", "pos"]).sort_values(["token", "n", "c"], ignore_index=True)
+    got = {(x.token, x.c, x.n, x.pos) for q in J.shared((p.iloc[i:i + frame] for i in range(0, len(p), frame)), 80) for x in q.itertuples()}
+    meet = {x for x in rows for y in rows if x != y and x[0] == y[0] and min(x[2] - x[3], y[2] - y[3]) >= J.needed(x[2], y[2], 80)}
+    assert got == meet | {x for x in rows if x[0] in (1, 50, 60)}
+    assert (2, b"a", 100, 15) not in got and (3, b"c", 100, 3) in got
