@@ -50,6 +50,17 @@ def test_sources_are_added_and_replaced_as_a_whole(spark, tmp_path):
     assert rows() == [("a", 0, "1", "one"), ("a", 1, "2", "two"), ("b", 0, "4", "three"), ("b", 1, "5", "")]
 
 
+def test_both_directions_of_two_files_are_zipped_once(spark, tmp_path):
+    (tmp_path / "a.et").write_text(" 1\n2\n\n4\n")
+    (tmp_path / "a.en").write_text("one\ntwo \n")
+    et, en = f"{tmp_path}/a.et", f"{tmp_path}/a.en"
+    t = FS.parallel_to_tuples(spark, [(en, et), (et, en), (en, et)])
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
+    one = [(f"{en}-{et}", 0, {"en": "one", "et": "1"}), (f"{en}-{et}", 1, {"en": "two", "et": "2"})]
+    two = [(f"{et}-{en}", i, {"et": x, "en": y}) for i, (x, y) in enumerate([("1", "one"), ("2", "two"), ("", ""), ("4", "")])]
+    assert sorted((tuple(r) for r in t.collect()), key=lambda r: r[:2]) == sorted(one * 2 + two, key=lambda r: r[:2])
+
+
 @pytest.mark.parametrize("limit", [TK.MAX_BROADCAST_BYTES, 0])
 def test_tokenise_with_small_and_large_vocabularies(spark, limit):
     rows = [(1, "A b\tc  a"), (1, "b"), (2, None), (3, ""), (None, "zz a"), (4, "a " * 50)]
