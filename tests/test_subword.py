@@ -6,8 +6,9 @@ from collections import Counter
 
 import pytest
 from conftest import SF001
+from pyspark.sql import functions as F
 
-from polytext.operators.subword import END_OF_WORD, learn_bpe, vocab_budget
+from polytext.operators.subword import END_OF_WORD, alternatives, learn_bpe, merged, unfinished, vocab_budget
 from polytext.plans import registry
 
 
@@ -72,3 +73,11 @@ def test_vocab_budget():
     assert vocab_budget("facebook/m2m100", 1000) == 892
     assert vocab_budget("NLLB-600M", 1000) == 998
     assert vocab_budget("llama", 1000) == 1000
+
+
+def test_pairs_of_one_first_character_are_tried_together_and_finished_words_leave(spark):
+    merges = [("a", "b"), ("ac", "d"), ("ad", "."), ("(", ")"), ("(x", "😀"), ("😀y", "é")]
+    assert alternatives(merges).count("(?=") == 3
+    words = [" a b </w> ", " ac d ad . </w> ", " ( ) (x 😀 😀y é ", " a c b ", " aa b ", " ab</w> ", " a b a b "]
+    got = unfinished(spark.createDataFrame([(w,) for w in words], "s string").select(merged(F.col("s"), merges).alias("s")))
+    assert [r.s for r in got.collect()] == [" ab </w> ", " acd ad. </w> ", " () (x😀 😀yé ", " a c b ", " aa b ", " ab ab "]
