@@ -49,8 +49,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polytext.llm.common import components, discard, release, ship, stored
+from polytext.operators.joins import sparse_join
 
-BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, HEAD, BROADCAST_IDS, NEAR = 1 << 20, 1 << 12, 8, 512, 512, 512, 200_000, 64
+BUCKETS, BLOCK, DEPTH, GROUP, SKETCH, HEAD, BROADCAST_IDS, NEAR, LOOKUP = 1 << 20, 1 << 12, 8, 512, 512, 512, 200_000, 64, 8 << 20
 _WORDS: dict[bytes, int] = {}
 _KEY = "c binary, n long"
 
@@ -111,6 +112,14 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return (n + m - apart) // 2 >= needed(n, m, percent)
 
 
+def both_ends(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with the size and ``column`` of both classes (n and x, m and
+    y); rows of ``classes`` that no pair asks for are not shuffled."""
+    of = [classes.select(F.col("c").alias(c), F.col(column).alias(x), F.col("n").alias(n)) for c, x, n in (("a", "x", "n"), ("b", "y", "m"))]
+    first = sparse_join(of[0], pairs, ["a"], max_broadcast_bytes=LOOKUP)
+    return first.join(sparse_join(of[1], pairs.select("b").distinct(), ["b"], "left_semi", LOOKUP), "b").select("a", "b", "x", "y", "n", "m")
+
+
 def narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the sketches (c, n, w) don't tell apart."""
 
@@ -119,8 +128,7 @@ def narrowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             ok = [may_link(*r, percent) for r in zip(p["x"], p["y"], p["n"].tolist(), p["m"].tolist())]
             yield p.loc[np.array(ok, bool), ["a", "b"]]
 
-    of = [sketches.select(F.col("c").alias(c), F.col("w").alias(w), F.col("n").alias(n)) for c, w, n in (("a", "x", "n"), ("b", "y", "m"))]
-    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a binary, b binary")
+    return both_ends(pairs, sketches, "w").mapInPandas(run, pairs.select("a", "b").schema)
 
 
 def needed(a: int, b: int, percent: int) -> int:

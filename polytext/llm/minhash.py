@@ -25,7 +25,10 @@ a large group of similar texts costs few checks, and none that could join two
 components is left out.  A band of which a round took every survivor has none
 left to check, so later rounds read only the bands where a class had more.
 
-Scale: texts are not shuffled, but for those of classes that share a band; rows
+Scale: a class goes by the number of its first row (the smallest doc_id's), and
+only digests, ids and numbers are shuffled to find it: signatures and bands stay
+with their rows.  Texts, signatures and sets are shuffled only for classes that a
+later step asks for (``sparse_join``); rows
 of a band that nobody shares leave first; a band with over ``GROUP`` classes is
 split into blocks, whose pairs go to separate tasks; the set of a class that
 meets many others is sent once for each ``HEAD`` of them; components are found
@@ -49,9 +52,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polytext.llm.common import components, release, ship, stored
-from polytext.llm.jaccard import digest, narrowed, shingles, wide
-from polytext.operators.joins import lookup_join
+from polytext.llm.common import components, discard, release, ship, stored
+from polytext.llm.jaccard import both_ends, digest, narrowed, shingles, wide
+from polytext.operators.joins import lookup_join, sparse_join
 
 BANDS, WIDTH, BATCH, MISS, CELLS = 40, 5, 40, 1e-5, 1024
 GROUP, HEAD, NEAREST, ROUNDS, LOOKUP = 8192, 256, 3, 2, 8 << 20
@@ -164,7 +167,7 @@ def shared(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             if p is None:
                 out += [] if held is None else [held[0]]
             else:
-                for k, n, c in zip(p["key"].tolist(), p["n"].tolist(), p["c"]):
+                for k, n, c in zip(p["key"].tolist(), p["n"].tolist(), p["c"].tolist()):
                     near = held is not None and held[0][0] == k and 100 * held[0][1] >= percent * n
                     if held is not None and (held[1] or near):
                         out.append(held[0])
@@ -175,7 +178,7 @@ def shared(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["key", "n", "c", "lead"])
 
-    return rows.repartitionByRange(parts, "key", "n", "c").sortWithinPartitions("key", "n", "c").mapInPandas(run, "key long, n long, c binary, lead binary")
+    return rows.repartitionByRange(parts, "key", "n", "c").sortWithinPartitions("key", "n", "c").mapInPandas(run, "key long, n long, c long, lead long")
 
 
 def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -194,8 +197,7 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 ok &= reachable(x[:, done:], y[:, done:], p["n"].to_numpy(), p["m"].to_numpy(), percent)
                 yield p.loc[ok, ["a", "b"]]
 
-    sig = lambda c, s, n: classes.select(F.col("c").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
-    return pairs.join(sig("a", "x", "n"), "a").join(sig("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a binary, b binary")
+    return both_ends(pairs, classes, "sig").mapInPandas(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -205,8 +207,8 @@ def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     of = pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAD).cast("int").alias("heads"))
     cut = lookup_join(pairs, of, ["a"], salt_by=F.col("b"), max_broadcast_bytes=LOOKUP).select("a", "b", F.pmod(F.xxhash64("b"), F.col("heads")).cast("int").alias("part"))
     sends = cut.select("a", "part", F.col("b").alias("c"), F.lit(1).alias("tail"))
-    sends = sends.union(of.select("a", F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("part"), F.col("a").alias("c"), F.lit(0)))
-    rows = sends.join(whole.select("c", "s"), "c")
+    sends = stored(sends.union(of.select("a", F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("part"), F.col("a").alias("c"), F.lit(0))), "sends")
+    rows = sparse_join(whole.select("c", "s"), sends, ["c"], max_broadcast_bytes=LOOKUP)
 
     def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = np.empty(0, np.uint64)
@@ -223,7 +225,7 @@ def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             if ok:
                 yield pd.DataFrame(ok, columns=["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "tail").mapInPandas(check, "a binary, b binary")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "tail").mapInPandas(check, "a long, b long")
 
 
 def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int, most: int | None) -> DataFrame:
@@ -232,10 +234,11 @@ def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int
     with a key and no pair marks a band in which some class had more; stored."""
     limits = bounds(percent)
     roots = found.select(F.col("node").alias("c"), F.col("root").alias("comp"))
-    rows = rows.select("key", "n", "c").join(roots, "c", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "c")))
+    rows = lookup_join(rows.select("key", "n", "c"), roots, ["c"], "left", max_broadcast_bytes=LOOKUP, salts=1).withColumn("comp", F.coalesce("comp", "c"))  # a class has few rows
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("count")).where("x <> y")
     mixed = stored(mixed.select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "mixed-bands")
-    rows = lookup_join(rows, mixed, ["key"], salt_by=F.col("c"), max_broadcast_bytes=LOOKUP).join(classes.select("c", "sig"), "c")
+    rows = stored(lookup_join(rows, mixed, ["key"], salt_by=F.col("c"), max_broadcast_bytes=LOOKUP), "mixed-rows")
+    rows = sparse_join(classes.select("c", "sig"), rows, ["c"], max_broadcast_bytes=LOOKUP)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "c", "n", "comp", "sig", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
 
@@ -264,9 +267,9 @@ def crossing(rows: DataFrame, classes: DataFrame, found: DataFrame, percent: int
             got = [x for s, e in zip(starts, starts[1:]) if e - s > 1 for x in done(rows.iloc[s:e])]
             left = [rows.iloc[starts[-1]:]]
             for i in range(0, len(got), 100_000):
-                yield pd.DataFrame({"key": pd.array([x[0] for x in got[i:i + 100_000]], "Int64"), **{n: [x[d] for x in got[i:i + 100_000]] for n, d in (("a", 1), ("b", 2))}})
+                yield pd.DataFrame({n: pd.array([x[d] for x in got[i:i + 100_000]], "Int64") for d, n in enumerate(("key", "a", "b"))})
 
-    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(walk, "key long, a binary, b binary").distinct(), "walked")
+    return stored(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(walk, "key long, a long, b long").distinct(), "walked")
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -286,13 +289,20 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
                 c.append(digest(s)), n.append(len(s)), key.append(bands(v).view(np.int64)), sig.append(short(v).tobytes() + parity(s).tobytes())
             yield pd.DataFrame({"doc_id": p["doc_id"], "t": p["t"], "c": c, "n": n, "keys": key, "sig": sig})
 
-    own = stored(docs.mapInPandas(measured, f"doc_id {kind}, t long, c binary, n long, keys array<long>, sig binary"), "signatures")
-    classes = stored(own.where("n > 0 and doc_id is not null").groupBy("c").agg(
-        F.min(F.struct("doc_id", "t")).alias("rep"), *(F.first(x).alias(x) for x in ("n", "keys", "sig"))), "classes")
+    own = stored(docs.mapInPandas(measured, f"doc_id {kind}, t long, c binary, n long, keys array<long>, sig binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
+    some = own.where("n > 0 and doc_id is not null")
+    classes = stored(some.groupBy("c").agg(F.min(F.struct("doc_id", "t", "row")).alias("rep"), F.count("*").alias("rows")).select(
+        F.col("rep.row").alias("c"), F.col("c").alias("digest"), F.col("rep.doc_id").alias("rep"), (F.col("rows") > 1).alias("copied")), "classes")
+    copied = classes.where("copied").select(F.col("digest").alias("c"), F.col("c").alias("first"))
+    copies = stored(lookup_join(some.select("c", "row"), copied, ["c"], salt_by=F.col("row"), max_broadcast_bytes=LOOKUP).where("row <> first").select(F.col("row").alias("c")), "copies")
+    firsts = sparse_join(some.select(F.col("row").alias("c"), "n", "keys"), copies, ["c"], "left_anti", LOOKUP)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = stored(shared(classes.select(F.explode("keys").alias("key"), "n", "c"), parts, percent), "shared-bands")
+    rows = stored(shared(firsts.select(F.explode("keys").alias("key"), "n", "c"), parts, percent), "shared-bands")
 
-    met = stored(rows.select("c").distinct().join(classes.select("c", "rep.doc_id", "rep.t", "n", "sig"), "c"), "met-classes")  # only these are compared
+    meet = stored(rows.select("c").distinct(), "meeting")
+    met = stored(sparse_join(own.select(F.col("row").alias("c"), "doc_id", "t", "n", "sig"), meet, ["c"], max_broadcast_bytes=LOOKUP), "met-classes")  # only these are compared
+    ids = stored(own.select("doc_id", "n", F.col("c").alias("digest")), "ids")
+    discard(own, copies, meet)
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
@@ -301,12 +311,13 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
                 own = [shingles(text, k) for text in x["text"]]
                 yield pd.DataFrame({"c": x["c"], "n": [len(s) for s in own], "s": [s.tobytes() for s in own], "w": [wide(s) for s in own]})
 
-    whole = stored(lookup_join(docs, met.select("doc_id", "t", "c"), ["doc_id", "t"], salt_by=F.col("t"), max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c binary, n long, s binary, w binary"), "whole-sets")
+    whole = stored(sparse_join(docs, met.select("doc_id", "t", "c"), ["doc_id", "t"], max_broadcast_bytes=LOOKUP).select("c", "text").mapInPandas(sets, "c long, n long, s binary, w binary"), "whole-sets")
     if not whole.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
         whole = stored(whole.dropDuplicates(["c"]), "whole-sets")
 
     led = rows.where("lead <> c").groupBy("c", "lead").count().groupBy("c").agg(F.max(F.struct("count", "lead")).alias("m"))
-    tested = stored(pruned(led.select(F.least("c", "m.lead").alias("a"), F.greatest("c", "m.lead").alias("b")).distinct(), met, percent), "pairs")
+    led = stored(led.select(F.least("c", "m.lead").alias("a"), F.greatest("c", "m.lead").alias("b")).distinct(), "led")
+    tested = stored(pruned(led, met, percent), "pairs")
     links = stored(linked(tested, whole, percent), "links")
     found = stored(components(links), "components")
     for most in [*[NEAREST] * ROUNDS, None]:
@@ -320,12 +331,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         left = walked.where("key is not null").select("key").distinct()
         if left.isEmpty():  # every survivor was checked
             break
-        rows = stored(lookup_join(rows, left, ["key"], "left_semi", salt_by=F.col("c"), max_broadcast_bytes=LOOKUP), "open-bands")
-
-    named = classes.select("c", F.col("rep.doc_id").alias("rep")).join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
-    named = stored(named.join(least, "root").select("c", "component_id"), "class-ids")
+        before, rows = rows, stored(lookup_join(rows, left, ["key"], "left_semi", salt_by=F.col("c"), max_broadcast_bytes=LOOKUP), "open-bands")
+        discard(before)
+
+    found = found.select(F.col("node").alias("c"), "root")
+    inside = stored(sparse_join(classes, found, ["c"], max_broadcast_bytes=LOOKUP), "in-components")
+    least = stored(inside.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
+    alone = sparse_join(classes.where("copied"), found.select("c"), ["c"], "left_anti", LOOKUP)  # of the rest a class of one row is its own component
+    named = stored(inside.join(least, "root").select("digest", "component_id").union(alone.select("digest", "rep")), "class-ids")
+    discard(rows, met, whole, classes, inside, least)
     release(spark)
-    out = lookup_join(own.select("doc_id", "n", "c"), named, ["c"], "left", salt_by=F.col("doc_id"), max_broadcast_bytes=LOOKUP)
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    out = lookup_join(ids, named, ["digest"], "left", salt_by=F.col("doc_id"), max_broadcast_bytes=LOOKUP)
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import random
 
 import numpy as np
@@ -117,3 +119,32 @@ def test_many_near_copies_take_several_rounds(spark, monkeypatch):
     rows = near_copies(11, 2, 25, 60, 12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r)[:3] for r in M.near_duplicates(df).collect()), key=str) == brute(rows, 2, 80)
+
+
+def test_lookups_too_large_to_broadcast(spark, monkeypatch):
+    """Every lookup by a bit table and a shuffle: copies, odd ids, components."""
+    monkeypatch.setattr(M, "LOOKUP", 0)
+    monkeypatch.setattr(J, "LOOKUP", 0)
+    rows = near_copies(21, 4, 5, 80, 8)
+    check(spark, rows + [(500 + i, t) for i, t in rows[:6]] + [(None, rows[0][1]), (800, ""), (801, None), (802, "alone twice"), (803, "ALONE  twice")] + rows[-3:])
+
+
+def test_signatures_and_sets_are_not_shuffled_for_classes_that_meet_none(spark, monkeypatch):
+    """Bands and signatures stay out of the exchange that finds classes and of
+    that which picks those that share a band; a pair's row has two numbers."""
+    plans, stored = {}, M.stored
+
+    def seen(df, name):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        plans.setdefault(name, (out.getvalue(), dict(df.dtypes)))
+        return stored(df, name)
+
+    monkeypatch.setattr(M, "stored", seen)
+    check(spark, near_copies(22, 3, 4, 60, 6) + [(900 + i, f"alone {i}") for i in range(20)])
+    for name in ("classes", "met-classes"):
+        carried = [b for b in plans[name][0].split("\n\n") if ") Exchange" in b]
+        assert all("sig#" not in b and "keys#" not in b for b in carried), name
+    assert plans["walked"][1] == {"key": "bigint", "a": "bigint", "b": "bigint"}
+    assert plans["shared-bands"][1] == {"key": "bigint", "n": "bigint", "c": "bigint", "lead": "bigint"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from polytext.operators.joins import salted_join
+from polytext.operators.joins import salted_join, sparse_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -29,3 +29,16 @@ def test_lookup_join_both_paths(spark, limit):
     got = sorted(tuple(r) for r in lookup_join(big, small, ["k"], "left", salt_by=F.col("row"),
                                                max_broadcast_bytes=limit).collect())
     assert plain == got
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_sparse_join_gives_the_rows_of_a_plain_join(spark, how, most):
+    big = spark.createDataFrame([(i % 40 if i % 7 else None, f"t{i}", i) for i in range(300)] + [(3, None, 300)], "k long, t string, i long")
+    small = spark.createDataFrame([(k, f"t{i}", v) for k, i, v in ((3, 3, "a"), (3, 43, "b"), (3, 43, "c"), (5, 999, "d"))], "k long, t string, v string")
+    for on in (["k"], ["k", "t"]):
+        keys = small.select(*on, "v")
+        got = sparse_join(big, keys, on, how, most)
+        want = big.join(keys, on, how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
