@@ -283,7 +283,8 @@ def mine(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, bud
         return near(df, pairs.select("lang", F.col("h1").alias(x), F.col("h2").alias(y), F.col("a").alias(name)), ["lang", x, y])
 
     inside = triples.select("lang", "h1", "h2", "a").union(triples.select("lang", "h2", "h3", "a")).groupBy("lang", "h1", "h2").agg(F.max("a").alias("longer"))
-    two = pairs.join(inside, ["lang", "h1", "h2"], "left").where(F.expr(f"longer is null or 100 * longer < {cover} * a"))
+    # as large as the triples; estimated from compressed files, it could be broadcast
+    two = pairs.join(inside.hint("merge"), ["lang", "h1", "h2"], "left").where(F.expr(f"longer is null or 100 * longer < {cover} * a"))
     two = said(said(two, 1), 2).select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
     three = said(said(said(known(known(triples, "h1", "h2", "f12"), "h2", "h3", "f23"), 1), 2), 3)
     three = three.withColumn("s1", _score("a", "f1", "f23")).withColumn("s2", _score("a", "f12", "f3"))

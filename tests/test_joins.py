@@ -20,6 +20,17 @@ def test_salted_join_equals_plain_join(spark, how):
     assert plain == salted
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_replicated_side_is_never_broadcast(spark, tmp_path, how):
+    # its files are small, and Spark does not count the copies
+    spark.range(0, 20_000).select(F.col("id").alias("k"), F.lit("v").alias("v")).write.parquet(f"{tmp_path}/small")
+    big = spark.range(0, 100_000).select(F.col("id").alias("row"), (F.col("id") % 30_000).alias("k"))
+    joined = salted_join(big, spark.read.parquet(f"{tmp_path}/small"), ["k"], how, salt_by=F.col("row"), salts=4)
+    rows = joined.count()
+    assert rows == {"inner": 70_000, "left": 100_000, "left_semi": 70_000, "left_anti": 30_000}[how]
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_lookup_join_both_paths(spark, limit):
     from polytext.operators.joins import lookup_join
