@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polytext.session import scratch_path
+from polytext.session import release, stored
 
 _SHIPPED: set[str] = set()
 
@@ -34,28 +32,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps.  It does
-    so when the driver has collected the tables that used them, which on its
-    own may take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it
-    back: this cuts the lineage and survives lost executors.  The folder is
-    removed when the application ends."""
-    spark = df.sparkSession
-    release(spark)
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``stored`` that nothing reads any more, so that a long
     job holds only the tables it still needs."""
