@@ -70,3 +70,16 @@ def test_joined_vocabulary_makes_no_token_a_row(spark):
     out.collect()
     text = plan(out)
     assert "ReusedExchange" in text or "ReusedQueryStage" in text or text.count("Reused") > 0  # texts are shuffled once
+
+
+def test_batches_are_padded_where_they_lie(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, i, [1] * (i + 1)) for i in range(9)] + [(None, 9, [1])], "b int, k int, input_ids array<int>")
+    df = df.withColumn("n", F.size("input_ids"))
+    got = TK.pad_batch(df, "b", multiple=4, length="n")
+    assert "SortMergeJoin" not in plan(got)
+    rows = lambda x: sorted(tuple(map(str, r)) for r in x.select("b", "k", "input_ids", "attention_mask", "labels").collect())
+    assert rows(got) == rows(TK.pad_batch(df.drop("n"), "b", multiple=4)) and len(rows(got)) == 9
+    path = documents(spark, tmp_path, [(i, "en", "a b " * i) for i in range(40)])
+    out = registry.queries()["tokenise_batches"](spark, path)
+    assert "ShuffledHashJoin" in plan(out) and "ArrowEvalPython" not in plan(out)
+    assert out.agg(F.sum("rows")).first()[0] == 48
